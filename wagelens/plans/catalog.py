@@ -18,8 +18,13 @@ from wagelens.operators import locate as lc
 from wagelens.operators import stats as st
 from wagelens.operators.histogram import fixed_histogram, requested_histogram
 from wagelens.plans import oracle as o
+from wagelens.functions.cells import cell_kind
 from wagelens.plans.reports import map_report
-from wagelens.schema import BAY_AREA, CALIFORNIA, PAY_EDGES, MapRun
+from wagelens.session import scratch_path
+from wagelens.sources import delimited as dl
+from wagelens.sources.lines import lines_of_texts, stitch_pairwise, stitch_parity
+from wagelens.sources.payroll_csv import read_payroll
+from wagelens.schema import BAY_AREA, CALIFORNIA, NUMBER_PATTERN, PAY_EDGES, MapRun
 from wagelens.sources import tables as tb
 
 # Parameters of the catalogue queries.
@@ -156,6 +161,72 @@ def q_industry_stats(spark, sf):
                              "l_partkey", "p_partkey", "p_type", "l_extendedprice")
 
 
+TYPED_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                 "o_orderpriority")
+
+
+def q_cell_typing(spark, sf):
+    o = tb.table(spark, sf, "orders").select(*[F.col(c).cast("string") for c in TYPED_COLUMNS])
+    cells = o.unpivot([], list(TYPED_COLUMNS), "cell", "value")
+    return (cells.groupBy("cell", cell_kind(F.col("value")).alias("kind"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def _parsed_orders(spark, sf):
+    """Orders rendered as payroll CSV files, then read back by the ingest."""
+    path = scratch_path(spark, "payroll-csv")
+    dl.write_lines(tb.orders_as_payroll_lines(spark, sf), "value", path)
+    return read_payroll(spark, path)
+
+
+def q_csv_parse(spark, sf):
+    p = _parsed_orders(spark, sf)
+    return p.select(F.col("notes").cast("bigint").alias("rec_id"), "ok",
+                    F.col("employee_name").alias("name"),
+                    F.col("total_pay_benefits").cast("double").alias("pay"),
+                    F.col("job_title").alias("job"), F.col("year").alias("yr"),
+                    "agency", "status",
+                    F.col("overtime_pay").cast("double").alias("overtime"),
+                    F.col("other_pay").cast("double").alias("other"),
+                    F.col("n_cells").cast("bigint").alias("n_cells"),
+                    F.col("n_lines").cast("bigint").alias("n_lines"), "reason")
+
+
+def q_strict_reject(spark, sf):
+    p = _parsed_orders(spark, sf)
+    return p.groupBy("reason").agg(F.count(F.lit(1)).alias("n"),
+                                   F.sum("n_lines").cast("bigint").alias("lines"))
+
+
+DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING"
+CSV_OPTS = {"sep": ",", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+
+
+def q_stitch_parity(spark, sf):
+    lines = lines_of_texts(tb.documents_as_csv(spark, sf), "doc_id", "record")
+    recs = stitch_parity(lines)
+    parsed = recs.select(F.from_csv("raw", DOC_SCHEMA, CSV_OPTS).alias("d"),
+                         F.col("n_lines").cast("bigint").alias("n_lines"))
+    return parsed.select("d.doc_id", "d.text", "d.lang", "n_lines")
+
+
+def q_stitch_pairwise(spark, sf):
+    lines = lines_of_texts(tb.table(spark, sf, "documents"), "doc_id", "text")
+    recs = stitch_pairwise(lines).where(F.col("raw") != "")
+    return recs.select(F.col("file").cast("bigint").alias("doc_id"),
+                       F.col("line_no").cast("bigint").alias("rec"),
+                       F.col("n_lines").cast("bigint").alias("n_lines"),
+                       F.col("raw").alias("text"))
+
+
+def q_tsv_roundtrip(spark, sf):
+    path = scratch_path(spark, "documents-tsv")
+    dl.write_tsv(tb.table(spark, sf, "documents").select("doc_id", "text", "lang"), path)
+    schema = "doc_id BIGINT, text STRING, lang STRING"
+    from pyspark.sql.types import _parse_datatype_string
+    return dl.read_multiline(spark, path, _parse_datatype_string(schema))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hist_by_year": q_hist_by_year,
     "year_stats": q_year_stats,
@@ -175,6 +246,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hexbin_mean": q_hexbin_mean,
     "map_report_all": q_map_report_all,
     "industry_stats": q_industry_stats,
+    "cell_typing": q_cell_typing,
+    "csv_parse": q_csv_parse,
+    "strict_reject": q_strict_reject,
+    "stitch_parity": q_stitch_parity,
+    "stitch_pairwise": q_stitch_pairwise,
+    "tsv_roundtrip": q_tsv_roundtrip,
 }
 
 
@@ -374,6 +451,81 @@ def sql_industry_stats() -> str:
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY substring(p_type, 1, 2)"""
 
 
+def sql_cell_typing() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS cell, CAST({c} AS VARCHAR) AS v FROM orders" for c in TYPED_COLUMNS)
+    num = NUMBER_PATTERN.lstrip("^").rstrip("$")
+    return (f"WITH u AS ({parts})\n"
+            "SELECT cell, CASE WHEN v IS NULL THEN 'null' "
+            f"WHEN regexp_full_match(v, '{num}') THEN CASE WHEN contains(v, '.') THEN 'float' ELSE 'int' END "
+            "WHEN v = 'Not Provided' THEN 'null' ELSE 'text' END AS kind, count(*) AS n "
+            "FROM u GROUP BY ALL")
+
+
+_ORDER_FACTS = """facts AS (
+  SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority, o_orderstatus,
+         o_totalprice >= 2000 AS ok,
+         CASE WHEN o_orderpriority = '2-HIGH' THEN 13
+              WHEN o_orderpriority = '3-MEDIUM' THEN 11 ELSE 12 END AS n_cells
+  FROM orders)"""
+
+
+def sql_csv_parse() -> str:
+    return ("WITH " + _ORDER_FACTS + "\n" + """
+SELECT CASE WHEN ok THEN o_orderkey END AS rec_id, ok,
+       CASE WHEN ok THEN 'Clerk, ' || CAST(o_custkey AS VARCHAR) END AS name,
+       CASE WHEN ok THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS pay,
+       CASE WHEN ok THEN o_orderpriority END AS job,
+       CASE WHEN ok THEN CAST(year(o_orderdate) AS INTEGER) END AS yr,
+       CASE WHEN ok THEN o_orderstatus END AS agency,
+       CASE WHEN ok AND n_cells >= 12 THEN 'FT' END AS status,
+       CASE WHEN ok AND o_orderstatus <> 'P' THEN CAST(0 AS DOUBLE) END AS overtime,
+       CASE WHEN ok AND o_orderpriority <> '4-NOT SPECIFIED' THEN CAST(1 AS DOUBLE) END AS other,
+       CAST(CASE WHEN ok THEN n_cells END AS BIGINT) AS n_cells,
+       CAST(2 AS BIGINT) AS n_lines,
+       CASE WHEN NOT ok THEN 'malformed_quote'
+            WHEN n_cells > 12 THEN 'extra_cells'
+            WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'not_numeric' END AS reason
+FROM facts""")
+
+
+def sql_strict_reject() -> str:
+    return ("WITH " + _ORDER_FACTS + ",\n" + """r AS (
+  SELECT CASE WHEN NOT ok THEN 'malformed_quote'
+              WHEN n_cells > 12 THEN 'extra_cells'
+              WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'not_numeric' END AS reason
+  FROM facts)
+SELECT reason, count(*) AS n, CAST(2 * count(*) AS BIGINT) AS lines FROM r GROUP BY reason""")
+
+
+def sql_stitch_parity() -> str:
+    return ("SELECT doc_id, replace(replace(text, chr(13), ''), chr(10), '') AS text, lang, "
+            "CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents")
+
+
+def sql_stitch_pairwise() -> str:
+    return """WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS ln
+  FROM documents),
+f AS (SELECT *, len(string_split(line, ',')) < 11 AS short FROM l),
+g AS (SELECT *, sum(CASE WHEN short THEN 0 ELSE 1 END)
+        OVER (PARTITION BY doc_id ORDER BY ln ROWS UNBOUNDED PRECEDING) AS island FROM f),
+h AS (SELECT *, sum(CASE WHEN short THEN 1 ELSE 0 END)
+        OVER (PARTITION BY doc_id, island ORDER BY ln ROWS UNBOUNDED PRECEDING) AS r FROM g),
+k AS (SELECT *, short AND r % 2 = 1 AS holder FROM h),
+m AS (SELECT *, holder OR (NOT short AND NOT coalesce(
+        lag(holder) OVER (PARTITION BY doc_id ORDER BY ln), false)) AS starts FROM k),
+n AS (SELECT doc_id, CASE WHEN starts THEN ln ELSE ln - 1 END AS rec, ln, line FROM m)
+SELECT doc_id, CAST(rec AS BIGINT) AS rec, count(*) AS n_lines,
+       string_agg(line, '' ORDER BY ln) AS text
+FROM n GROUP BY doc_id, rec HAVING string_agg(line, '' ORDER BY ln) <> ''"""
+
+
+def sql_tsv_roundtrip() -> str:
+    return "SELECT doc_id, text, lang FROM documents"
+
+
 ORACLES: dict[str, Callable[[], str]] = {
     "hist_by_year": sql_hist_by_year,
     "year_stats": sql_year_stats,
@@ -393,6 +545,12 @@ ORACLES: dict[str, Callable[[], str]] = {
     "hexbin_mean": sql_hexbin_mean,
     "map_report_all": sql_map_report_all,
     "industry_stats": sql_industry_stats,
+    "cell_typing": sql_cell_typing,
+    "csv_parse": sql_csv_parse,
+    "strict_reject": sql_strict_reject,
+    "stitch_parity": sql_stitch_parity,
+    "stitch_pairwise": sql_stitch_pairwise,
+    "tsv_roundtrip": sql_tsv_roundtrip,
 }
 
 

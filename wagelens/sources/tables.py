@@ -90,3 +90,53 @@ def gazetteer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["table", "pay_view", "location_view", "gazetteer_view", "agency_dim",
            "year_range_predicate", "CACHE_TIME", "RESOLVE_TIME", "RESOLVED", "NOT_FOUND"]
+
+
+# ---------------------------------------------------------------------------
+# Payroll-shaped CSV rendered from orders (ingest tests at any scale)
+# ---------------------------------------------------------------------------
+PAYROLL_HEADER = ("Employee Name,Job Title,Base Pay,Overtime Pay,Other Pay,Benefits,Total Pay,"
+                  "Total Pay & Benefits,Year,Notes,Agency,Status")
+
+
+def _q(c):
+    return F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))
+
+
+def orders_as_payroll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One payroll CSV record per order (plus one header line), as text rows.
+
+    Rendering rules (the oracle inverts them):
+      name   "Clerk, <custkey>" quoted; orders under 2000 get a stray quote
+             (``"Bad"Clerk <custkey>``) and are malformed;
+      job    the priority, quoted, with a newline after '-' (multi-line cell);
+      pay    base/total/total+benefits = the price text;
+      overtime 'Not Provided' for status P, else 0;
+      other  '5.' (text, not a number) for priority 4-NOT SPECIFIED, else 1;
+      year   year of the order date; notes = order key; agency = order status;
+      status 'FT'; priority 2-HIGH adds a 13th cell, 3-MEDIUM drops the 12th.
+    """
+    o = table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice").cast("string")
+    bad = F.col("o_totalprice") < F.lit(2000.0)
+    name = F.when(bad, F.concat(F.lit('"Bad"Clerk '), F.col("o_custkey").cast("string"))) \
+        .otherwise(_q(F.concat(F.lit("Clerk, "), F.col("o_custkey").cast("string"))))
+    job = _q(F.regexp_replace(F.col("o_orderpriority"), "-", "-\n"))
+    overtime = F.when(F.col("o_orderstatus") == "P", F.lit("Not Provided")).otherwise(F.lit("0"))
+    other = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("5.")).otherwise(F.lit("1"))
+    head = [name, job, price, overtime, other, F.lit("0"), price, price,
+            F.year("o_orderdate").cast("string"), F.col("o_orderkey").cast("string"),
+            F.col("o_orderstatus")]
+    tail = (F.when(F.col("o_orderpriority") == "2-HIGH", F.lit(",FT,extra"))
+            .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit(""))
+            .otherwise(F.lit(",FT")))
+    rows = o.select(F.concat(F.concat_ws(",", *head), tail).alias("value"))
+    header = spark.range(1).select(F.lit(PAYROLL_HEADER).alias("value"))
+    return rows.unionByName(header)
+
+
+def documents_as_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one CSV record ``doc_id,"text",lang`` (text quoted)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat_ws(",", F.col("doc_id").cast("string"), _q(F.col("text")),
+                                          F.col("lang")).alias("record"))
