@@ -18,16 +18,14 @@ def check_edges(edges: Sequence[float]) -> list[float]:
 def bin_index(value: Column, edges: Sequence[float]) -> Column:
     """0-based bin of ``value`` for bins [e_i, e_i+1); the last bin is closed.
 
-    Null, NaN and values outside [e_0, e_last] give null (no bin).
+    Null, NaN and values outside [e_0, e_last] give null (no bin). One
+    ascending threshold test per edge.
     """
     edges = check_edges(edges)
-    last = len(edges) - 2
-    expr = None
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        upper = (value <= F.lit(hi)) if i == last else (value < F.lit(hi))
-        cond = (value >= F.lit(lo)) & upper
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
+    expr = F.when(value < F.lit(edges[0]), F.lit(None).cast("int"))
+    for i, hi in enumerate(edges[1:-1]):
+        expr = expr.when(value < F.lit(hi), F.lit(i))
+    return expr.when(value <= F.lit(edges[-1]), F.lit(len(edges) - 2))
 
 
 def edge_label(edge: float) -> str:

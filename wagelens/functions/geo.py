@@ -83,34 +83,39 @@ def nonsingular_hi(lo: Column, hi: Column) -> Column:
             .otherwise(hi.cast("double")))
 
 
-def hex_cell(x: Column, y: Column, xmin: Column, xmax: Column, ymin: Column, ymax: Column,
-             nx, ny) -> tuple[Column, Column]:
-    """Doubled lattice indices (hx2, hy2) of the hexagon holding (x, y).
+def with_hex_cell(df, x: str, y: str, nx, ny):
+    """Add doubled lattice indices (hx2, hy2) of the hexagon holding (x, y).
 
-    ``xmin..ymax`` are the already widened data extents. Points falling
-    outside both lattices give null indices.
+    Needs the widened extents as columns xmin, xmax, ymin, ymax. Each step
+    is its own column so the expressions stay small for code generation;
+    points outside both lattices get null indices.
     """
+    from pyspark.sql import DataFrame  # noqa: F401  (type of df)
     nx, ny = _c(nx), _c(ny)
-    pad = F.lit(1e-9) * (xmax - xmin)
-    x0, x1 = xmin - pad, xmax + pad
-    sx = F.try_divide(x1 - x0, nx)
-    sy = F.try_divide(ymax - ymin, ny)
-    ix = F.try_divide(x - x0, sx)
-    iy = F.try_divide(y - ymin, sy)
-    ix1, iy1 = F.bround(ix, 0), F.bround(iy, 0)
-    ix2, iy2 = F.floor(ix).cast("double"), F.floor(iy).cast("double")
-    dx1, dy1 = ix - ix1, iy - iy1
-    dx2, dy2 = ix - ix2 - F.lit(0.5), iy - iy2 - F.lit(0.5)
-    d1 = dx1 * dx1 + F.lit(3.0) * (dy1 * dy1)
-    d2 = dx2 * dx2 + F.lit(3.0) * (dy2 * dy2)
-    first = d1 < d2
-    ok1 = (ix1 >= 0) & (ix1 <= nx) & (iy1 >= 0) & (iy1 <= ny)
-    ok2 = (ix2 >= 0) & (ix2 < nx) & (iy2 >= 0) & (iy2 < ny)
-    hx2 = (F.when(first & ok1, F.lit(2) * ix1.cast("int"))
-           .when(~first & ok2, F.lit(2) * ix2.cast("int") + F.lit(1)))
-    hy2 = (F.when(first & ok1, F.lit(2) * iy1.cast("int"))
-           .when(~first & ok2, F.lit(2) * iy2.cast("int") + F.lit(1)))
-    return hx2, hy2
+    c = F.col
+    out = (df.withColumn("_pad", F.lit(1e-9) * (c("xmax") - c("xmin")))
+           .withColumn("_x0", c("xmin") - c("_pad"))
+           .withColumn("_sx", F.try_divide((c("xmax") + c("_pad")) - c("_x0"), nx))
+           .withColumn("_sy", F.try_divide(c("ymax") - c("ymin"), ny))
+           .withColumn("_ix", F.try_divide(c(x) - c("_x0"), c("_sx")))
+           .withColumn("_iy", F.try_divide(c(y) - c("ymin"), c("_sy")))
+           .withColumn("_ix1", F.bround(c("_ix"), 0)).withColumn("_iy1", F.bround(c("_iy"), 0))
+           .withColumn("_ix2", F.floor(c("_ix")).cast("double"))
+           .withColumn("_iy2", F.floor(c("_iy")).cast("double")))
+    dx1, dy1 = c("_ix") - c("_ix1"), c("_iy") - c("_iy1")
+    dx2, dy2 = c("_ix") - c("_ix2") - F.lit(0.5), c("_iy") - c("_iy2") - F.lit(0.5)
+    out = (out.withColumn("_d1", dx1 * dx1 + F.lit(3.0) * (dy1 * dy1))
+           .withColumn("_d2", dx2 * dx2 + F.lit(3.0) * (dy2 * dy2)))
+    first = c("_d1") < c("_d2")
+    ok1 = (c("_ix1") >= 0) & (c("_ix1") <= nx) & (c("_iy1") >= 0) & (c("_iy1") <= ny)
+    ok2 = (c("_ix2") >= 0) & (c("_ix2") < nx) & (c("_iy2") >= 0) & (c("_iy2") < ny)
+    out = (out.withColumn("_lat", F.when(first & ok1, F.lit(1)).when(~first & ok2, F.lit(2)))
+           .withColumn("hx2", F.when(c("_lat") == 1, F.lit(2) * c("_ix1").cast("int"))
+                       .when(c("_lat") == 2, F.lit(2) * c("_ix2").cast("int") + F.lit(1)))
+           .withColumn("hy2", F.when(c("_lat") == 1, F.lit(2) * c("_iy1").cast("int"))
+                       .when(c("_lat") == 2, F.lit(2) * c("_iy2").cast("int") + F.lit(1))))
+    return out.drop("_pad", "_x0", "_sx", "_sy", "_ix", "_iy", "_ix1", "_iy1", "_ix2", "_iy2",
+                    "_d1", "_d2", "_lat")
 
 
 def hex_centre(hx2: Column, hy2: Column, xmin: Column, xmax: Column,

@@ -1,21 +1,20 @@
 """Projection of located agencies and hexagonal binning of their means.
 
-Points are (group keys..., agency, x, y, value). The lattice extent comes
-from the data of each group (a small aggregate joined back, broadcast since
-its size is the number of groups), then every point gets a cell from column
-arithmetic and cells are aggregated: an unweighted mean of the point values
-and the number of points. Only occupied cells are rows.
+Points are (group keys..., agency, x, y, value), one row per agency. The
+lattice extent comes from the data of each group, then every point gets a
+cell from column arithmetic and cells are aggregated: an unweighted mean of
+the point values and the number of points. Only occupied cells are rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wagelens.functions.bins import clamp
-from wagelens.functions.geo import (hex_cell, hex_centre, inside_window, lcc_xy,
+from wagelens.functions.geo import (hex_centre, with_hex_cell, inside_window, lcc_xy,
                                     nonsingular_hi, nonsingular_lo, truncate_m)
 from wagelens.schema import CLIM_HI, CLIM_LO
 
@@ -30,40 +29,39 @@ def project(df: DataFrame, lon_0, lat_0, width, height, lat_1=None) -> DataFrame
 
 
 def hexbin(points: DataFrame, keys: Sequence[str], nx, ny, value: str = "mean_k",
-           clim: tuple[float, float] = (CLIM_LO, CLIM_HI),
-           bounded_groups: bool = False) -> DataFrame:
+           clim: tuple[float, float] = (CLIM_LO, CLIM_HI)) -> DataFrame:
     """Hex cells per group ``keys``: hx2, hy2, cx, cy, n_points, mean, mean_clipped.
 
     ``nx``/``ny`` are numbers or column names present on ``points``. The
-    extent table has one row per group; pass ``bounded_groups=True`` when the
-    caller's parameters bound the groups (e.g. runs x years) to broadcast it
-    at planning time. Otherwise AQE picks broadcast or shuffle from the
-    measured size at run time.
+    extent of each group comes from a window over the group: the points are
+    already one row per (group, agency), so no second pass over the facts is
+    planned (a join with a separate extent aggregate would scan them twice).
     """
     keys = list(keys)
     if not keys:
-        return hexbin(points.withColumn("_grp", F.lit(0)), ["_grp"], nx, ny, value, clim,
-                      True).drop("_grp")
+        return hexbin(points.withColumn("_grp", F.lit(0)), ["_grp"], nx, ny, value, clim).drop("_grp")
     nxc = F.col(nx) if isinstance(nx, str) else F.lit(float(nx))
     nyc = F.col(ny) if isinstance(ny, str) else F.lit(float(ny))
-    ext = points.groupBy(*keys).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"),
-                                    F.min("y").alias("_y0"), F.max("y").alias("_y1"))
-    ext = ext.select(*keys,
-                     nonsingular_lo(F.col("_x0"), F.col("_x1")).alias("xmin"),
-                     nonsingular_hi(F.col("_x0"), F.col("_x1")).alias("xmax"),
-                     nonsingular_lo(F.col("_y0"), F.col("_y1")).alias("ymin"),
-                     nonsingular_hi(F.col("_y0"), F.col("_y1")).alias("ymax"))
-    pts = points.join(F.broadcast(ext) if bounded_groups else ext, keys)
+    g = Window.partitionBy(*keys)
+    x0, x1 = F.min("x").over(g), F.max("x").over(g)
+    y0, y1 = F.min("y").over(g), F.max("y").over(g)
+    pts = (points.withColumn("_x0", x0).withColumn("_x1", x1)
+           .withColumn("_y0", y0).withColumn("_y1", y1)
+           .withColumn("xmin", nonsingular_lo(F.col("_x0"), F.col("_x1")))
+           .withColumn("xmax", nonsingular_hi(F.col("_x0"), F.col("_x1")))
+           .withColumn("ymin", nonsingular_lo(F.col("_y0"), F.col("_y1")))
+           .withColumn("ymax", nonsingular_hi(F.col("_y0"), F.col("_y1"))))
     cxy = [F.col(c) for c in ("xmin", "xmax", "ymin", "ymax")]
-    hx2, hy2 = hex_cell(F.col("x"), F.col("y"), *cxy, nxc, nyc)
-    cells = (pts.withColumn("hx2", hx2).withColumn("hy2", hy2)
-             .where(F.col("hx2").isNotNull())
+    extra = [F.first(c).alias(c) for c in (nx, ny) if isinstance(c, str)]
+    # Points outside both lattices form a null cell, dropped AFTER the
+    # aggregate through its count: a filter on the cell key itself would be
+    # pushed below the staged columns and inline the whole lattice expression.
+    cells = (with_hex_cell(pts, "x", "y", nxc, nyc)
              .groupBy(*keys, "hx2", "hy2")
-             .agg(F.count(F.lit(1)).alias("n_points"), F.avg(value).alias("_mean"),
+             .agg(F.count("hx2").alias("n_points"), F.avg(value).alias("_mean"),
                   F.first("xmin").alias("xmin"), F.first("xmax").alias("xmax"),
-                  F.first("ymin").alias("ymin"), F.first("ymax").alias("ymax"),
-                  *([F.first(nx).alias(nx)] if isinstance(nx, str) else []),
-                  *([F.first(ny).alias(ny)] if isinstance(ny, str) else [])))
+                  F.first("ymin").alias("ymin"), F.first("ymax").alias("ymax"), *extra)
+             .where(F.col("n_points") > 0))
     cx, cy = hex_centre(F.col("hx2"), F.col("hy2"), *cxy, nxc, nyc)
     mean = F.round(F.col("_mean"), MEAN_DIGITS)
     return cells.select(*keys, "hx2", "hy2", cx.alias("cx"), cy.alias("cy"), "n_points",

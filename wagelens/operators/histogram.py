@@ -18,9 +18,18 @@ from wagelens.functions.bins import bin_index, bin_labels, check_edges
 from wagelens.schema import PAY_EDGES
 
 
+BIN_COL = "_bin"
+
+
+def with_bin(df: DataFrame, value: Column, edges: Sequence[float]) -> DataFrame:
+    """Add the bin index once, so each per-bin count only compares integers."""
+    return df.withColumn(BIN_COL, bin_index(value, edges))
+
+
 def histogram_aggs(value: Column, edges: Sequence[float]) -> list[Column]:
+    """Aggregates over a frame prepared by ``with_bin``."""
     edges = check_edges(edges)
-    b = bin_index(value, edges)
+    b = F.col(BIN_COL)
     return ([F.count(F.lit(1)).alias("n_total"), F.count(value).alias("n_valued")]
             + [F.count_if(b == F.lit(i)).alias(f"_bin{i}") for i in range(len(edges) - 1)])
 
@@ -48,7 +57,7 @@ def fixed_histogram(df: DataFrame, value: str, by: Sequence[str] | str,
                     edges: Sequence[float] = PAY_EDGES) -> DataFrame:
     """Long-form histogram of ``value`` per group ``by``."""
     keys = [by] if isinstance(by, str) else list(by)
-    wide = df.groupBy(*keys).agg(*histogram_aggs(F.col(value), edges))
+    wide = with_bin(df, F.col(value), edges).groupBy(*keys).agg(*histogram_aggs(F.col(value), edges))
     return explode_bins(wide, keys, edges)
 
 

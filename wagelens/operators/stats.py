@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wagelens.functions.sizing import row_count_at_most
-from wagelens.operators.histogram import explode_bins, histogram_aggs
+from wagelens.operators.histogram import explode_bins, histogram_aggs, with_bin
 from wagelens.schema import MONEY, PAY_EDGES
 
 STAT_DIGITS = 6
@@ -64,7 +64,7 @@ def year_report(df: DataFrame, value: str = "pay", year: str = "year",
     aggregate; Spark reuses its shuffle when both are consumed together.
     """
     v = F.col(value)
-    wide = df.groupBy(year).agg(*histogram_aggs(v, edges), *moment_aggs(v)[1:])
+    wide = with_bin(df, v, edges).groupBy(year).agg(*histogram_aggs(v, edges), *moment_aggs(v)[1:])
     stats = wide.select(year, "n_total", "n",
                         (F.col("n_total") - F.col("n")).alias("n_null"),
                         mean_col().alias("mean_value"), std_pop_col().alias("std_value"))

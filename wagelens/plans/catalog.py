@@ -143,9 +143,10 @@ def q_map_window(spark, sf):
 
 def q_hexbin_mean(spark, sf):
     name, lon_0, lat_0, w, h = CALIFORNIA
-    s = st.agency_stats(_pay(spark, sf, [ONE_YEAR]).where(F.col("year") == ONE_YEAR))
+    s = st.agency_stats(_pay(spark, sf, [ONE_YEAR]).where(F.col("year") == ONE_YEAR),
+                        by=["year", "agency"])
     pts = hx.project(lc.located_only(lc.locate(s, tb.location_view(spark, sf))), lon_0, lat_0, w, h)
-    cells = hx.hexbin(pts, [], HEX_NX, hex_rows(HEX_NX))
+    cells = hx.hexbin(pts, ["year"], HEX_NX, hex_rows(HEX_NX))
     return cells.select("hx2", "hy2", F.col("n_points").alias("n_agencies"),
                         F.col("mean").alias("mean_k"), F.col("mean_clipped").alias("mean_k_clipped"))
 

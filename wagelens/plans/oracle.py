@@ -105,7 +105,7 @@ def nonsingular_sql(lo: str, hi: str) -> tuple[str, str]:
 
 def hexcell_sql(x: str, y: str, xmin: str, xmax: str, ymin: str, ymax: str,
                 nx: str, ny: str) -> tuple[str, str]:
-    """Same steps, same order as ``functions.geo.hex_cell``."""
+    """Same steps, same order as ``functions.geo.with_hex_cell``."""
     pad = f"({d(1e-9)} * ({xmax} - {xmin}))"
     x0, x1 = f"({xmin} - {pad})", f"({xmax} + {pad})"
     sx = f"(({x1} - {x0}) / {nx})"

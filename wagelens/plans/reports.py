@@ -30,9 +30,9 @@ def histogram_report(pay: DataFrame, edges: Sequence[float] = PAY_EDGES) -> tupl
 def location_map(pay: DataFrame, locations: DataFrame, year: int, lon_0: float, lat_0: float,
                  width: float, height: float, gridsize: int) -> DataFrame:
     """One map: agencies of one year, projected and hex-binned."""
-    stats = agency_stats(pay.where(F.col("year") == year))
+    stats = agency_stats(pay.where(F.col("year") == year), by=["year", "agency"])
     pts = project(located_only(locate(stats, locations)), lon_0, lat_0, width, height)
-    return hexbin(pts, [], gridsize, hex_rows(gridsize))
+    return hexbin(pts, ["year"], gridsize, hex_rows(gridsize))
 
 
 RUN_SCHEMA = T.StructType([
@@ -74,4 +74,4 @@ def map_report(pay: DataFrame, locations: DataFrame, runs: Sequence[MapRun],
     # equi-join on year with the bounded run table (never a cross join)
     pts = pts.join(F.broadcast(todo), "year")
     pts = project(pts, F.col("lon_0"), F.col("lat_0"), F.col("width"), F.col("height"))
-    return hexbin(pts, ["map_name", "year"], "nx", "ny", bounded_groups=True)
+    return hexbin(pts, ["map_name", "year"], "nx", "ny")
