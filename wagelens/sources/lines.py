@@ -53,6 +53,15 @@ def _split_window():
     return Window.partitionBy("file", "blk").orderBy("seq")
 
 
+def _by_split(lines: DataFrame) -> DataFrame:
+    """Shuffle raw lines by split once; every later branch reuses this shuffle.
+
+    Derived columns are computed after the shuffle, so all branches of the
+    plan need the same shuffled columns and AQE reads the input only once.
+    """
+    return lines.select("file", "blk", "seq", "line").repartition("file", "blk")
+
+
 def _running(w):
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
@@ -75,7 +84,7 @@ def stitch_parity(lines: DataFrame, max_record_lines: int = DEFAULT_MAX_RECORD_L
     """
     w = _split_window()
     whole = Window.partitionBy("file", "blk")
-    lw = (lines.withColumn("q", _quotes(F.col("line")))
+    lw = (_by_split(lines).withColumn("q", _quotes(F.col("line")))
           .withColumn("i_in", F.row_number().over(w) - 1)
           .withColumn("q_in", F.coalesce(F.sum("q").over(_prefix(w)), F.lit(0))))
     for p in (0, 1):
@@ -119,7 +128,7 @@ def stitch_pairwise(lines: DataFrame, min_pieces: int = MIN_PIECES) -> DataFrame
     """
     w = _split_window()
     short = F.size(F.split(F.col("line"), ",", -1)) < F.lit(min_pieces)
-    lw = (lines.withColumn("short", short)
+    lw = (_by_split(lines).withColumn("short", short)
           .withColumn("i_in", F.row_number().over(w) - 1)
           .withColumn("last_ns", F.max(F.when(~F.col("short"), F.col("i_in"))).over(_running(w))))
     # position in the current short run (island 0 = the run the split starts in)
