@@ -56,20 +56,23 @@ def group_stats(df: DataFrame, value: str, by: Sequence[str] | str) -> DataFrame
                       "max_value")
 
 
+def year_wide(df: DataFrame, value: str = "pay", year: str = "year",
+              edges: Sequence[float] = PAY_EDGES) -> DataFrame:
+    """One row per year: bin counts and exact moments, from one aggregation pass."""
+    v = F.col(value)
+    return with_bin(df, v, edges).groupBy(year).agg(*histogram_aggs(v, edges), *moment_aggs(v)[1:])
+
+
+def stats_from_wide(wide: DataFrame, year: str = "year") -> DataFrame:
+    return wide.select(year, "n_total", "n", (F.col("n_total") - F.col("n")).alias("n_null"),
+                       mean_col().alias("mean_value"), std_pop_col().alias("std_value"))
+
+
 def year_report(df: DataFrame, value: str = "pay", year: str = "year",
                 edges: Sequence[float] = PAY_EDGES) -> tuple[DataFrame, DataFrame]:
-    """Histogram and mean/std per year from ONE aggregation pass.
-
-    Returns (per-year statistics, long histogram). Both come from the same
-    aggregate; Spark reuses its shuffle when both are consumed together.
-    """
-    v = F.col(value)
-    wide = with_bin(df, v, edges).groupBy(year).agg(*histogram_aggs(v, edges), *moment_aggs(v)[1:])
-    stats = wide.select(year, "n_total", "n",
-                        (F.col("n_total") - F.col("n")).alias("n_null"),
-                        mean_col().alias("mean_value"), std_pop_col().alias("std_value"))
-    hist = explode_bins(wide, [year], edges)
-    return stats, hist
+    """(per-year statistics, long histogram), both from the same aggregate."""
+    wide = year_wide(df, value, year, edges)
+    return stats_from_wide(wide, year), explode_bins(wide, [year], edges)
 
 
 def count_records(df: DataFrame) -> DataFrame:
