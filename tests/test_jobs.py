@@ -35,3 +35,37 @@ def test_ingest_then_report(spark):
     assert {(r["map_name"], r["year"]) for r in cells} == {("california", 2011), ("california", 2012),
                                                            ("california", 2013), ("bay_area", 2011)}
     assert sum(r["n_points"] for r in cells if r["map_name"] == "california") == 3
+
+
+def test_single_map_without_year_filter(spark):
+    """The v2 run: one map over every record of a file, whatever its year."""
+    from wagelens.plans.reports import location_map
+    from wagelens.schema import CALIFORNIA
+    pay = spark.createDataFrame([(2011, "A", 100.0), (2012, "A", 300.0), (2012, "B", 50.0)],
+                                "year int, agency string, pay double")
+    loc = spark.createDataFrame([("A", 37.0, -120.0, "resolved"), ("B", 36.0, -119.0, "resolved")],
+                                "agency string, lat double, lon double, status string")
+    _, lon_0, lat_0, w, h = CALIFORNIA
+    cells = location_map(pay, loc, None, lon_0, lat_0, w, h, 250).collect()
+    assert sum(r["n_points"] for r in cells) == 2
+    means = sorted(r["mean"] for r in cells)
+    assert means == [0.05, 0.2]                     # agency A: (100 + 300) / 2 / 1000
+
+
+def test_job_codes_join_and_industry_stats(spark, tmp_path):
+    from wagelens.operators.stats import industry_stats
+    from wagelens.sources.locations import read_job_codes
+    codes_csv = tmp_path / "JobCode.csv"
+    codes_csv.write_text('0101,Clerk\n0102,"Clerk, Senior"\n0201,Police Officer\n')
+    codes = read_job_codes(spark, str(codes_csv))
+    assert {r["major"] for r in codes.collect()} == {"01", "02"}
+    pay = spark.createDataFrame([("Clerk", 10.0), ("Clerk, Senior", 20.0), ("Police Officer", 40.0),
+                                 ("Unknown", 1.0)], "job_title string, pay double")
+    got = {r["major"]: r for r in industry_stats(pay, codes, "job_title", "job_title", "code",
+                                                 "pay").collect()}
+    assert got["01"]["n"] == 2 and got["01"]["s"] == 30.0 and got["01"]["mean"] == 15.0
+    assert got["02"]["n"] == 1 and set(got) == {"01", "02"}
+    # same answer on the shuffle path (no broadcast allowed)
+    big = {r["major"]: r for r in industry_stats(pay, codes, "job_title", "job_title", "code", "pay",
+                                                 max_broadcast_rows=1).collect()}
+    assert {k: (v["n"], v["s"]) for k, v in big.items()} == {k: (v["n"], v["s"]) for k, v in got.items()}

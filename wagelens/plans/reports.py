@@ -27,12 +27,15 @@ def histogram_report(pay: DataFrame, edges: Sequence[float] = PAY_EDGES) -> tupl
     return year_report(pay, "pay", "year", edges)
 
 
-def location_map(pay: DataFrame, locations: DataFrame, year: int, lon_0: float, lat_0: float,
+def location_map(pay: DataFrame, locations: DataFrame, year: int | None, lon_0: float, lat_0: float,
                  width: float, height: float, gridsize: int) -> DataFrame:
-    """One map: agencies of one year, projected and hex-binned."""
-    stats = agency_stats(pay.where(F.col("year") == year), by=["year", "agency"])
+    """One map: agencies of one year (or of all records when ``year`` is None),
+    projected and hex-binned."""
+    facts = pay if year is None else pay.where(F.col("year") == year)
+    facts = facts.withColumn("_map", F.lit(0))
+    stats = agency_stats(facts, by=["_map", "agency"])
     pts = project(located_only(locate(stats, locations)), lon_0, lat_0, width, height)
-    return hexbin(pts, ["year"], gridsize, hex_rows(gridsize))
+    return hexbin(pts, ["_map"], gridsize, hex_rows(gridsize)).drop("_map")
 
 
 RUN_SCHEMA = T.StructType([

@@ -48,20 +48,30 @@ def _is_local(spark: SparkSession) -> bool:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a private one only locally."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """Return the shared checkpoint folder, creating a private one only locally.
+
+    Spark sets the context's folder from ``spark.checkpoint.dir`` at start-up
+    (the conf cannot be changed later); with neither set, a local master gets
+    a private folder and a cluster run fails loudly.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         if not _is_local(spark):
             raise RuntimeError(
                 "spark.checkpoint.dir is unset: a cluster run needs a shared folder "
                 "(set it in the cluster configuration)")
         path = tempfile.mkdtemp(prefix="wagelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
+    if base.startswith("file:"):
+        base = "/" + base[len("file:"):].lstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
