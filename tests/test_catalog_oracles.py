@@ -35,3 +35,15 @@ def test_entry_runs_on_smallest_scale(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns == ["yr", "bin_idx", "bin_label", "n", "n_total", "pct", "pct_err"]
+
+
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_types_match_oracle(spark, con, name):
+    got = {f.name: SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+           for f in entry.queries()[name](spark, SF_CHECK).schema.fields}
+    rel = con.sql(entry.oracle_sql()[name])
+    assert got == {c: str(t) for c, t in zip(rel.columns, rel.types)}
