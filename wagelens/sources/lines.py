@@ -90,8 +90,7 @@ def stitch_parity(lines: DataFrame, max_record_lines: int = DEFAULT_MAX_RECORD_L
     for p in (0, 1):
         starts = ((F.col("q_in") + F.lit(p)) % 2) == 0
         lw = (lw.withColumn(f"s{p}", starts)
-              .withColumn(f"last{p}", F.max(F.when(F.col(f"s{p}"), F.col("i_in"))).over(_running(w)))
-              .withColumn(f"nxt{p}", F.lead(f"s{p}").over(w)))
+              .withColumn(f"last{p}", F.max(F.when(F.col(f"s{p}"), F.col("i_in"))).over(_running(w))))
     lw = (lw.withColumn("q_blk", F.sum("q").over(whole))
           .withColumn("n_blk", F.count(F.lit(1)).over(whole)))
     # split table (derived from the same shuffle): parity before it, line offset, carry
@@ -103,19 +102,19 @@ def stitch_parity(lines: DataFrame, max_record_lines: int = DEFAULT_MAX_RECORD_L
           .withColumn("par", F.col("q_pre") % 2)
           .withColumn("last_abs", F.col("n_pre") + _pick(F.col("par"), "m0", "m1"))
           .withColumn("carry", F.max("last_abs").over(_prefix(wf))))
-    lw = lw.join(sp.select("file", "blk", "q_pre", "n_pre", "par", "carry"), ["file", "blk"])
+    lw = lw.join(sp.select("file", "blk", "q_pre", "n_pre", "par", "carry", "last_abs"), ["file", "blk"])
     par = F.col("par")
-    starts = _pick(par, "s0", "s1")
-    next_starts = F.coalesce(_pick(par, "nxt0", "nxt1"),
-                             ((F.col("q_pre") + F.col("q_blk")) % 2) == 0)
     ln = F.col("n_pre") + F.col("i_in")
     rec = F.coalesce(F.col("n_pre") + _pick(par, "last0", "last1"), F.col("carry"), F.lit(0))
     lw = lw.withColumn("ln", ln).withColumn("rec", rec)
     # runaway guard: lines deeper than max_record_lines into a record stand alone
     runaway = (F.col("ln") - F.col("rec")) >= F.lit(max_record_lines)
-    lw = (lw.withColumn("single", runaway | (starts & next_starts))
-          .withColumn("rec", F.when(runaway, F.col("ln")).otherwise(F.col("rec"))))
-    return _assemble(lw, F.col("single"))
+    lw = lw.withColumn("rec", F.when(runaway, F.col("ln")).otherwise(F.col("rec")))
+    # a record crosses a split border when it started in an earlier split, or
+    # it is the split's last record and the split ends inside quotes
+    ends_open = ((F.col("q_pre") + F.col("q_blk")) % 2) != 0
+    cross = (F.col("rec") < F.col("n_pre")) | (ends_open & (F.col("rec") == F.col("last_abs")))
+    return _assemble(lw, F.coalesce(cross, F.lit(False)))
 
 
 def stitch_pairwise(lines: DataFrame, min_pieces: int = MIN_PIECES) -> DataFrame:
@@ -150,7 +149,7 @@ def stitch_pairwise(lines: DataFrame, min_pieces: int = MIN_PIECES) -> DataFrame
           .withColumn("brk_trail", F.last(F.when(brk, F.col("trail")), True).over(pre))
           .withColumn("carry", F.when(F.col("brk_n_incl").isNull(), F.col("n_pre"))
                       .otherwise(F.col("brk_trail") + F.col("n_pre") - F.col("brk_n_incl"))))
-    lw = lw.join(sp.select("file", "blk", "n_pre", "carry"), ["file", "blk"])
+    lw = lw.join(sp.select("file", "blk", "n_pre", "carry", "n_blk"), ["file", "blk"])
     carry = F.col("carry")
     r = F.when(F.col("lead_run"), carry + F.col("r_in")).otherwise(F.col("r_in"))
     prev_r = F.when(F.col("p_lead_run"), carry + F.col("p_r_in")).otherwise(F.col("p_r_in"))
@@ -159,26 +158,30 @@ def stitch_pairwise(lines: DataFrame, min_pieces: int = MIN_PIECES) -> DataFrame
     holder = F.col("short") & ((r % 2) == 1)
     starts = holder | (~F.col("short") & ~held_before)
     ln = F.col("n_pre") + F.col("i_in")
-    lw = (lw.withColumn("ln", ln)
-          .withColumn("rec", F.when(starts, ln).otherwise(ln - 1))
-          .withColumn("single", starts & ~holder))
-    return _assemble(lw, F.col("single"))
+    lw = lw.withColumn("ln", ln).withColumn("rec", F.when(starts, ln).otherwise(ln - 1))
+    # a held last line of a split is glued to the first line of the next split
+    cross = (F.col("rec") < F.col("n_pre")) | (holder & (F.col("i_in") == F.col("n_blk") - 1))
+    return _assemble(lw, cross)
 
 
-def _assemble(lines: DataFrame, single: Column) -> DataFrame:
+def _glue(grouped) -> DataFrame:
+    return (grouped.agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("parts"))
+            .select("file", F.col("rec").alias("line_no"), F.size("parts").cast("int").alias("n_lines"),
+                    F.array_join(F.transform("parts", lambda p: p["line"]), "").alias("raw")))
+
+
+def _assemble(lines: DataFrame, cross: Column) -> DataFrame:
     """Group lines into records (file, line_no, n_lines, raw).
 
-    Single-line records skip the grouping shuffle. A group holds at most
-    ``max_record_lines`` lines (parity) or two lines (pairwise). A glued
+    Records inside one split are grouped by (file, blk, rec): the lines are
+    already partitioned by split, so no shuffle is planned. Only the records
+    crossing a split border (at most one per border) are shuffled by
+    (file, rec). Two passes over the shared shuffle, no more: Spark reuses
+    exchanges but recomputes everything else per branch. A group holds at
+    most ``max_record_lines`` lines (parity) or two lines (pairwise). A glued
     record failing the strict check is rejected whole (its lines are not
     re-read alone: a continuation line can look like a record by itself).
     """
-    one = (lines.where(single)
-           .select("file", F.col("rec").alias("line_no"), F.lit(1).alias("n_lines"),
-                   F.col("line").alias("raw")))
-    many = (lines.where(~single).groupBy("file", "rec")
-            .agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("parts")))
-    many = many.select("file", F.col("rec").alias("line_no"),
-                       F.size("parts").cast("int").alias("n_lines"),
-                       F.array_join(F.transform("parts", lambda p: p["line"]), "").alias("raw"))
-    return one.unionByName(many)
+    inside = _glue(lines.where(~cross).groupBy("file", "blk", "rec"))
+    spanning = _glue(lines.where(cross).groupBy("file", "rec"))
+    return inside.unionByName(spanning)
