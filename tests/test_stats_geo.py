@@ -19,7 +19,7 @@ VALUES = st.one_of(st.none(), st.floats(min_value=-5e4, max_value=4e5, allow_nan
                    st.sampled_from([0.0, 9999.99, 10000.0, 200000.0, -1.0, float("inf")]))
 
 
-def reference_bins(values, edges):
+def numpy_bins(values, edges):
     """np.histogram of the non-null values (out of range and NaN dropped)."""
     data = [v for v in values if v is not None]
     return np.histogram(data, bins=edges)[0].tolist() if data else [0] * (len(edges) - 1)
@@ -33,7 +33,7 @@ def test_histogram_matches_numpy(spark, rows):
            for r in fixed_histogram(df, "pay", "year").collect()}
     for y in {y for y, _ in rows}:
         vals = [v for yy, v in rows if yy == y]
-        want = reference_bins(vals, list(PAY_EDGES))
+        want = numpy_bins(vals, list(PAY_EDGES))
         assert [got[(y, i)][0] for i in range(7)] == want
         assert all(got[(y, i)][1] == len(vals) for i in range(7))
 

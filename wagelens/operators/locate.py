@@ -69,7 +69,7 @@ RESOLVED_SCHEMA = T.StructType([
 
 
 def resolve_with_table(worklist: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Resolver backed by a reference table (query, lat, lon): a left join."""
+    """Resolver backed by a gazetteer table (query, lat, lon): a left join."""
     gaz = broadcast_if_small(gazetteer.select("query", "lat", "lon"), MAX_BROADCAST_PLACES)
     return (worklist.join(gaz, "query", "left")
             .select("agency", "lat", "lon",

@@ -21,7 +21,7 @@ NULL_MARKER = "Not Provided"
 HEADER_FIRST_CELL = "Employee Name"
 # A cell is a number when it matches this pattern (whole cell).
 NUMBER_PATTERN = r"^[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?$"
-# A line with fewer comma pieces than this is a fragment (reference stitch rule).
+# A line with fewer comma pieces than this is a fragment (pairwise stitch rule).
 MIN_PIECES = 11
 # Suffix added to an agency name for a geocoding request.
 GEOCODE_SUFFIX = ", California"

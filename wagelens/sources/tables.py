@@ -80,7 +80,7 @@ def location_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gazetteer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference places a table-backed resolver knows: keys with key % 10 = 4."""
+    """Gazetteer places a table-backed resolver knows: keys with key % 10 = 4."""
     key = F.col("n_nationkey")
     return (table(spark, sf_dir, "nation").where(key % 10 == 4)
             .select(F.concat(F.col("n_name"), F.lit(", California")).alias("query"),
