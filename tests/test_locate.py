@@ -78,3 +78,29 @@ def test_location_csv_roundtrip(spark, tmp_path):
     back = {r["agency"]: r for r in read_location_csv(spark, out + "/*.csv").collect()}
     assert back["Oakland"]["lat"] == 37.9 and back["Fresno"]["status"] == "not_found"
     assert F is not None
+
+
+def test_lookup_and_worklist_partition_the_agencies(spark):
+    """J1 keeps one row per agency; worklist and cache hits split the agencies."""
+    from conftest import SF_SMALL
+    from wagelens.operators.stats import agency_stats
+    from wagelens.sources.tables import location_view, pay_view
+    pay = pay_view(spark, SF_SMALL)
+    stats = agency_stats(pay)
+    loc = location_view(spark, SF_SMALL)
+    located = locate(stats, loc)
+    assert located.count() == stats.count()
+    hits = {r["agency"] for r in located.where("status <> 'pending'").collect()}
+    todo = {r["agency"] for r in geocode_worklist(pay, loc).collect()}
+    every = {r["agency"] for r in stats.collect()}
+    assert hits | todo == every and not (hits & todo)
+
+
+def test_bom_is_dropped(spark, tmp_path):
+    from wagelens.sources.payroll_csv import read_payroll
+    f = tmp_path / "2015-payroll.csv"
+    f.write_bytes("\ufeffEmployee Name,Job Title,Base Pay,Overtime Pay,Other Pay,Benefits,Total Pay,"
+                  "Total Pay & Benefits,Year,Notes,Agency,Status\nA,x,1,2,3,4,5,6,2015,n,Oak,FT\n"
+                  .encode("utf-8"))
+    rows = read_payroll(spark, str(f)).collect()
+    assert [r["employee_name"] for r in rows] == ["A"]

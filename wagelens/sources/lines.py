@@ -35,7 +35,7 @@ def lines_of_files(spark, paths) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("blk"),
                      F.monotonically_increasing_id().alias("seq"),
-                     F.col("value").alias("line"))
+                     F.regexp_replace("value", "^\uFEFF", "").alias("line"))   # byte-order mark
 
 
 def lines_of_texts(df: DataFrame, file_col: str, text_col: str) -> DataFrame:
