@@ -30,7 +30,8 @@ from wagelens.sources.lines import (DEFAULT_MAX_RECORD_LINES, lines_of_files, st
 
 # A value no real cell holds, so "absent" and "empty" cells stay apart.
 _SENTINEL = "\u0000\u0001absent\u0001\u0000"
-_QUOTED = r'"(?:[^"]|"")*"'
+# Possessive: Java runs it as a loop, so long quoted cells cannot exhaust the stack.
+_QUOTED = r'"(?:[^"]++|"")*+"'
 REJECTING = ("malformed_quote", "missing_cells")
 
 
