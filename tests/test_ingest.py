@@ -165,3 +165,14 @@ def test_long_quoted_cells(spark):
     rows = parse_records(stitch_parity(lines_of_texts(df, "file", "text"))).collect()
     assert len(rows) == 1 and rows[0]["reason"] is None and rows[0]["n_cells"] == 12
     assert rows[0]["job_title"] == body.replace('""', '"').replace("\n", "")
+
+
+def test_fail_mode_names_the_record(spark, tmp_path):
+    f = tmp_path / "2016-payroll.csv"
+    f.write_text('A,x,1,2,3,4,5,6,2016,n,Oak,FT\n"Bad"tail,x,1,2,3,4,5,6,2016,n,Oak,FT\n')
+    assert len(read_payroll(spark, str(f)).collect()) == 2
+    with pytest.raises(Exception, match="malformed_quote"):
+        read_payroll(spark, str(f), on_error="fail").collect()
+    good = tmp_path / "2017-payroll.csv"
+    good.write_text("A,x,1,2,3,4,5,6,2017,n,Oak,FT\n")
+    assert len(read_payroll(spark, str(good), on_error="fail").collect()) == 1

@@ -91,9 +91,24 @@ def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, quarantine
 
 
+def fail_on_rejects(parsed: DataFrame) -> DataFrame:
+    """Strict mode: the job fails on the first rejected record, naming it."""
+    bad = F.coalesce(F.col("reason").isin(*REJECTING), F.lit(False))
+    message = F.concat(F.lit("rejected payroll record ("), F.col("reason"), F.lit(") at "),
+                       F.col("file"), F.lit(":"), (F.col("line_no") + 1).cast("string"),
+                       F.lit(": "), F.substring(F.col("raw"), 1, 1000))
+    return parsed.withColumn("reason", F.when(bad, F.raise_error(message).cast("string"))
+                             .otherwise(F.col("reason")))
+
+
 def read_payroll(spark: SparkSession, paths, mode: str = "parity",
-                 max_record_lines: int = DEFAULT_MAX_RECORD_LINES) -> DataFrame:
-    """Parsed payroll records (valid and rejected, with reason) from a glob."""
+                 max_record_lines: int = DEFAULT_MAX_RECORD_LINES,
+                 on_error: str = "quarantine") -> DataFrame:
+    """Parsed payroll records (valid and rejected, with reason) from a glob.
+
+    ``on_error='fail'`` makes the job fail on a rejected record instead of
+    keeping it for the quarantine.
+    """
     lines = lines_of_files(spark, paths)
     if mode == "parity":
         records = stitch_parity(lines, max_record_lines)
@@ -101,7 +116,12 @@ def read_payroll(spark: SparkSession, paths, mode: str = "parity",
         records = stitch_pairwise(lines)
     else:
         raise ValueError(f"unknown stitch mode {mode!r}")
-    return parse_records(records)
+    parsed = parse_records(records)
+    if on_error == "fail":
+        return fail_on_rejects(parsed)
+    if on_error != "quarantine":
+        raise ValueError(f"unknown on_error {on_error!r}")
+    return parsed
 
 
 def read_payroll_lenient(spark: SparkSession, paths) -> DataFrame:
@@ -141,5 +161,5 @@ def to_silver(valid: DataFrame, path: str, mode: str = "overwrite") -> None:
      .write.mode(mode).partitionBy("year").parquet(path))
 
 
-__all__ = ["parse_records", "split_valid", "read_payroll", "read_payroll_lenient", "to_silver",
+__all__ = ["parse_records", "split_valid", "read_payroll", "fail_on_rejects", "read_payroll_lenient", "to_silver",
            "cell_count", "TEXT_COLUMNS"]
