@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wagelens.schema import SPHERE_RADIUS_M
@@ -83,14 +83,13 @@ def nonsingular_hi(lo: Column, hi: Column) -> Column:
             .otherwise(hi.cast("double")))
 
 
-def with_hex_cell(df, x: str, y: str, nx, ny):
+def with_hex_cell(df: DataFrame, x: str, y: str, nx, ny) -> DataFrame:
     """Add doubled lattice indices (hx2, hy2) of the hexagon holding (x, y).
 
     Needs the widened extents as columns xmin, xmax, ymin, ymax. Each step
     is its own column so the expressions stay small for code generation;
     points outside both lattices get null indices.
     """
-    from pyspark.sql import DataFrame  # noqa: F401  (type of df)
     nx, ny = _c(nx), _c(ny)
     c = F.col
     out = (df.withColumn("_pad", F.lit(1e-9) * (c("xmax") - c("xmin")))

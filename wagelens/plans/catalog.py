@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wagelens.functions.geo import hex_rows
 from wagelens.operators import hexbin as hx
@@ -200,6 +201,8 @@ def q_strict_reject(spark, sf):
 
 
 DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING"
+DOC_STRUCT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+                           T.StructField("lang", T.StringType())])
 CSV_OPTS = {"sep": ",", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
 
 
@@ -223,9 +226,7 @@ def q_stitch_pairwise(spark, sf):
 def q_tsv_roundtrip(spark, sf):
     path = scratch_path(spark, "documents-tsv")
     dl.write_tsv(tb.table(spark, sf, "documents").select("doc_id", "text", "lang"), path)
-    schema = "doc_id BIGINT, text STRING, lang STRING"
-    from pyspark.sql.types import _parse_datatype_string
-    return dl.read_multiline(spark, path, _parse_datatype_string(schema))
+    return dl.read_multiline(spark, path, DOC_STRUCT)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wagelens.functions.sizing import broadcast_if_small
-from wagelens.schema import NOT_FOUND, RESOLVED
+from wagelens.schema import RESOLVED
 
 # Time stamp of the synthetic location cache and of resolver answers.
 CACHE_TIME = dt.datetime(2016, 3, 1)
@@ -88,10 +88,6 @@ def gazetteer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _synthetic_lon(key).alias("lon")))
 
 
-__all__ = ["table", "pay_view", "location_view", "gazetteer_view", "agency_dim",
-           "year_range_predicate", "CACHE_TIME", "RESOLVE_TIME", "RESOLVED", "NOT_FOUND"]
-
-
 # ---------------------------------------------------------------------------
 # Payroll-shaped CSV rendered from orders (ingest tests at any scale)
 # ---------------------------------------------------------------------------
