@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from wagelens.operators.locate import geocode_worklist, locate
 from wagelens.operators.stats import agency_stats, stats_from_wide, year_axis, year_wide
 from wagelens.operators.histogram import explode_bins
-from wagelens.plans.reports import map_report
+from wagelens.plans.reports import map_report_from_stats
 from wagelens.schema import PAY_EDGES, REPORT_RUNS, MapRun
 from wagelens.sources.locations import read_location_csv
 from wagelens.sources.payroll_csv import read_payroll, split_valid, to_silver
@@ -47,22 +47,28 @@ def silver_pay(spark: SparkSession, silver: str, years: Sequence[int] | None = N
 
 def report_job(spark: SparkSession, silver: str, locations: str, out_dir: str,
                runs: Sequence[MapRun] = REPORT_RUNS, edges: Sequence[float] = PAY_EDGES) -> None:
+    """Two passes over the silver table, everything else from their small results.
+
+    Pass 1: per-year bin counts and moments (histogram, statistics, axis).
+    Pass 2: per-(year, agency) sum/count/max (agency table, location counts,
+    worklist, all maps). Both results are checkpointed into the shared
+    folder, which also cuts their lineage from the silver scan.
+    """
     pay = silver_pay(spark, silver)
-    # one aggregation pass feeds both the histogram and the statistics; the
-    # per-year result (one row per year) is checkpointed to the shared folder
     wide = year_wide(pay, "pay", "year", edges).checkpoint()
     explode_bins(wide, ["year"], edges).write.mode("overwrite").parquet(f"{out_dir}/hist_by_year")
     stats_from_wide(wide).write.mode("overwrite").parquet(f"{out_dir}/year_stats")
     year_axis(wide).write.mode("overwrite").parquet(f"{out_dir}/year_axis")
+
+    per_agency = agency_stats(pay, by=["year", "agency"]).checkpoint()
     loc = read_location_csv(spark, locations)
-    per_agency = agency_stats(pay, by=["year", "agency"])
     located = locate(per_agency, loc)
     located.write.mode("overwrite").parquet(f"{out_dir}/agency_stats")
     (located.groupBy("year").agg(F.count(F.lit(1)).alias("n_agencies"),
                                  F.count("lat").alias("n_located"))
      .write.mode("overwrite").parquet(f"{out_dir}/location_counts"))
-    geocode_worklist(pay, loc).write.mode("overwrite").parquet(f"{out_dir}/geocode_worklist")
-    map_report(pay, loc, runs).write.mode("overwrite").parquet(f"{out_dir}/map_cells")
+    geocode_worklist(per_agency, loc).write.mode("overwrite").parquet(f"{out_dir}/geocode_worklist")
+    map_report_from_stats(per_agency, loc, runs).write.mode("overwrite").parquet(f"{out_dir}/map_cells")
 
 
 def main(argv: Sequence[str]) -> int:

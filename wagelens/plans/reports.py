@@ -69,11 +69,16 @@ def map_report(pay: DataFrame, locations: DataFrame, runs: Sequence[MapRun],
 
     ``years`` is used for runs that list no years of their own.
     """
-    spark = pay.sparkSession
-    todo = run_table(spark, runs, years)
     wanted = sorted({y for r in runs for y in (r.years or years or ())})
     stats = agency_stats(pay.where(F.col("year").isin(wanted)), by=["year", "agency"])
-    pts = located_only(locate(stats, locations))
+    return map_report_from_stats(stats, locations, runs, years)
+
+
+def map_report_from_stats(stats: DataFrame, locations: DataFrame, runs: Sequence[MapRun],
+                          years: Sequence[int] | None = None) -> DataFrame:
+    """The fused map job on per-(year, agency) statistics (year, agency, mean_k)."""
+    todo = run_table(stats.sparkSession, runs, years)
+    pts = located_only(locate(stats.select("year", "agency", "mean_k"), locations))
     # equi-join on year with the bounded run table (never a cross join)
     pts = pts.join(F.broadcast(todo), "year")
     pts = project(pts, F.col("lon_0"), F.col("lat_0"), F.col("width"), F.col("height"))
