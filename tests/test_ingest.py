@@ -176,3 +176,70 @@ def test_fail_mode_names_the_record(spark, tmp_path):
     good = tmp_path / "2017-payroll.csv"
     good.write_text("A,x,1,2,3,4,5,6,2017,n,Oak,FT\n")
     assert len(read_payroll(spark, str(good), on_error="fail").collect()) == 1
+
+
+def _sequential_parity(lines, max_lines):
+    out, start, parity = [], None, 0
+    for i, line in enumerate(lines):
+        if parity == 0:
+            start = i
+        if i - start >= max_lines:
+            out.append((i, 1, line))
+        elif i == start:
+            out.append([start, 1, line])
+        else:
+            rec = next(r for r in reversed(out) if r[0] == start)
+            rec[1] += 1
+            rec[2] += line
+        parity ^= line.count('"') % 2
+    return [tuple(r) for r in out]
+
+
+def _sequential_pairwise(lines):
+    out, held = [], None
+    for i, line in enumerate(lines):
+        if held is not None:
+            out.append((held[0], 2, held[1] + line))
+            held = None
+        elif len(line.split(",")) < 11:
+            held = (i, line)
+        else:
+            out.append((i, 1, line))
+    if held is not None:
+        out.append((held[0], 1, held[1]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_random_files_tiny_splits_match_sequential_rules(spark, tmp_path, seed):
+    import random
+    rnd = random.Random(seed)
+    tokens = ["a", "b", ",", ",,,,,", '"', '""', " ", "x,y,z,w,v,u,t,s,r,q,p"]
+    files = {}
+    for k in range(3):
+        lines = ["".join(rnd.choice(tokens) for _ in range(rnd.randint(0, 8)))
+                 for _ in range(rnd.randint(30, 70))]
+        path = tmp_path / f"f{k}.csv"
+        path.write_text("\n".join(lines) + "\n")
+        files[str(path)] = lines
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50")
+    try:
+        lines_df = lines_of_files(spark, str(tmp_path / "*.csv"))
+        assert lines_df.select("file", "blk").distinct().count() > 6
+        par = stitch_parity(lines_df, max_record_lines=4).collect()
+        pw = stitch_pairwise(lines_df).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+    def by_file(rows):
+        got = {}
+        for r in rows:
+            name = r["file"].replace("file://", "").replace("file:", "")
+            got.setdefault(name, []).append((r["line_no"], r["n_lines"], r["raw"]))
+        return {k: sorted(v) for k, v in got.items()}
+
+    got_par, got_pw = by_file(par), by_file(pw)
+    for name, lines in files.items():
+        assert got_par[name] == sorted(_sequential_parity(lines, 4)), name
+        assert got_pw[name] == sorted(_sequential_pairwise(lines)), name
