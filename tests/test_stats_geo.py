@@ -136,3 +136,15 @@ def test_hexbin_single_point_extent(spark):
     assert len(got) == 1 and got[0]["n_points"] == 1
     want = numpy_hexbin([1000], [2000], [5.0], 10)
     assert (got[0]["hx2"], got[0]["hy2"]) in want
+
+
+def test_rollup_levels_equal_separate_aggregates(spark):
+    from wagelens.operators.stats import (agency_stats, rollup_agencies, rollup_years, year_agency_rollup,
+                                          year_wide)
+    rows = [(2011, "A", 10.0), (2011, "A", None), (2011, None, 20000.0), (2012, "B", 250000.0)]
+    df = spark.createDataFrame(rows, "year int, agency string, pay double")
+    rolled = year_agency_rollup(df)
+    assert sorted(rollup_years(rolled).collect()) == sorted(year_wide(df).collect())
+    want = agency_stats(df, by=["year", "agency"]).select("year", "agency", "sum_pay", "n", "n_total",
+                                                          "max_pay", "mean_k")
+    assert sorted(rollup_agencies(rolled).collect(), key=str) == sorted(want.collect(), key=str)

@@ -75,6 +75,34 @@ def year_report(df: DataFrame, value: str = "pay", year: str = "year",
     return stats_from_wide(wide, year), explode_bins(wide, [year], edges)
 
 
+def year_agency_rollup(df: DataFrame, value: str = "pay", year: str = "year", agency: str = "agency",
+                       edges: Sequence[float] = PAY_EDGES) -> DataFrame:
+    """Per-year AND per-(year, agency) aggregates from ONE scan (grouping sets).
+
+    ``rollup(year, agency)`` expands each row to its grouping levels before
+    the partial aggregation, so both levels share one scan and one small
+    shuffle. ``_level`` is 0 for (year, agency) rows, 1 for year rows and 3
+    for the grand total. Select levels with ``rollup_years`` /
+    ``rollup_agencies``.
+    """
+    v = F.col(value)
+    return (with_bin(df, v, edges).rollup(year, agency)
+            .agg(*histogram_aggs(v, edges), *moment_aggs(v)[1:], F.grouping_id().alias("_level")))
+
+
+def rollup_years(rolled: DataFrame, year: str = "year", agency: str = "agency") -> DataFrame:
+    """The per-year rows of ``year_agency_rollup`` (same columns as ``year_wide``)."""
+    return rolled.where(F.col("_level") == 1).drop(agency, "_level")
+
+
+def rollup_agencies(rolled: DataFrame, year: str = "year", agency: str = "agency") -> DataFrame:
+    """The per-(year, agency) rows, shaped like ``agency_stats(by=[year, agency])``."""
+    return (rolled.where(F.col("_level") == 0)
+            .select(year, agency, F.col("_s").cast("double").alias("sum_pay"), "n", "n_total",
+                    F.col("max_value").alias("max_pay"),
+                    F.try_divide(mean_col(), F.lit(1000.0)).alias("mean_k")))
+
+
 def count_records(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_records"))
 

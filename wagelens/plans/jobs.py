@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wagelens.operators.locate import geocode_worklist, locate
-from wagelens.operators.stats import agency_stats, stats_from_wide, year_axis, year_wide
+from wagelens.operators.stats import (rollup_agencies, rollup_years, stats_from_wide, year_agency_rollup,
+                                      year_axis)
 from wagelens.operators.histogram import explode_bins
 from wagelens.plans.reports import map_report_from_stats
 from wagelens.schema import PAY_EDGES, REPORT_RUNS, MapRun
@@ -47,20 +48,22 @@ def silver_pay(spark: SparkSession, silver: str, years: Sequence[int] | None = N
 
 def report_job(spark: SparkSession, silver: str, locations: str, out_dir: str,
                runs: Sequence[MapRun] = REPORT_RUNS, edges: Sequence[float] = PAY_EDGES) -> None:
-    """Two passes over the silver table, everything else from their small results.
+    """One pass over the silver table, everything else from its small result.
 
-    Pass 1: per-year bin counts and moments (histogram, statistics, axis).
-    Pass 2: per-(year, agency) sum/count/max (agency table, location counts,
-    worklist, all maps). Both results are checkpointed into the shared
-    folder, which also cuts their lineage from the silver scan.
+    ``rollup(year, agency)`` yields the per-year bin counts and moments
+    (histogram, statistics, axis) and the per-(year, agency) sums (agency
+    table, location counts, worklist, all maps) from one scan. The result
+    (years x agencies rows) is checkpointed into the shared folder, which
+    also cuts its lineage from the silver scan.
     """
     pay = silver_pay(spark, silver)
-    wide = year_wide(pay, "pay", "year", edges).checkpoint()
+    rolled = year_agency_rollup(pay, "pay", "year", "agency", edges).checkpoint()
+    wide = rollup_years(rolled)
     explode_bins(wide, ["year"], edges).write.mode("overwrite").parquet(f"{out_dir}/hist_by_year")
     stats_from_wide(wide).write.mode("overwrite").parquet(f"{out_dir}/year_stats")
     year_axis(wide).write.mode("overwrite").parquet(f"{out_dir}/year_axis")
 
-    per_agency = agency_stats(pay, by=["year", "agency"]).checkpoint()
+    per_agency = rollup_agencies(rolled)
     loc = read_location_csv(spark, locations)
     located = locate(per_agency, loc)
     located.write.mode("overwrite").parquet(f"{out_dir}/agency_stats")
