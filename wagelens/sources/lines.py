@@ -87,18 +87,16 @@ def stitch_parity(lines: DataFrame, max_record_lines: int = DEFAULT_MAX_RECORD_L
     frames are running frames (linear time).
     """
     w = _split_window()
-    whole = Window.partitionBy("file", "blk")
-    lw = (_by_split(lines).withColumn("q", _quotes(F.col("line")))
-          .withColumn("i_in", F.row_number().over(w) - 1)
-          .withColumn("q_in", F.coalesce(F.sum("q").over(_prefix(w)), F.lit(0))))
-    for p in (0, 1):
-        starts = ((F.col("q_in") + F.lit(p)) % 2) == 0
-        lw = (lw.withColumn(f"s{p}", starts)
-              .withColumn(f"last{p}", F.max(F.when(F.col(f"s{p}"), F.col("i_in"))).over(_running(w))))
-    lw = (lw.withColumn("q_blk", F.sum("q").over(whole))
-          .withColumn("n_blk", F.count(F.lit(1)).over(whole)))
-    # split table (derived from the same shuffle): parity before it, line offset, carry
-    sp = lw.groupBy("file", "blk").agg(F.first("q_blk").alias("q_blk"), F.first("n_blk").alias("n_blk"),
+    # window pass 1 (one WindowExec): line index, quotes in earlier lines of the split
+    lw = _by_split(lines).withColumn("q", _quotes(F.col("line")))
+    lw = lw.select("*", (F.row_number().over(w) - 1).alias("i_in"),
+                   F.coalesce(F.sum("q").over(_prefix(w)), F.lit(0)).alias("q_in"))
+    # window pass 2 (one WindowExec): last record start so far, for both parities
+    lw = lw.select("*", *[F.max(F.when(((F.col("q_in") + F.lit(p)) % 2) == 0, F.col("i_in")))
+                          .over(_running(w)).alias(f"last{p}") for p in (0, 1)])
+    # split table from the same shuffle (no exchange): quotes, lines, last starts;
+    # then parity before each split, line offset and the carried record start
+    sp = lw.groupBy("file", "blk").agg(F.sum("q").alias("q_blk"), F.count(F.lit(1)).alias("n_blk"),
                                        F.max("last0").alias("m0"), F.max("last1").alias("m1"))
     wf = Window.partitionBy("file").orderBy("blk")
     sp = (sp.withColumn("q_pre", F.coalesce(F.sum("q_blk").over(_prefix(wf)), F.lit(0)))
@@ -106,7 +104,8 @@ def stitch_parity(lines: DataFrame, max_record_lines: int = DEFAULT_MAX_RECORD_L
           .withColumn("par", F.col("q_pre") % 2)
           .withColumn("last_abs", F.col("n_pre") + _pick(F.col("par"), "m0", "m1"))
           .withColumn("carry", F.max("last_abs").over(_prefix(wf))))
-    lw = lw.join(sp.select("file", "blk", "q_pre", "n_pre", "par", "carry", "last_abs"), ["file", "blk"])
+    lw = lw.join(sp.select("file", "blk", "q_pre", "q_blk", "n_pre", "par", "carry", "last_abs"),
+                 ["file", "blk"])
     par = F.col("par")
     ln = F.col("n_pre") + F.col("i_in")
     rec = F.coalesce(F.col("n_pre") + _pick(par, "last0", "last1"), F.col("carry"), F.lit(0))
@@ -131,16 +130,22 @@ def stitch_pairwise(lines: DataFrame, min_pieces: int = MIN_PIECES) -> DataFrame
     """
     w = _split_window()
     short = F.size(F.split(F.col("line"), ",", -1)) < F.lit(min_pieces)
-    lw = (_by_split(lines).withColumn("short", short)
-          .withColumn("i_in", F.row_number().over(w) - 1)
-          .withColumn("last_ns", F.max(F.when(~F.col("short"), F.col("i_in"))).over(_running(w))))
-    # position in the current short run (island 0 = the run the split starts in)
+    lw = _by_split(lines).withColumn("short", short)
+    # window pass 1 (one WindowExec): line index, previous line short?
+    lw = lw.select("*", (F.row_number().over(w) - 1).alias("i_in"),
+                   F.lag("short").over(w).alias("p_short"))
+    # window pass 2 (one WindowExec): last non-short line up to this / the previous line
+    ns_idx = F.max(F.when(~F.col("short"), F.col("i_in")))
+    lw = lw.select("*", ns_idx.over(_running(w)).alias("last_ns"),
+                   ns_idx.over(_prefix(w)).alias("p_last_ns"))
+    # position in the current short run (lead run = the run the split starts in),
+    # for this line and for the previous one
     lw = (lw.withColumn("lead_run", F.col("last_ns").isNull())
           .withColumn("r_in", F.when(F.col("lead_run"), F.col("i_in") + 1)
                       .otherwise(F.col("i_in") - F.col("last_ns")))
-          .withColumn("p_short", F.lag("short").over(w))
-          .withColumn("p_r_in", F.lag("r_in").over(w))
-          .withColumn("p_lead_run", F.lag("lead_run").over(w)))
+          .withColumn("p_lead_run", F.col("p_last_ns").isNull())
+          .withColumn("p_r_in", F.when(F.col("p_lead_run"), F.col("i_in"))
+                      .otherwise(F.col("i_in") - 1 - F.col("p_last_ns"))))
     sp = lw.groupBy("file", "blk").agg(F.count(F.lit(1)).alias("n_blk"),
                                        F.max("last_ns").alias("last_ns_blk"))
     sp = sp.withColumn("trail", F.col("n_blk") - 1 - F.coalesce("last_ns_blk", F.lit(-1)))
