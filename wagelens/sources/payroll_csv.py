@@ -17,6 +17,8 @@ Rejected = malformed_quote or missing_cells.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,7 @@ _SENTINEL = "\u0000\u0001absent\u0001\u0000"
 # Possessive: Java runs it as a loop, so long quoted cells cannot exhaust the stack.
 _QUOTED = r'"(?:[^"]++|"")*+"'
 REJECTING = ("malformed_quote", "missing_cells")
+HEADER_RECORD = rf'^ *(?:{re.escape(HEADER_FIRST_CELL)}|"{re.escape(HEADER_FIRST_CELL)}")(?:,|$)'
 
 
 def cell_count(raw: Column) -> Column:
@@ -54,7 +57,10 @@ def parse_records(records: DataFrame, columns=PAYROLL_COLUMNS, min_cells: int =
     opts = {"sep": ",", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true",
             "ignoreTrailingWhiteSpace": "false", "nullValue": _SENTINEL, "emptyValue": "",
             "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}
-    recs = records.where(F.col("raw") != "")
+    # header lines (first cell 'Employee Name', quoted or not) are dropped on the
+    # raw text: a filter on a parsed cell would be pushed below the projection
+    # and repeat the whole parse inside the filter
+    recs = records.where((F.col("raw") != "") & ~F.col("raw").rlike(HEADER_RECORD))
     recs = recs.withColumn("ok", strict_ok(F.col("raw")))
     recs = recs.withColumn("n_cells", F.when(F.col("ok"), cell_count(F.col("raw"))))
     recs = recs.withColumn("_c", F.from_csv(F.col("raw"), _cells_schema(width), opts))
@@ -62,7 +68,6 @@ def parse_records(records: DataFrame, columns=PAYROLL_COLUMNS, min_cells: int =
     for i, name in enumerate(columns):
         present = F.lit(i) < F.col("n_cells")
         cells[name] = F.when(F.col("ok") & present, F.coalesce(F.col(f"_c.c{i}"), F.lit("")))
-    recs = recs.where(~F.coalesce(cells[columns[0]] == F.lit(HEADER_FIRST_CELL), F.lit(False)))
     typed, problems = [], []
     for name in columns:
         c = cells[name]
