@@ -88,9 +88,14 @@ def parse_records(records: DataFrame, columns=PAYROLL_COLUMNS, min_cells: int =
                        reason.alias("reason"))
 
 
-def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, quarantine rows) of ``parse_records`` output."""
-    bad = F.coalesce(F.col("reason").isin(*REJECTING), F.lit(False))
+def split_valid(parsed: DataFrame, min_cells: int = MIN_PIECES) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, quarantine rows) of ``parse_records`` output.
+
+    The split tests ``ok`` and ``n_cells`` (exactly the rejecting reasons)
+    rather than ``reason``: the filter is pushed below the projection, and
+    ``reason`` would drag every cell's parse into it.
+    """
+    bad = ~F.col("ok") | F.coalesce(F.col("n_cells") < F.lit(min_cells), F.lit(False))
     quarantine = parsed.where(bad).select("file", "line_no", "n_lines", "raw", "reason")
     valid = parsed.where(~bad).drop("raw", "ok")
     return valid, quarantine
