@@ -243,3 +243,10 @@ def test_random_files_tiny_splits_match_sequential_rules(spark, tmp_path, seed):
     for name, lines in files.items():
         assert got_par[name] == sorted(_sequential_parity(lines, 4)), name
         assert got_pw[name] == sorted(_sequential_pairwise(lines)), name
+
+
+def test_blank_and_space_lines_give_no_record(spark):
+    text = "\n   \nA,x,1,2,3,4,5,6,2011,n,Oak,FT\n\t\n"
+    df = spark.createDataFrame([("f", text)], "file string, text string")
+    rows = parse_records(stitch_parity(lines_of_texts(df, "file", "text"))).collect()
+    assert [r["employee_name"] for r in rows] == ["A"]
