@@ -35,6 +35,7 @@ _SENTINEL = "\u0000\u0001absent\u0001\u0000"
 # Possessive: Java runs it as a loop, so long quoted cells cannot exhaust the stack.
 _QUOTED = r'"(?:[^"]++|"")*+"'
 REJECTING = ("malformed_quote", "missing_cells")
+BLANK_RECORD = r"^[ \t]*$"
 HEADER_RECORD = rf'^ *(?:{re.escape(HEADER_FIRST_CELL)}|"{re.escape(HEADER_FIRST_CELL)}")(?:,|$)'
 
 
@@ -60,7 +61,7 @@ def parse_records(records: DataFrame, columns=PAYROLL_COLUMNS, min_cells: int =
     # header lines (first cell 'Employee Name', quoted or not) are dropped on the
     # raw text: a filter on a parsed cell would be pushed below the projection
     # and repeat the whole parse inside the filter
-    recs = records.where((F.trim(F.col("raw")) != "") & ~F.col("raw").rlike(HEADER_RECORD))
+    recs = records.where(~F.col("raw").rlike(BLANK_RECORD) & ~F.col("raw").rlike(HEADER_RECORD))
     recs = recs.withColumn("ok", strict_ok(F.col("raw")))
     recs = recs.withColumn("n_cells", F.when(F.col("ok"), cell_count(F.col("raw"))))
     recs = recs.withColumn("_c", F.from_csv(F.col("raw"), _cells_schema(width), opts))
