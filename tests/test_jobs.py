@@ -69,3 +69,22 @@ def test_job_codes_join_and_industry_stats(spark, tmp_path):
     big = {r["major"]: r for r in industry_stats(pay, codes, "job_title", "job_title", "code", "pay",
                                                  max_broadcast_rows=1).collect()}
     assert {k: (v["n"], v["s"]) for k, v in big.items()} == {k: (v["n"], v["s"]) for k, v in got.items()}
+
+
+def test_cli_ingest_and_report(spark, tmp_path):
+    from wagelens.plans.jobs import main
+    base = scratch_path(spark, "cli-test")
+    loc = tmp_path / "location_lon_lat.csv"
+    loc.write_text("Oakland,37.80,-122.27\n")
+    assert main(["ingest", str(FIXTURES / "20*-payroll.csv"), f"{base}/silver", f"{base}/bad"]) == 0
+    assert main(["report", f"{base}/silver", str(loc), f"{base}/out"]) == 0
+    assert spark.read.parquet(f"{base}/out/year_stats").count() == 4
+
+
+def test_year_predicate_pushdown_and_empty_list(spark):
+    from conftest import SF_SMALL
+    from wagelens.sources.tables import pay_view
+    assert pay_view(spark, SF_SMALL, []).count() == 0
+    some = pay_view(spark, SF_SMALL, [1996, 1998])
+    years = {r["year"] for r in some.select("year").distinct().collect()}
+    assert years == {1996, 1998}

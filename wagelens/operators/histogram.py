@@ -69,6 +69,8 @@ def requested_histogram(df: DataFrame, value: str, key: str, wanted: Sequence,
     key in ``wanted``. The list is a literal array, so no join is planned.
     """
     wanted = list(wanted)
+    if not wanted:
+        raise ValueError("requested_histogram needs at least one key")
     hist = fixed_histogram(df.where(F.col(key).isin(wanted)), value, key, edges)
     order = F.array(*[F.lit(v) for v in wanted])
     return hist.withColumn("ord", F.array_position(order, F.col(key)).cast("int"))

@@ -84,7 +84,6 @@ def main(argv: Sequence[str]) -> int:
         report_job(spark, *args[:3])
     else:
         raise SystemExit(__doc__)
-    spark.stop()
     return 0
 
 

@@ -28,12 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def year_range_predicate(ts_col: str, years: Iterable[int]):
     """Disjunction of [Jan 1, next Jan 1) ranges; reaches the Parquet scan."""
-    pred = None
+    pred = F.lit(False)            # no years: no rows (Catalyst drops "false OR")
     for y in sorted(set(int(v) for v in years)):
         lo = F.lit(f"{y:04d}-01-01 00:00:00").cast("timestamp_ntz")
         hi = F.lit(f"{y + 1:04d}-01-01 00:00:00").cast("timestamp_ntz")
-        p = (F.col(ts_col) >= lo) & (F.col(ts_col) < hi)
-        pred = p if pred is None else (pred | p)
+        pred = pred | ((F.col(ts_col) >= lo) & (F.col(ts_col) < hi))
     return pred
 
 
