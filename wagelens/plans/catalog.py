@@ -430,7 +430,6 @@ def sql_map_report_all() -> str:
                         f"{o.d(r.height)}, {o.d(r.gridsize)}, {o.d(hex_rows(r.gridsize))})")
     runs = ("runs AS (SELECT * FROM (VALUES " + ", ".join(rows)
             + ") AS t(map_name, yr, lon_0, lat_0, width, height, nx, ny))")
-    m = o.money("pay")
     ag = f"""ag AS (
   SELECT yr, agency, {o.mean_k_sql('pay')} AS mean_k FROM pay GROUP BY yr, agency)"""
     x, y = o.lcc_sql("loc.lon", "loc.lat", "r.lon_0", "r.lat_0", "r.width", "r.height")
@@ -439,7 +438,6 @@ def sql_map_report_all() -> str:
          CAST({x} AS BIGINT) AS x, CAST({y} AS BIGINT) AS y
   FROM ag JOIN loc ON ag.agency = loc.agency JOIN runs r ON r.yr = ag.yr)"""
     tail = _hex_tail("map_name, yr", "p.nx", "p.ny", "p.map_name = e.map_name AND p.yr = e.yr")
-    del m
     return (_with(o.PAY_CTE, o.LOC_CTE, runs, ag, pts, *tail)
             + """SELECT map_name, yr, hx2, hy2, count(*) AS n_agencies, round(avg(mean_k), 6) AS mean_k
 FROM cells WHERE hx2 IS NOT NULL GROUP BY map_name, yr, hx2, hy2""")
