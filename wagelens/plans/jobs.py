@@ -17,6 +17,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +33,16 @@ from wagelens.sources.payroll_csv import read_payroll, split_valid, to_silver
 
 def ingest_job(spark: SparkSession, source: str, silver: str, quarantine: str,
                mode: str = "parity") -> None:
-    valid, rejected = split_valid(read_payroll(spark, source, mode))
-    to_silver(valid, silver)
-    rejected.write.mode("overwrite").parquet(quarantine)
+    """Parse once, write twice: the parsed records are persisted for the two
+    writes (lineage kept, so a lost executor's blocks are recomputed) instead
+    of running the whole ingest again for the quarantine."""
+    parsed = read_payroll(spark, source, mode).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        valid, rejected = split_valid(parsed)
+        to_silver(valid, silver)
+        rejected.write.mode("overwrite").parquet(quarantine)
+    finally:
+        parsed.unpersist()
 
 
 def silver_pay(spark: SparkSession, silver: str, years: Sequence[int] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ partition columns ``batch_id`` and ``year``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,10 +42,14 @@ def ingest_batch(batch: DataFrame, batch_id: int, silver: str, quarantine: str,
     lines = batch.withColumn("seq", F.monotonically_increasing_id())
     records = (stitch_parity(lines, max_record_lines) if mode == "parity"
                else stitch_pairwise(lines))
-    valid, rejected = split_valid(parse_records(records))
-    (valid.select(*SILVER_COLUMNS).hint("rebalance", "year")
-     .write.mode("overwrite").partitionBy("year").parquet(f"{silver}/batch_id={batch_id}"))
-    rejected.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+    parsed = parse_records(records).persist(StorageLevel.MEMORY_AND_DISK)   # parse once, write twice
+    try:
+        valid, rejected = split_valid(parsed)
+        (valid.select(*SILVER_COLUMNS).hint("rebalance", "year")
+         .write.mode("overwrite").partitionBy("year").parquet(f"{silver}/batch_id={batch_id}"))
+        rejected.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+    finally:
+        parsed.unpersist()
 
 
 def start_payroll_ingest(spark: SparkSession, landing_dir: str, silver: str, quarantine: str,
