@@ -250,3 +250,12 @@ def test_blank_and_space_lines_give_no_record(spark):
     df = spark.createDataFrame([("f", text)], "file string, text string")
     rows = parse_records(stitch_parity(lines_of_texts(df, "file", "text"))).collect()
     assert [r["employee_name"] for r in rows] == ["A"]
+
+
+@pytest.mark.parametrize("mode", ["parity", "pairwise"])
+def test_unclosed_quote_at_end_of_file(spark, tmp_path, mode):
+    f = tmp_path / "2018-payroll.csv"
+    f.write_text('A,x,1,2,3,4,5,6,2018,n,Oak,FT\nB,"never closed,1,2,3,4,5,6,2018,n,Oak,FT\n')
+    rows = read_payroll(spark, str(f), mode).collect()
+    assert [r["employee_name"] for r in rows if r["reason"] is None] == ["A"]
+    assert [r["reason"] for r in rows if r["employee_name"] is None] == ["malformed_quote"]
