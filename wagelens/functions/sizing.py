@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_BROADCAST_ROWS = 500_000   # small rows: a few tens of MB per executor
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:

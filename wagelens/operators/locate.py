@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from wagelens.functions.sizing import broadcast_if_small
 from wagelens.schema import GEOCODE_SUFFIX, NOT_FOUND, PENDING, RESOLVED
 
-MAX_BROADCAST_PLACES = 2_000_000
+MAX_BROADCAST_PLACES = 500_000      # ~100 B a row: tens of MB per executor at most
 
 
 def latest_locations(locations: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def agency_stats(df: DataFrame, value: str = "pay", by: Sequence[str] | str = "a
 
 def industry_stats(facts: DataFrame, codes: DataFrame, fact_key: str, code_key: str,
                    code: str, value: str, prefix_len: int = 2,
-                   max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                   max_broadcast_rows: int = 500_000) -> DataFrame:
     """Count, sum and mean of ``value`` per major code (first chars of ``code``).
 
     A small code table is broadcast (size checked); a large one is joined
