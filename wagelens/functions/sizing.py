@@ -2,7 +2,7 @@
 
 A side is broadcast only after a bounded count proves it small; beyond the
 bound the plain DataFrame is returned and Spark plans a shuffle join. The
-count reads at most ``max_rows + 1`` rows, so it stays cheap on big inputs.
+check reads at most ``max_rows + 1`` rows of a constant column.
 """
 
 from __future__ import annotations
@@ -14,7 +14,14 @@ DEFAULT_MAX_BROADCAST_ROWS = 500_000   # small rows: a few tens of MB per execut
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    ``take`` runs Spark's incremental limit (one partition first, more only
+    while rows are missing), so a big input stops the check after a few
+    partitions; ``limit(n).count()`` would run a local limit in every
+    partition. Only a constant column is read.
+    """
+    return len(df.select(F.lit(1).alias("_one")).take(max_rows + 1)) <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
