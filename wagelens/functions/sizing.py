@@ -13,15 +13,25 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 500_000   # small rows: a few tens of MB per executor
 
 
+QUICK_ROWS = 1_000
+
+
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
-    ``take`` runs Spark's incremental limit (one partition first, more only
-    while rows are missing), so a big input stops the check after a few
-    partitions; ``limit(n).count()`` would run a local limit in every
-    partition. Only a constant column is read.
+    A dimension table is usually tiny: ``take`` (Spark's incremental limit,
+    one partition first) settles it after a few rows without touching the
+    rest of a big input. Only when more than ``QUICK_ROWS`` rows exist is the
+    exact bounded count run; it returns one number, never rows. Only a
+    constant column is read.
     """
-    return len(df.select(F.lit(1).alias("_one")).take(max_rows + 1)) <= max_rows
+    one = df.select(F.lit(1).alias("_one"))
+    quick = min(max_rows, QUICK_ROWS)
+    if len(one.take(quick + 1)) <= quick:
+        return True
+    if quick == max_rows:
+        return False
+    return one.limit(max_rows + 1).count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
