@@ -259,3 +259,19 @@ def test_unclosed_quote_at_end_of_file(spark, tmp_path, mode):
     rows = read_payroll(spark, str(f), mode).collect()
     assert [r["employee_name"] for r in rows if r["reason"] is None] == ["A"]
     assert [r["reason"] for r in rows if r["employee_name"] is None] == ["malformed_quote"]
+
+
+def test_lenient_and_strict_readers_agree_on_well_formed_records(spark):
+    """Rendered orders (multi-line job cells, quoted commas): both readers give the same cells."""
+    from conftest import SF_SMALL
+    from wagelens.sources import delimited as dl
+    from wagelens.sources import tables as tb
+    path = scratch_path(spark, "lenient-vs-strict")
+    dl.write_lines(tb.orders_as_payroll_lines(spark, SF_SMALL), "value", path)
+    cols = ["employee_name", "job_title", "total_pay_benefits", "year", "agency", "notes"]
+    strict = read_payroll(spark, path).where("ok").select(*cols)
+    # the lenient reader has no strictness: it also accepts the malformed '"Bad"...' names
+    lenient = read_payroll_lenient(spark, path).where(~F.col("employee_name").startswith('"Bad"')) \
+        .select(*cols)
+    assert strict.count() > 1000
+    assert sorted(strict.collect()) == sorted(lenient.collect())

@@ -64,3 +64,20 @@ def start_payroll_ingest(spark: SparkSession, landing_dir: str, silver: str, qua
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime=processing_time)
     return writer.start()
+
+
+def main(argv) -> int:
+    """python -m wagelens.streaming.ingest LANDING SILVER QUARANTINE CHECKPOINT [--continuous]"""
+    from wagelens.session import build_session
+    args = [a for a in argv if not a.startswith("--")]
+    if len(args) != 4:
+        raise SystemExit(main.__doc__)
+    spark = build_session()
+    query = start_payroll_ingest(spark, *args, available_now="--continuous" not in argv)
+    query.awaitTermination()
+    return 0
+
+
+if __name__ == "__main__":
+    import sys
+    sys.exit(main(sys.argv[1:]))
