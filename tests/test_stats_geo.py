@@ -148,3 +148,9 @@ def test_rollup_levels_equal_separate_aggregates(spark):
     want = agency_stats(df, by=["year", "agency"]).select("year", "agency", "sum_pay", "n", "n_total",
                                                           "max_pay", "mean_k")
     assert sorted(rollup_agencies(rolled).collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_bin_upper_labels_end_with_inf(spark):
+    df = spark.createDataFrame([(2011, 5.0)], "year int, pay double")
+    h = sorted(fixed_histogram(df, "pay", "year").collect(), key=lambda r: r["bin_idx"])
+    assert [r["bin_hi_label"] for r in h] == ["10 k", "20 k", "50 k", "100 k", "150 k", "200 k", "inf"]

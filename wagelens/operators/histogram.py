@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wagelens.functions.bins import bin_index, bin_labels, check_edges
+from wagelens.functions.bins import bin_index, bin_labels, check_edges, edge_label
 from wagelens.schema import PAY_EDGES
 
 
@@ -40,6 +40,7 @@ def explode_bins(wide: DataFrame, keys: Sequence[str], edges: Sequence[float],
     edges = check_edges(edges)
     nb = len(edges) - 1
     labels = F.array(*[F.lit(s) for s in bin_labels(edges)])
+    hi_labels = F.array(*[F.lit(edge_label(e)) for e in edges[1:]])
     lows = F.array(*[F.lit(e) for e in edges[:-1]])
     counts = F.array(*[F.col(f"_bin{i}") for i in range(nb)])
     long = wide.select(*keys, *extra, "n_total", "n_valued",
@@ -47,6 +48,7 @@ def explode_bins(wide: DataFrame, keys: Sequence[str], edges: Sequence[float],
     return long.select(
         *keys, "bin_idx",
         F.element_at(labels, F.col("bin_idx") + 1).alias("bin_label"),
+        F.element_at(hi_labels, F.col("bin_idx") + 1).alias("bin_hi_label"),
         F.element_at(lows, F.col("bin_idx") + 1).alias("bin_lo"),
         "n", "n_total", "n_valued", *extra,
         (F.col("n") / F.col("n_total") * F.lit(100)).alias("pct"),
