@@ -9,9 +9,9 @@ borders (prefix sums over the split table, joined back).
 Two stitch rules, both per file in line order:
 
 * ``parity`` (default): a line starts a record iff the number of '"' in all
-  earlier lines of its file is even. A record longer than
-  ``max_record_lines`` lines (an unclosed quote swallowing the file) is not
-  glued: each of its lines becomes its own record and is checked alone.
+  earlier lines of its file is even. At most ``max_record_lines`` lines are
+  glued into one record: after an unclosed quote the glued head fails the
+  strict check, and every deeper line stands alone and is checked by itself.
 * ``pairwise`` (the original rule): a line with fewer than 11 comma pieces
   is held and glued to the next line, whatever that line holds.
 
