@@ -81,7 +81,7 @@ def _pick(parity: Column, even: str, odd: str) -> Column:
 def stitch_parity(lines: DataFrame, max_record_lines: int = DEFAULT_MAX_RECORD_LINES) -> DataFrame:
     """Records (file, line_no, n_lines, raw) by quote parity.
 
-    One windowed pass per split computes everything for both possible
+    Two window passes per split compute everything for both possible
     parities of the quotes before the split; the split table then fixes the
     parity and carries the last record start across split borders. All
     frames are running frames (linear time).
