@@ -129,7 +129,8 @@ def stitch_pairwise(lines: DataFrame, min_pieces: int = MIN_PIECES) -> DataFrame
     ``carry``, the length of the short run ending right before it.
     """
     w = _split_window()
-    short = F.size(F.split(F.col("line"), ",", -1)) < F.lit(min_pieces)
+    commas = F.length(F.col("line")) - F.length(F.regexp_replace(F.col("line"), ",", ""))
+    short = (commas + 1) < F.lit(min_pieces)          # pieces = commas + 1, no array per line
     lw = _by_split(lines).withColumn("short", short)
     # window pass 1 (one WindowExec): line index, previous line short?
     lw = lw.select("*", (F.row_number().over(w) - 1).alias("i_in"),
