@@ -41,7 +41,8 @@ HEADER_RECORD = rf'^ *(?:{re.escape(HEADER_FIRST_CELL)}|"{re.escape(HEADER_FIRST
 
 def cell_count(raw: Column) -> Column:
     """Cells of a well-formed record: commas outside quoted sections + 1."""
-    return F.size(F.split(F.regexp_replace(raw, _QUOTED, ""), ",", -1))
+    bare = F.regexp_replace(raw, _QUOTED, "")
+    return F.length(bare) - F.length(F.regexp_replace(bare, ",", "")) + F.lit(1)
 
 
 def _cells_schema(width: int) -> str:
