@@ -88,3 +88,11 @@ def test_year_predicate_pushdown_and_empty_list(spark):
     some = pay_view(spark, SF_SMALL, [1996, 1998])
     years = {r["year"] for r in some.select("year").distinct().collect()}
     assert years == {1996, 1998}
+
+
+def test_ingest_writes_reason_summary(spark):
+    base = scratch_path(spark, "summary-test")
+    ingest_job(spark, str(FIXTURES / "20*-payroll.csv"), f"{base}/silver", f"{base}/bad")
+    summary = {r["reason"]: (r["n"], r["lines"]) for r in spark.read.parquet(f"{base}/bad_summary").collect()}
+    assert summary["malformed_quote"] == (2, 3)     # "Bad"tail (1 line) + unclosed quote glued (2 lines)
+    assert summary["extra_cells"][0] == 1 and summary["out_of_range"][0] == 1

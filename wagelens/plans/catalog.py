@@ -24,7 +24,7 @@ from wagelens.plans.reports import map_report
 from wagelens.session import scratch_path
 from wagelens.sources import delimited as dl
 from wagelens.sources.lines import lines_of_texts, stitch_pairwise, stitch_parity
-from wagelens.sources.payroll_csv import read_payroll
+from wagelens.sources.payroll_csv import read_payroll, reason_summary
 from wagelens.schema import BAY_AREA, CALIFORNIA, NUMBER_PATTERN, PAY_EDGES, MapRun
 from wagelens.sources import tables as tb
 
@@ -195,9 +195,7 @@ def q_csv_parse(spark, sf):
 
 
 def q_strict_reject(spark, sf):
-    p = _parsed_orders(spark, sf)
-    return p.groupBy("reason").agg(F.count(F.lit(1)).alias("n"),
-                                   F.sum("n_lines").cast("bigint").alias("lines"))
+    return reason_summary(_parsed_orders(spark, sf))
 
 
 DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING"

@@ -28,7 +28,7 @@ from wagelens.operators.histogram import explode_bins
 from wagelens.plans.reports import map_report_from_stats
 from wagelens.schema import PAY_EDGES, REPORT_RUNS, MapRun
 from wagelens.sources.locations import read_location_csv
-from wagelens.sources.payroll_csv import read_payroll, split_valid, to_silver
+from wagelens.sources.payroll_csv import read_payroll, reason_summary, split_valid, to_silver
 
 
 def ingest_job(spark: SparkSession, source: str, silver: str, quarantine: str,
@@ -41,6 +41,7 @@ def ingest_job(spark: SparkSession, source: str, silver: str, quarantine: str,
         valid, rejected = split_valid(parsed)
         to_silver(valid, silver)
         rejected.write.mode("overwrite").parquet(quarantine)
+        reason_summary(parsed).write.mode("overwrite").parquet(f"{quarantine}_summary")
     finally:
         parsed.unpersist()
 

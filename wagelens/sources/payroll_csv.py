@@ -103,6 +103,12 @@ def split_valid(parsed: DataFrame, min_cells: int = MIN_PIECES) -> tuple[DataFra
     return valid, quarantine
 
 
+def reason_summary(parsed: DataFrame) -> DataFrame:
+    """Records and physical lines per reason (null = clean records)."""
+    return parsed.groupBy("reason").agg(F.count(F.lit(1)).alias("n"),
+                                        F.sum("n_lines").cast("bigint").alias("lines"))
+
+
 def fail_on_rejects(parsed: DataFrame) -> DataFrame:
     """Strict mode: the job fails on the first rejected record, naming it."""
     bad = F.coalesce(F.col("reason").isin(*REJECTING), F.lit(False))
@@ -173,5 +179,5 @@ def to_silver(valid: DataFrame, path: str, mode: str = "overwrite") -> None:
      .write.mode(mode).partitionBy("year").parquet(path))
 
 
-__all__ = ["parse_records", "split_valid", "read_payroll", "fail_on_rejects", "read_payroll_lenient", "to_silver",
+__all__ = ["parse_records", "split_valid", "read_payroll", "fail_on_rejects", "reason_summary", "read_payroll_lenient", "to_silver",
            "cell_count", "TEXT_COLUMNS"]
