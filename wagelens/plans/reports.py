@@ -3,8 +3,9 @@
 The original job reads all files once per map (eight maps, eight scans and
 eight shuffles). Here ``map_report`` draws every (window, year) map from
 ONE aggregation of the facts: sum/count per (year, agency), one join with
-the location table, one equi-join with the small run table on year, one
-extent aggregate and one cell aggregate.
+the location table, one equi-join with the small run table on year, the
+extents by a window over (map, year) on those aggregated points, and one
+cell aggregate.
 """
 
 from __future__ import annotations
