@@ -275,3 +275,10 @@ def test_lenient_and_strict_readers_agree_on_well_formed_records(spark):
         .select(*cols)
     assert strict.count() > 1000
     assert sorted(strict.collect()) == sorted(lenient.collect())
+
+
+def test_invalid_utf8_bytes_are_ignored(spark, tmp_path):
+    f = tmp_path / "2019-payroll.csv"
+    f.write_bytes(b"Jos\xff\xfee,x,1,2,3,4,5,6,2019,n,Caf\xc3\xa9,FT\n")
+    rows = read_payroll(spark, str(f)).collect()
+    assert [(r["employee_name"], r["agency"]) for r in rows] == [("Jose", "Café")]

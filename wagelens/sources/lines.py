@@ -32,10 +32,13 @@ LINE_BREAK = r"\r\n|\r|\n"
 def lines_of_files(spark, paths) -> DataFrame:
     """(file, blk, seq, line) from text files; splittable, one row per line."""
     df = spark.read.text(paths)
+    # drop a byte-order mark at line start, and U+FFFD, which the UTF-8 decoder
+    # puts in place of invalid bytes (invalid bytes are ignored, not kept)
+    line = F.regexp_replace(F.regexp_replace("value", "^\uFEFF", ""), "\uFFFD", "")
     return df.select(F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("blk"),
                      F.monotonically_increasing_id().alias("seq"),
-                     F.regexp_replace("value", "^\uFEFF", "").alias("line"))   # byte-order mark
+                     line.alias("line"))
 
 
 def lines_of_texts(df: DataFrame, file_col: str, text_col: str) -> DataFrame:
