@@ -282,3 +282,25 @@ def test_invalid_utf8_bytes_are_ignored(spark, tmp_path):
     f.write_bytes(b"Jos\xff\xfee,x,1,2,3,4,5,6,2019,n,Caf\xc3\xa9,FT\n")
     rows = read_payroll(spark, str(f)).collect()
     assert [(r["employee_name"], r["agency"]) for r in rows] == [("Jose", "Café")]
+
+
+def test_strict_check_matches_python_csv_strict(spark):
+    """strict_ok agrees with Python's csv reader (strict, skipinitialspace) on random records."""
+    import csv
+    import random
+    from wagelens.functions.cells import strict_ok
+    rnd = random.Random(5)
+    alphabet = ["a", "b", ",", '"', " ", '""']
+    samples = sorted({"".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 10))) for _ in range(6000)})
+
+    def python_ok(s):
+        try:
+            rows = list(csv.reader([s], strict=True, skipinitialspace=True, quotechar='"', delimiter=","))
+        except csv.Error:
+            return False
+        return len(rows) == 1
+
+    df = spark.createDataFrame([(s,) for s in samples], "raw string")
+    got = {r["raw"]: r["ok"] for r in df.select("raw", strict_ok(F.col("raw")).alias("ok")).collect()}
+    wrong = [s for s in samples if got[s] != python_ok(s)]
+    assert len(samples) > 3000 and not wrong, wrong[:10]
