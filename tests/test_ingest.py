@@ -304,3 +304,24 @@ def test_strict_check_matches_python_csv_strict(spark):
     got = {r["raw"]: r["ok"] for r in df.select("raw", strict_ok(F.col("raw")).alias("ok")).collect()}
     wrong = [s for s in samples if got[s] != python_ok(s)]
     assert len(samples) > 3000 and not wrong, wrong[:10]
+
+
+def test_cell_kind_matches_python_rule(spark):
+    import random
+    import re as pyre
+    from wagelens.functions.cells import cell_kind
+    from wagelens.schema import NULL_MARKER, NUMBER_PATTERN
+    rnd = random.Random(9)
+    parts = ["1", "2", "0", ".", "e", "E", "+", "-", "a", " ", "$", ","]
+    samples = sorted({"".join(rnd.choice(parts) for _ in range(rnd.randint(0, 6))) for _ in range(4000)}
+                     | {NULL_MARKER, "not provided", "5.", ".5", "1e5", "+1", "-2", "6e2", "1.005"})
+
+    def python_kind(s):
+        if pyre.match(NUMBER_PATTERN, s) is None:
+            return "null" if s == NULL_MARKER else "text"
+        return "float" if "." in s else "int"
+
+    df = spark.createDataFrame([(s,) for s in samples], "cell string")
+    got = {r["cell"]: r["kind"] for r in df.select("cell", cell_kind(F.col("cell")).alias("kind")).collect()}
+    wrong = [s for s in samples if got[s] != python_kind(s)]
+    assert not wrong, wrong[:10]
