@@ -154,3 +154,40 @@ def test_bin_upper_labels_end_with_inf(spark):
     df = spark.createDataFrame([(2011, 5.0)], "year int, pay double")
     h = sorted(fixed_histogram(df, "pay", "year").collect(), key=lambda r: r["bin_idx"])
     assert [r["bin_hi_label"] for r in h] == ["10 k", "20 k", "50 k", "100 k", "150 k", "200 k", "inf"]
+
+
+def snyder_lcc(lon, lat, lon0, lat0, width, height, radius=6370997.0):
+    """Spherical LCC, one standard parallel (Snyder 1987, eqs. 15-1..15-4), in NumPy."""
+    phi, lam = np.radians(lat), np.radians(lon)
+    phi0, lam0 = np.radians(lat0), np.radians(lon0)
+    n = np.sin(phi0)
+    big_f = np.cos(phi0) * np.tan(np.pi / 4 + phi0 / 2) ** n / n
+    rho = radius * big_f / np.tan(np.pi / 4 + phi / 2) ** n
+    rho0 = radius * big_f / np.tan(np.pi / 4 + phi0 / 2) ** n
+    dlam = (lam - lam0 + np.pi) % (2 * np.pi) - np.pi
+    theta = n * dlam
+    return rho * np.sin(theta) + width / 2, rho0 - rho * np.cos(theta) + height / 2
+
+
+def test_projection_matches_independent_formula(spark):
+    rng = np.random.default_rng(4)
+    lon = rng.uniform(-125, -113, 200)
+    lat = rng.uniform(32, 42, 200)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(lon, lat)], "lon double, lat double")
+    for lon0, lat0, w, h in ((-119.0, 37.2, 1e6, 1.2e6), (-122.16, 37.72, 1.2e5, 1.2e5)):
+        x, y = lcc_xy(F.col("lon"), F.col("lat"), lon0, lat0, w, h)
+        got = df.select("lon", "lat", x.alias("x"), y.alias("y")).collect()
+        gx = np.array([r["x"] for r in got])
+        gy = np.array([r["y"] for r in got])
+        wx, wy = snyder_lcc(np.array([r["lon"] for r in got]), np.array([r["lat"] for r in got]),
+                            lon0, lat0, w, h)
+        assert np.max(np.abs(gx - wx)) < 1e-6 and np.max(np.abs(gy - wy)) < 1e-6
+
+
+def test_longitude_wraps_across_the_antimeridian(spark):
+    df = spark.createDataFrame([(-175.0, 10.0), (185.0, 10.0)], "lon double, lat double")
+    x, y = lcc_xy(F.col("lon"), F.col("lat"), 170.0, 10.0, 1e6, 1e6)
+    a, b = df.select(x.alias("x"), y.alias("y")).collect()
+    assert a["x"] == pytest.approx(b["x"], abs=1e-6) and a["x"] > 5e5   # 15 degrees east
+    wx, _ = snyder_lcc(np.array([-175.0]), np.array([10.0]), 170.0, 10.0, 1e6, 1e6)
+    assert a["x"] == pytest.approx(float(wx[0]), abs=1e-6)
