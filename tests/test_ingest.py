@@ -325,3 +325,18 @@ def test_cell_kind_matches_python_rule(spark):
     got = {r["cell"]: r["kind"] for r in df.select("cell", cell_kind(F.col("cell")).alias("kind")).collect()}
     wrong = [s for s in samples if got[s] != python_kind(s)]
     assert not wrong, wrong[:10]
+
+
+def test_silver_overwrites_only_ingested_years(spark, tmp_path):
+    a = tmp_path / "a" / "2011-payroll.csv"
+    b = tmp_path / "b" / "2012-payroll.csv"
+    a.parent.mkdir()
+    b.parent.mkdir()
+    a.write_text("A,x,1,2,3,4,5,6,2011,n,Oak,FT\n")
+    b.write_text("B,x,1,2,3,4,5,6,2012,n,Oak,FT\nC,x,1,2,3,4,5,7,2012,n,Oak,FT\n")
+    path = scratch_path(spark, "silver-dynamic")
+    to_silver(split_valid(read_payroll(spark, str(a)))[0], path)
+    to_silver(split_valid(read_payroll(spark, str(b)))[0], path)
+    to_silver(split_valid(read_payroll(spark, str(b)))[0], path)      # re-run: same rows
+    counts = {r["year"]: r["count"] for r in spark.read.parquet(path).groupBy("year").count().collect()}
+    assert counts == {2011: 1, 2012: 2}

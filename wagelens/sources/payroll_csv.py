@@ -169,14 +169,17 @@ def read_payroll_lenient(spark: SparkSession, paths) -> DataFrame:
 def to_silver(valid: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write valid rows as Parquet partitioned by year (partition pruning later).
 
-    A rebalance on year keeps the file count low while AQE splits a hot
-    year over several tasks (a plain repartition would put a whole year in
-    one task).
+    Overwrite is dynamic: only the years present in ``valid`` are replaced,
+    so re-ingesting one year's file leaves the other years alone. A
+    rebalance on year keeps the file count low while AQE splits a hot year
+    over several tasks (a plain repartition would put a whole year in one
+    task).
     """
     cols = list(PAYROLL_COLUMNS) + ["reason", "file", "line_no"]
     (valid.select(*[c for c in cols if c in valid.columns])
      .hint("rebalance", "year")
-     .write.mode(mode).partitionBy("year").parquet(path))
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy("year").parquet(path))
 
 
 __all__ = ["parse_records", "split_valid", "read_payroll", "fail_on_rejects", "reason_summary", "read_payroll_lenient", "to_silver",
