@@ -62,11 +62,12 @@ def _by_split(lines: DataFrame) -> DataFrame:
     Derived columns are computed after the shuffle, so all branches of the
     plan need the same shuffled columns and AQE reads the input only once.
     The shuffle has as many partitions as the scan (about one input split
-    per task), not ``spark.sql.shuffle.partitions``: at 100 TB a fixed small
-    count would put hundreds of GB into each task.
+    per task), and at least one per core; not ``spark.sql.shuffle.partitions``:
+    at 100 TB a fixed small count would put hundreds of GB into each task.
     """
     raw = lines.select("file", "blk", "seq", "line")
-    return raw.repartition(max(1, raw.rdd.getNumPartitions()), "file", "blk")
+    cores = raw.sparkSession.sparkContext.defaultParallelism
+    return raw.repartition(max(1, cores, raw.rdd.getNumPartitions()), "file", "blk")
 
 
 def _running(w):
