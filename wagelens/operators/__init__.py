@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators: histogram, statistics, location lookup, hexbin."""

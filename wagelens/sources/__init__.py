@@ -1,0 +1 @@
+"""Readers and writers: positioned lines, stitching, payroll CSV, locations, TSV, test views."""

@@ -1,0 +1 @@
+"""Structured Streaming: incremental ingest of landed payroll files."""
