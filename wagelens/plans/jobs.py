@@ -27,6 +27,7 @@ from wagelens.operators.stats import (rollup_agencies, rollup_years, stats_from_
 from wagelens.operators.histogram import explode_bins
 from wagelens.plans.reports import map_report_from_stats
 from wagelens.schema import PAY_EDGES, REPORT_RUNS, MapRun
+from wagelens.session import ensure_checkpoint_dir
 from wagelens.sources.locations import read_location_csv
 from wagelens.sources.payroll_csv import read_payroll, reason_summary, split_valid, to_silver
 
@@ -65,6 +66,7 @@ def report_job(spark: SparkSession, silver: str, locations: str, out_dir: str,
     (years x agencies rows) is checkpointed into the shared folder, which
     also cuts its lineage from the silver scan.
     """
+    ensure_checkpoint_dir(spark)             # the shared folder checkpoint() writes to
     pay = silver_pay(spark, silver)
     rolled = year_agency_rollup(pay, "pay", "year", "agency", edges).checkpoint()
     wide = rollup_years(rolled)
