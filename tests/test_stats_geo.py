@@ -191,3 +191,18 @@ def test_longitude_wraps_across_the_antimeridian(spark):
     assert a["x"] == pytest.approx(b["x"], abs=1e-6) and a["x"] > 5e5   # 15 degrees east
     wx, _ = snyder_lcc(np.array([-175.0]), np.array([10.0]), 170.0, 10.0, 1e6, 1e6)
     assert a["x"] == pytest.approx(float(wx[0]), abs=1e-6)
+
+
+def test_hex_centres_match_direct_lattice(spark):
+    rng = np.random.default_rng(21)
+    x = rng.integers(0, 1_000_000, 200)
+    y = rng.integers(0, 1_200_000, 200)
+    df = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in zip(x, y)], "x bigint, y bigint, mean_k double")
+    nx = 7
+    ny = hex_rows(nx)
+    xmin, xmax, ymin, ymax = float(x.min()), float(x.max()), float(y.min()), float(y.max())
+    pad = 1e-9 * (xmax - xmin)
+    x0, sx, sy = xmin - pad, ((xmax + pad) - (xmin - pad)) / nx, (ymax - ymin) / ny
+    for r in hexbin(df, [], nx, ny).collect():
+        assert r["cx"] == pytest.approx(x0 + r["hx2"] / 2 * sx, rel=1e-12)
+        assert r["cy"] == pytest.approx(ymin + r["hy2"] / 2 * sy, rel=1e-12)
