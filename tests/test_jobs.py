@@ -96,3 +96,17 @@ def test_ingest_writes_reason_summary(spark):
     summary = {r["reason"]: (r["n"], r["lines"]) for r in spark.read.parquet(f"{base}/bad_summary").collect()}
     assert summary["malformed_quote"] == (2, 3)     # "Bad"tail (1 line) + unclosed quote glued (2 lines)
     assert summary["extra_cells"][0] == 1 and summary["out_of_range"][0] == 1
+
+
+def test_report_summary_lines(spark, tmp_path):
+    from wagelens.plans.jobs import report_summary
+    base = scratch_path(spark, "summary-lines")
+    ingest_job(spark, str(FIXTURES / "20*-payroll.csv"), f"{base}/silver", f"{base}/bad")
+    loc = tmp_path / "location_lon_lat.csv"
+    loc.write_text("Oakland,37.80,-122.27\nDavis,38.54,-121.74\n")
+    report_job(spark, f"{base}/silver", str(loc), f"{base}/out",
+               (MapRun.of(CALIFORNIA, 10, (2011, 2012)),))
+    lines = report_summary(spark, f"{base}/out")
+    assert lines[0] == "12 payroll records are found."
+    assert lines[1] == "years: [2011, 2012, 2013, 2014]"
+    assert "california 2011: 1 located of 3 agencies" in lines

@@ -85,6 +85,25 @@ def report_job(spark: SparkSession, silver: str, locations: str, out_dir: str,
     map_report_from_stats(per_agency, loc, runs).write.mode("overwrite").parquet(f"{out_dir}/map_cells")
 
 
+def report_summary(spark: SparkSession, out_dir: str) -> list[str]:
+    """Console lines like the original run's: records, filled years, places per map.
+
+    Reads the small written tables only (one row per year / per map cell).
+    """
+    stats = spark.read.parquet(f"{out_dir}/year_stats")
+    counts = spark.read.parquet(f"{out_dir}/location_counts")
+    cells = spark.read.parquet(f"{out_dir}/map_cells")
+    total = stats.agg(F.sum("n_total").alias("n")).first()["n"] or 0
+    years = [r["year"] for r in stats.where("n_total > 0").orderBy("year").select("year").collect()]
+    lines = [f"{total} payroll records are found.", f"years: {years}"]
+    per_year = {r["year"]: (r["n_agencies"], r["n_located"]) for r in counts.collect()}
+    for r in (cells.groupBy("map_name", "year").agg(F.sum("n_points").alias("n"))
+              .orderBy("map_name", "year").collect()):
+        agencies = per_year.get(r["year"], (0, 0))[0]
+        lines.append(f"{r['map_name']} {r['year']}: {r['n']} located of {agencies} agencies")
+    return lines
+
+
 def main(argv: Sequence[str]) -> int:
     from wagelens.session import build_session
     spark = build_session()
@@ -93,6 +112,7 @@ def main(argv: Sequence[str]) -> int:
         ingest_job(spark, *args[:3], *(args[3:4] or ["parity"]))
     elif cmd == "report":
         report_job(spark, *args[:3])
+        print("\n".join(report_summary(spark, args[2])))
     else:
         raise SystemExit(__doc__)
     return 0
