@@ -20,5 +20,9 @@ def main(argv: list[str]) -> int:
     return jobs_main(argv)
 
 
+def cli() -> int:
+    return main(sys.argv[1:])
+
+
 if __name__ == "__main__":
-    sys.exit(main(sys.argv[1:]))
+    sys.exit(cli())
