@@ -210,8 +210,8 @@ def _sequential_pairwise(lines):
     return out
 
 
-@pytest.mark.parametrize("seed", [11, 12])
-def test_random_files_tiny_splits_match_sequential_rules(spark, tmp_path, seed):
+@pytest.mark.parametrize("seed,eol", [(11, "\n"), (12, "\n"), (13, "\r\n")])
+def test_random_files_tiny_splits_match_sequential_rules(spark, tmp_path, seed, eol):
     import random
     rnd = random.Random(seed)
     tokens = ["a", "b", ",", ",,,,,", '"', '""', " ", "x,y,z,w,v,u,t,s,r,q,p"]
@@ -220,7 +220,7 @@ def test_random_files_tiny_splits_match_sequential_rules(spark, tmp_path, seed):
         lines = ["".join(rnd.choice(tokens) for _ in range(rnd.randint(0, 8)))
                  for _ in range(rnd.randint(30, 70))]
         path = tmp_path / f"f{k}.csv"
-        path.write_text("\n".join(lines) + "\n")
+        path.write_bytes((eol.join(lines) + eol).encode("utf-8"))
         files[str(path)] = lines
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "50")
