@@ -110,3 +110,12 @@ def test_report_summary_lines(spark, tmp_path):
     assert lines[0] == "12 payroll records are found."
     assert lines[1] == "years: [2011, 2012, 2013, 2014]"
     assert "california 2011: 1 located of 3 agencies" in lines
+
+
+def test_first_records_in_file_order_on_silver(spark):
+    from wagelens.operators.stats import first_records
+    base = scratch_path(spark, "first-records")
+    ingest_job(spark, str(FIXTURES / "20*-payroll.csv"), f"{base}/silver", f"{base}/bad")
+    silver = spark.read.parquet(f"{base}/silver")
+    rows = first_records(silver, 3, ["file", "line_no"]).collect()
+    assert [r["employee_name"] for r in rows] == ["Doe, Jane", "Multi", "Esc"]

@@ -113,9 +113,13 @@ def year_axis(df: DataFrame, year: str = "year") -> DataFrame:
                   (F.max(year) + 1).cast("int").alias("hi"))
 
 
-def first_records(df: DataFrame, n: int = 12, order_by: str = "rec_id") -> DataFrame:
-    """The first ``n`` records by key (a distributed top-k, no full sort)."""
-    return df.orderBy(order_by).limit(n)
+def first_records(df: DataFrame, n: int = 12, order_by: Sequence[str] | str = "rec_id") -> DataFrame:
+    """The first ``n`` records by key (a distributed top-k, no full sort).
+
+    On the silver table ``order_by=["file", "line_no"]`` gives file order.
+    """
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    return df.orderBy(*keys).limit(n)
 
 
 def values_of(df: DataFrame, key: str, key_value, columns: Sequence[str]) -> DataFrame:
