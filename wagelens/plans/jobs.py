@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -57,32 +58,42 @@ def silver_pay(spark: SparkSession, silver: str, years: Sequence[int] | None = N
 
 
 def report_job(spark: SparkSession, silver: str, locations: str, out_dir: str,
-               runs: Sequence[MapRun] = REPORT_RUNS, edges: Sequence[float] = PAY_EDGES) -> None:
+               runs: Sequence[MapRun] = REPORT_RUNS, edges: Sequence[float] = PAY_EDGES,
+               parallel_writes: int = 4) -> None:
     """One pass over the silver table, everything else from its small result.
 
     ``rollup(year, agency)`` yields the per-year bin counts and moments
     (histogram, statistics, axis) and the per-(year, agency) sums (agency
     table, location counts, worklist, all maps) from one scan. The result
     (years x agencies rows) is checkpointed into the shared folder, which
-    also cuts its lineage from the silver scan.
+    also cuts its lineage from the silver scan. The output tables are then
+    independent small jobs, submitted concurrently from ``parallel_writes``
+    driver threads.
     """
     ensure_checkpoint_dir(spark)             # the shared folder checkpoint() writes to
     pay = silver_pay(spark, silver)
     rolled = year_agency_rollup(pay, "pay", "year", "agency", edges).checkpoint()
     wide = rollup_years(rolled)
-    explode_bins(wide, ["year"], edges).write.mode("overwrite").parquet(f"{out_dir}/hist_by_year")
-    stats_from_wide(wide).write.mode("overwrite").parquet(f"{out_dir}/year_stats")
-    year_axis(wide).write.mode("overwrite").parquet(f"{out_dir}/year_axis")
-
     per_agency = rollup_agencies(rolled)
     loc = read_location_csv(spark, locations)
     located = locate(per_agency, loc)
-    located.write.mode("overwrite").parquet(f"{out_dir}/agency_stats")
-    (located.groupBy("year").agg(F.count(F.lit(1)).alias("n_agencies"),
-                                 F.count("lat").alias("n_located"))
-     .write.mode("overwrite").parquet(f"{out_dir}/location_counts"))
-    geocode_worklist(per_agency, loc).write.mode("overwrite").parquet(f"{out_dir}/geocode_worklist")
-    map_report_from_stats(per_agency, loc, runs).write.mode("overwrite").parquet(f"{out_dir}/map_cells")
+    outputs = {
+        "hist_by_year": explode_bins(wide, ["year"], edges),
+        "year_stats": stats_from_wide(wide),
+        "year_axis": year_axis(wide),
+        "agency_stats": located,
+        "location_counts": located.groupBy("year").agg(F.count(F.lit(1)).alias("n_agencies"),
+                                                       F.count("lat").alias("n_located")),
+        "geocode_worklist": geocode_worklist(per_agency, loc),
+        "map_cells": map_report_from_stats(per_agency, loc, runs),
+    }
+
+    def write(item):
+        name, df = item
+        df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_writes)) as pool:
+        list(pool.map(write, outputs.items()))      # re-raises the first failed write
 
 
 def report_summary(spark: SparkSession, out_dir: str) -> list[str]:
