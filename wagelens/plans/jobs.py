@@ -41,9 +41,11 @@ def ingest_job(spark: SparkSession, source: str, silver: str, quarantine: str,
     parsed = read_payroll(spark, source, mode).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         valid, rejected = split_valid(parsed)
-        to_silver(valid, silver)
-        rejected.write.mode("overwrite").parquet(quarantine)
-        reason_summary(parsed).write.mode("overwrite").parquet(f"{quarantine}_summary")
+        to_silver(valid, silver)                 # computes and caches the parse
+        small = [lambda: rejected.write.mode("overwrite").parquet(quarantine),
+                 lambda: reason_summary(parsed).write.mode("overwrite").parquet(f"{quarantine}_summary")]
+        with ThreadPoolExecutor(max_workers=len(small)) as pool:
+            list(pool.map(lambda job: job(), small))    # both read the cache, concurrently
     finally:
         parsed.unpersist()
 
