@@ -32,11 +32,14 @@ def location_map(pay: DataFrame, locations: DataFrame, year: int | None, lon_0:
                  width: float, height: float, gridsize: int) -> DataFrame:
     """One map: agencies of one year (or of all records when ``year`` is None),
     projected and hex-binned."""
-    facts = pay if year is None else pay.where(F.col("year") == year)
-    facts = facts.withColumn("_map", F.lit(0))
-    stats = agency_stats(facts, by=["_map", "agency"])
+    if year is None:                      # one map over every record: a single group
+        facts, key = pay.withColumn("_map", F.lit(0)), "_map"
+    else:                                 # keyed by year, so the extent window has a real key
+        facts, key = pay.where(F.col("year") == year), "year"
+    stats = agency_stats(facts, by=[key, "agency"])
     pts = project(located_only(locate(stats, locations)), lon_0, lat_0, width, height)
-    return hexbin(pts, ["_map"], gridsize, hex_rows(gridsize)).drop("_map")
+    cells = hexbin(pts, [key], gridsize, hex_rows(gridsize))
+    return cells.drop("_map") if year is None else cells
 
 
 RUN_SCHEMA = T.StructType([
