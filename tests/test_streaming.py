@@ -36,3 +36,17 @@ def test_stream_ingest_matches_batch_and_is_incremental(spark):
     assert spark.read.parquet(silver).count() == both.count()
     assert sorted(r["employee_name"] or "" for r in both.collect()) == \
         sorted(r["employee_name"] or "" for r in want.collect())
+
+
+def test_stream_ingest_pairwise_mode_matches_batch(spark):
+    base = Path(scratch_path(spark, "stream-pairwise"))
+    landing, silver, bad, ck = (str(base / n) for n in ("landing", "silver", "quarantine", "ck"))
+    Path(landing).mkdir(parents=True)
+    for name in ("2011-payroll.csv", "2012-payroll.csv"):
+        shutil.copy(FIXTURES / name, landing)
+    q = start_payroll_ingest(spark, landing, silver, bad, ck, mode="pairwise")
+    q.awaitTermination(300)
+    got = sorted(r["employee_name"] or "" for r in spark.read.parquet(silver).collect())
+    batch = read_payroll(spark, str(FIXTURES / "20*-payroll.csv"), "pairwise")
+    want = batch.where("reason IS NULL OR reason NOT IN ('malformed_quote', 'missing_cells')")
+    assert got == sorted(r["employee_name"] or "" for r in want.collect())
