@@ -182,5 +182,5 @@ def to_silver(valid: DataFrame, path: str, mode: str = "overwrite") -> None:
      .partitionBy("year").parquet(path))
 
 
-__all__ = ["parse_records", "split_valid", "read_payroll", "fail_on_rejects", "reason_summary", "read_payroll_lenient", "to_silver",
-           "cell_count", "TEXT_COLUMNS"]
+__all__ = ["parse_records", "split_valid", "read_payroll", "fail_on_rejects", "reason_summary",
+           "read_payroll_lenient", "to_silver", "cell_count", "TEXT_COLUMNS"]
