@@ -340,3 +340,13 @@ def test_silver_overwrites_only_ingested_years(spark, tmp_path):
     to_silver(split_valid(read_payroll(spark, str(b)))[0], path)      # re-run: same rows
     counts = {r["year"]: r["count"] for r in spark.read.parquet(path).groupBy("year").count().collect()}
     assert counts == {2011: 1, 2012: 2}
+
+
+def test_tsv_writer_format(spark, tmp_path):
+    import glob
+    from wagelens.sources.delimited import write_tsv
+    df = spark.createDataFrame([("a\tb", 'x"y', 1, " lead")], "c1 string, c2 string, c3 int, c4 string")
+    out = str(tmp_path / "tsv")
+    write_tsv(df.coalesce(1), out)
+    text = "".join(open(f, encoding="utf-8").read() for f in glob.glob(out + "/part-*"))
+    assert text == '"a\tb"\t"x""y"\t"1"\t" lead"\n'
