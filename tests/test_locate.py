@@ -104,3 +104,11 @@ def test_bom_is_dropped(spark, tmp_path):
                   .encode("utf-8"))
     rows = read_payroll(spark, str(f)).collect()
     assert [r["employee_name"] for r in rows] == ["A"]
+
+
+def test_location_csv_quoted_names(spark, tmp_path):
+    src = tmp_path / "location_lon_lat.csv"
+    src.write_text('"San Francisco, City of",37.77,-122.42\n"Say ""Hi"" Town",36.1,-119.2\n')
+    rows = {r["agency"]: r for r in read_location_csv(spark, str(src)).collect()}
+    assert rows["San Francisco, City of"]["lat"] == 37.77
+    assert rows['Say "Hi" Town']["lon"] == -119.2
