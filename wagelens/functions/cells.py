@@ -45,8 +45,13 @@ def money_cell(cell: Column) -> Column:
 
 
 def int_cell(cell: Column) -> Column:
-    """INT of an integer-looking numeric cell (1e3 accepted as 1000)."""
-    return F.when(is_number(cell), cell.try_cast("double").try_cast("int"))
+    """INT of a numeric cell with an integral value (1e3 and 2011.0 accepted).
+
+    A fractional value such as 2011.7 gives null (and a reason), not a
+    silently truncated year.
+    """
+    d = cell.try_cast("double")
+    return F.when(is_number(cell) & (d == F.floor(d)), d.try_cast("int"))
 
 
 def cell_problem(cell: Column, typed: Column) -> Column:
