@@ -353,9 +353,11 @@ def test_tsv_writer_format(spark, tmp_path):
 
 
 def test_year_cell_must_be_integral(spark):
-    text = "A,x,1,2,3,4,5,6,2011.0,n,Oak,FT\nB,x,1,2,3,4,5,6,2011.7,n,Oak,FT\nC,x,1,2,3,4,5,6,2e3,n,Oak,FT\n"
+    text = ("A,x,1,2,3,4,5,6,2011.0,n,Oak,FT\nB,x,1,2,3,4,5,6,2011.7,n,Oak,FT\n"
+            "C,x,1,2,3,4,5,6,2e3,n,Oak,FT\nD,x,1,2,3,4,5,6,1e30,n,Oak,FT\n")
     df = spark.createDataFrame([("f", text)], "file string, text string")
     rows = {r["employee_name"]: r for r in parse_records(stitch_parity(lines_of_texts(df, "file", "text"))).collect()}
     assert rows["A"]["year"] == 2011 and rows["A"]["reason"] is None
     assert rows["B"]["year"] is None and rows["B"]["reason"] == "out_of_range"
     assert rows["C"]["year"] == 2000
+    assert rows["D"]["year"] is None and rows["D"]["reason"] == "out_of_range"

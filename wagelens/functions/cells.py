@@ -51,7 +51,8 @@ def int_cell(cell: Column) -> Column:
     silently truncated year.
     """
     d = cell.try_cast("double")
-    return F.when(is_number(cell) & (d == F.floor(d)), d.try_cast("int"))
+    # round() keeps DOUBLE, so a huge value cannot overflow the test itself
+    return F.when(is_number(cell) & (F.round(d, 0) == d), d.try_cast("int"))
 
 
 def cell_problem(cell: Column, typed: Column) -> Column:
