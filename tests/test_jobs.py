@@ -119,3 +119,16 @@ def test_first_records_in_file_order_on_silver(spark):
     silver = spark.read.parquet(f"{base}/silver")
     rows = first_records(silver, 3, ["file", "line_no"]).collect()
     assert [r["employee_name"] for r in rows] == ["Doe, Jane", "Multi", "Esc"]
+
+
+def test_report_restricted_to_years_prunes_partitions(spark, tmp_path):
+    from wagelens.plans.jobs import main, silver_pay
+    base = scratch_path(spark, "years-test")
+    ingest_job(spark, str(FIXTURES / "20*-payroll.csv"), f"{base}/silver", f"{base}/bad")
+    plan = silver_pay(spark, f"{base}/silver", [2012])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "2012" in plan
+    loc = tmp_path / "location_lon_lat.csv"
+    loc.write_text("Oakland,37.80,-122.27\n")
+    assert main(["report", f"{base}/silver", str(loc), f"{base}/out", "--years=2012,2013"]) == 0
+    years = sorted(r["year"] for r in spark.read.parquet(f"{base}/out/year_stats").collect())
+    assert years == [2012, 2013]

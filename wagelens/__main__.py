@@ -1,7 +1,7 @@
 """python -m wagelens {ingest|report|stream} ...
 
   ingest SRC_GLOB SILVER QUARANTINE [parity|pairwise]
-  report SILVER LOCATIONS_CSV OUT_DIR          (prints the run summary)
+  report SILVER LOCATIONS_CSV OUT_DIR [--years=2011,2012]   (prints the run summary)
   stream LANDING SILVER QUARANTINE CHECKPOINT [--continuous]
 """
 

@@ -9,7 +9,7 @@
 
 Usage:
   python -m wagelens.plans.jobs ingest SRC_GLOB SILVER QUARANTINE [parity|pairwise]
-  python -m wagelens.plans.jobs report SILVER LOCATIONS_CSV OUT_DIR
+  python -m wagelens.plans.jobs report SILVER LOCATIONS_CSV OUT_DIR [--years=2011,2012]
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def silver_pay(spark: SparkSession, silver: str, years: Sequence[int] | None = N
 
 def report_job(spark: SparkSession, silver: str, locations: str, out_dir: str,
                runs: Sequence[MapRun] = REPORT_RUNS, edges: Sequence[float] = PAY_EDGES,
-               parallel_writes: int = 4) -> None:
+               parallel_writes: int = 4, years: Sequence[int] | None = None) -> None:
     """One pass over the silver table, everything else from its small result.
 
     ``rollup(year, agency)`` yields the per-year bin counts and moments
@@ -70,10 +70,11 @@ def report_job(spark: SparkSession, silver: str, locations: str, out_dir: str,
     (years x agencies rows) is checkpointed into the shared folder, which
     also cuts its lineage from the silver scan. The output tables are then
     independent small jobs, submitted concurrently from ``parallel_writes``
-    driver threads.
+    driver threads. ``years`` restricts the report to those year partitions
+    (partition pruning: other years are not read).
     """
     ensure_checkpoint_dir(spark)             # the shared folder checkpoint() writes to
-    pay = silver_pay(spark, silver)
+    pay = silver_pay(spark, silver, years)
     rolled = year_agency_rollup(pay, "pay", "year", "agency", edges).checkpoint()
     wide = rollup_years(rolled)
     per_agency = rollup_agencies(rolled)
@@ -121,10 +122,14 @@ def main(argv: Sequence[str]) -> int:
     from wagelens.session import build_session
     spark = build_session()
     cmd, *args = argv
+    years = None
+    for a in [a for a in args if a.startswith("--years=")]:
+        years = [int(y) for y in a.split("=", 1)[1].split(",") if y]
+        args.remove(a)
     if cmd == "ingest":
         ingest_job(spark, *args[:3], *(args[3:4] or ["parity"]))
     elif cmd == "report":
-        report_job(spark, *args[:3])
+        report_job(spark, *args[:3], years=years)
         print("\n".join(report_summary(spark, args[2])))
     else:
         raise SystemExit(__doc__)
