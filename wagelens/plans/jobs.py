@@ -35,9 +35,11 @@ from wagelens.sources.payroll_csv import read_payroll, reason_summary, split_val
 
 def ingest_job(spark: SparkSession, source: str, silver: str, quarantine: str,
                mode: str = "parity") -> None:
-    """Parse once, write twice: the parsed records are persisted for the two
-    writes (lineage kept, so a lost executor's blocks are recomputed) instead
-    of running the whole ingest again for the quarantine."""
+    """Parse once, write three outputs (silver, quarantine, reason summary).
+
+    The parsed records are persisted for the writes (lineage kept, so a lost
+    executor's blocks are recomputed) instead of running the whole ingest
+    again for each output."""
     parsed = read_payroll(spark, source, mode).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         valid, rejected = split_valid(parsed)
