@@ -132,3 +132,12 @@ def test_report_restricted_to_years_prunes_partitions(spark, tmp_path):
     assert main(["report", f"{base}/silver", str(loc), f"{base}/out", "--years=2012,2013"]) == 0
     years = sorted(r["year"] for r in spark.read.parquet(f"{base}/out/year_stats").collect())
     assert years == [2012, 2013]
+
+
+def test_quarantine_kept_per_source_file(spark):
+    base = scratch_path(spark, "quarantine-sources")
+    for name in ("2011-payroll.csv", "2012-payroll.csv", "2011-payroll.csv"):
+        ingest_job(spark, str(FIXTURES / name), f"{base}/silver", f"{base}/bad")
+    bad = spark.read.parquet(f"{base}/bad")
+    per_source = {r["source"]: r["count"] for r in bad.groupBy("source").count().collect()}
+    assert per_source == {"2011-payroll.csv": 1, "2012-payroll.csv": 1}

@@ -37,6 +37,10 @@ def ingest_job(spark: SparkSession, source: str, silver: str, quarantine: str,
                mode: str = "parity") -> None:
     """Parse once, write three outputs (silver, quarantine, reason summary).
 
+    Silver is replaced per year and the quarantine per source file (dynamic
+    partition overwrite), so ingesting one file keeps the other files' rows
+    and re-ingesting a file does not duplicate them.
+
     The parsed records are persisted for the writes (lineage kept, so a lost
     executor's blocks are recomputed) instead of running the whole ingest
     again for each output."""
@@ -44,7 +48,9 @@ def ingest_job(spark: SparkSession, source: str, silver: str, quarantine: str,
     try:
         valid, rejected = split_valid(parsed)
         to_silver(valid, silver)                 # computes and caches the parse
-        small = [lambda: rejected.write.mode("overwrite").parquet(quarantine),
+        by_source = rejected.withColumn("source", F.element_at(F.split("file", "/"), -1))
+        small = [lambda: (by_source.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                          .partitionBy("source").parquet(quarantine)),
                  lambda: reason_summary(parsed).write.mode("overwrite").parquet(f"{quarantine}_summary")]
         with ThreadPoolExecutor(max_workers=len(small)) as pool:
             list(pool.map(lambda job: job(), small))    # both read the cache, concurrently

@@ -170,7 +170,9 @@ def to_silver(valid: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write valid rows as Parquet partitioned by year (partition pruning later).
 
     Overwrite is dynamic: only the years present in ``valid`` are replaced,
-    so re-ingesting one year's file leaves the other years alone. A
+    so re-ingesting one year's file leaves the other years alone. A run is
+    authoritative for every year it contains: ingest all files holding a
+    year together. A
     rebalance on year keeps the file count low while AQE splits a hot year
     over several tasks (a plain repartition would put a whole year in one
     task).
