@@ -75,3 +75,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = "/" + base[len("file:"):].lstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (what ``--py-files`` does).
+
+    Skipped where the workers' PYTHONPATH has it already; else the driver adds
+    a zip of the package, once per application, and Spark hands it out.
+    """
+    import os
+    import shutil
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    sc = spark.sparkContext
+    on_path = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if sc.applicationId in _SHIPPED or any(Path(p).resolve() == root for p in on_path) or not root.is_dir():
+        return
+    zipped = shutil.make_archive(f"{tempfile.mkdtemp(prefix='wagelens-py-')}/wagelens", "zip",
+                                 root_dir=root, base_dir="wagelens")
+    sc.addPyFile(zipped)
+    _SHIPPED.add(sc.applicationId)
