@@ -6,10 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid
+from . import bpe, langid, mixing, pii, secrets
 from .common import fold, table
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.counted(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
+         CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS words,
+         [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w
+  FROM d GROUP BY source),
+o AS (
+  SELECT *, 1.5::DOUBLE * sum(words) OVER () - coalesce(sum(2 * words) OVER before, 0) AS rest_words,
+         sum(w) OVER after AS rest_w
+  FROM s
+  WINDOW before AS (ORDER BY words::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (ORDER BY words::DOUBLE / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+c AS (
+  SELECT *, rest_words::DOUBLE * w / rest_w > 2 * words AS capped FROM o),
+t AS (
+  SELECT source, words,
+         CASE WHEN capped THEN (2 * words)::DOUBLE
+              ELSE (1.5::DOUBLE * sum(words) OVER () - coalesce(sum(2 * words) FILTER (capped) OVER (), 0))::DOUBLE * w
+                   / sum(w) FILTER (NOT capped) OVER () END AS target
+  FROM c),
+r AS (
+  SELECT *, CASE WHEN words > 0 THEN least(floor(target / words), 2) ELSE 0 END AS rounds FROM t),
+p AS (
+  SELECT d.doc_id, d.size, r.words, r.target, r.rounds, r.target - r.rounds * r.words AS rest,
+         sum(size) OVER (PARTITION BY d.source ORDER BY place, size) AS upto,
+         sum(size) OVER (PARTITION BY d.source, place, size) AS own
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, words AS source_size, target,
+       CAST(size * (rounds + CASE WHEN 2 * upto - own <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM p
+"""
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.scan(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base_text", 256).alias("base_sha256"),
+                      F.col("all_text").alias("spans"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"))
 
@@ -22,9 +69,15 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "margin", "rejected")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.scan(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", *(f"n_{k}" for k in secrets.BASE), F.sha2("base_text", 256).alias("base_sha256"),
+                      F.col("all_text").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_bpe, op8_langid)}
+    return {f.__name__: f for f in (op2_mix, op3_pii, op7_bpe, op8_langid, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mix": OP2_SQL}
