@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, mixing, pii, secrets
+from . import bpe, langid, mixing, neardup, pii, secrets
 from .common import fold, table
 
 
@@ -57,6 +57,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("all_text").alias("spans"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix, op3_pii, op7_bpe, op8_langid, op9_secrets)}
+    return {f.__name__: f for f in (op2_mix, op3_pii, op4_neardup, op7_bpe, op8_langid, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
