@@ -6,10 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, mixing, neardup, pii, secrets
+from . import bitslice, bpe, langid, mixing, neardup, pii, rpforest, secrets
 from .common import fold, table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return bitslice.top_k(rows, F.col("vec_id") % 20 == 0, 20)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.counted(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", "taken")
@@ -79,9 +99,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("all_text").alias("spans"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix, op3_pii, op4_neardup, op7_bpe, op8_langid, op9_secrets)}
+    return {f.__name__: f for f in (
+        op1_topk, op2_mix, op3_pii, op4_neardup, op7_bpe, op8_langid, op9_secrets, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2_SQL}
+    return {"op1_topk": OP1_SQL, "op2_mix": OP2_SQL}
