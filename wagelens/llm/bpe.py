@@ -19,6 +19,7 @@ encodings.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -34,8 +35,10 @@ SPREAD_CHARS = 50_000
 UNSPLIT_CHARS = 4_096
 #: First window on either side of a join, and tokens that must agree.
 WINDOW_CHARS, AGREE_TOKENS = 48, 4
-#: Pieces remembered by a Python worker (memory bound only; results do not depend on it).
-REMEMBERED = 200_000
+#: Words that a Python worker remembers before it forgets older ones (memory bound only; results do not depend on it).
+REMEMBERED = 300_000
+#: Trailing marks that are looked up apart from the word before them.
+MARKS = ".,;:!?|*%$&#"
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS = "doc_id long, ids array<int>"
@@ -58,7 +61,7 @@ def load(path: str | None):
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _LOADED[path] = (tok, {})
+        _LOADED[path] = (tok, Pieces(tok))
     return _LOADED[path]
 
 
@@ -142,24 +145,120 @@ def join_slices(tok, slices: list[tuple[str, list]], window: int = WINDOW_CHARS)
 
 # ---- whole texts --------------------------------------------------------------
 
-def encode_text(tok, known: dict, text: str, unsplit: int = UNSPLIT_CHARS) -> list[int]:
-    ids: list[int] = []
-    for piece in text.replace("\n", " ").split(" "):
-        if piece:
-            ids += known[piece] if len(piece) <= unsplit else [t[0] for t in encode_tree(tok, piece, unsplit)]
-    return ids
+def _byte_alphabet() -> list[str]:
+    """The character that stands for each byte: itself where printable, else the next from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(0x100 + hidden.index(b)) for b in range(256)]
 
 
-def _learn(tok, known: dict, texts: list[str], unsplit: int) -> None:
-    """Encode the pieces of ``texts`` that the worker does not remember."""
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = {p for t in texts for p in t.replace("\n", " ").split(" ") if p not in known and 0 < len(p) <= unsplit}
-    new = list(new)
-    for k in range(0, len(new), 20_000):
-        part = new[k:k + 20_000]
-        for p, e in zip(part, tok.encode_batch(part, add_special_tokens=False)):
-            known[p] = tuple(e.ids)
+ALPHABET = _byte_alphabet()
+
+
+def has_word_ends(tok) -> bool:
+    """The vocabulary lowers text, drops blanks and ends words: the shortcuts by piece and word hold."""
+    made = json.loads(tok.to_str())
+    steps = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    split = [n.get("type") for n in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return (steps == ["NFC", "Replace", "Lowercase"] and split == ["Split", "ByteLevel"]
+            and made["model"].get("end_of_word_suffix") == "</w>"
+            and made["pre_tokenizer"]["pretokenizers"][0].get("invert") is True)
+
+
+def _letters(word: str) -> str | None:
+    """The one pre-token of a word of Latin letters in the model's alphabet; None for any other word."""
+    if word.isascii():
+        return word if word.isalpha() else None
+    if max(word) >= "\u0250":
+        return None
+    low = "".join(map(str.lower, word))
+    return "".join([ALPHABET[b] for b in low.encode()]) if low.isalpha() else None
+
+
+class Pieces:
+    """Encodings of the words that a Python worker has met, the least recent forgotten.
+
+    A blank-free piece is looked up as its word and its trailing marks: a
+    letter before a mark always ends a word of the vocabulary. ASCII words
+    are looked up in lower case, as the tokenizer lowers them.
+    """
+
+    def __init__(self, tok):
+        self.tok, self.model, self.new, self.old = tok, tok.model, {}, {}
+        self.by_piece = has_word_ends(tok)
+
+    def entries(self, words: list[str]) -> dict[str, tuple[str, str, int]]:
+        """(ids as text, tokens as text, count) of each word."""
+        out, miss = {}, []
+        for w in words:
+            e = self.new.get(w) or self.old.get(w)
+            if e is None:
+                one = _letters(w)
+                if one is None:
+                    miss.append(w)
+                    continue
+                got = self.model.tokenize(one)
+                e = (" ".join([str(t.id) for t in got]), " ".join([t.value for t in got]), len(got))
+            self.new[w] = out[w] = e
+        for k in range(0, len(miss), 20_000):
+            part = miss[k:k + 20_000]
+            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
+                ids = e.ids
+                self.new[w] = out[w] = (" ".join(map(str, ids)), " ".join(e.tokens), len(ids))
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        return out
+
+
+def _parts(piece: str) -> tuple[str, str]:
+    """The word of a piece and its trailing marks, as they are looked up."""
+    word = piece.rstrip(MARKS)
+    if len(word) < len(piece) and not word[-1:].lower().isalpha():
+        word = piece
+    tail = piece[len(word):]
+    return (word.lower() if word.isascii() else word), tail
+
+
+def known_pieces(known: Pieces, texts: list[list[str]], unsplit: int) -> dict[str, tuple[str, str, int]]:
+    """Entry of every distinct piece of some split texts; pieces without a token are left out."""
+    pieces = set().union(*texts) if texts else set()
+    pieces.discard("")
+    long = {p for p in pieces if len(p) > unsplit}
+    cut_ = {p: _parts(p) for p in pieces - long}
+    words = known.entries(list({w for c in cut_.values() for w in c if w}))
+    none = ("", "", 0)
+    out = {}
+    for p, (w, tail) in cut_.items():
+        e, t = words.get(w, none), words.get(tail, none)
+        if e[2] and t[2]:
+            e = (f"{e[0]} {t[0]}", f"{e[1]} {t[1]}", e[2] + t[2])
+        elif t[2]:
+            e = t
+        if e[2]:
+            out[p] = e
+    for p in long:
+        e = _entry(known.tok, encode_tree(known.tok, p, unsplit))
+        if e[2]:
+            out[p] = e
+    return out
+
+
+def _entry(tok, tokens: list) -> tuple[str, str, int]:
+    ids = [t[0] for t in tokens]
+    return " ".join(map(str, ids)), " ".join(map(tok.id_to_token, ids)), len(ids)
+
+
+def encode_texts(known: Pieces, texts: list[str], unsplit: int = UNSPLIT_CHARS) -> list[list[tuple[str, str, int]]]:
+    """The entries of each text's pieces, in order."""
+    if not known.by_piece:
+        return [[_entry(known.tok, encode_tree(known.tok, t, unsplit))] if t else [] for t in texts]
+    split = [t.replace("\n", " ").split(" ") for t in texts]
+    here = known_pieces(known, split, unsplit)
+    return [[e for e in map(here.get, s) if e] for s in split]
+
+
+def _ids(entries: list[tuple[str, str, int]]) -> list[int]:
+    return [int(i) for e in entries if e[2] for i in e[0].split(" ")]
 
 
 def digest(tok, ids: list[int]) -> tuple[int, str, str]:
@@ -169,6 +268,14 @@ def digest(tok, ids: list[int]) -> tuple[int, str, str]:
             hashlib.sha256(back.encode("utf-8", "replace")).hexdigest())
 
 
+def _digest(tok, entries: list[tuple[str, str, int]]) -> tuple[int, str, str]:
+    """``digest`` of a text's entries; a tokenizer without a decoder joins its tokens by blanks."""
+    if tok.decoder is not None:
+        return digest(tok, _ids(entries))
+    return (sum(e[2] for e in entries), hashlib.sha256(" ".join([e[0] for e in entries]).encode()).hexdigest(),
+            hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
+
+
 def _chunks(texts: list[str], chars: int = 2_000_000):
     """Ranges of rows holding about ``chars`` characters, to bound the memory of a step."""
     a = n = 0
@@ -187,13 +294,12 @@ def _encode_rows(path: str | None, unsplit: int, full: bool):
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in _chunks(texts):
-                _learn(tok, known, texts[a:b], unsplit)
-                got = [encode_text(tok, known, t, unsplit) for t in texts[a:b]]
+                got = encode_texts(known, texts[a:b], unsplit)
                 if full:
                     yield pa.RecordBatch.from_arrays(
-                        [ids[a:b], pa.array(got, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                        [ids[a:b], pa.array([_ids(g) for g in got], pa.list_(pa.int32()))], ["doc_id", "ids"])
                     continue
-                cols = list(zip(*(digest(tok, g) for g in got)))
+                cols = list(zip(*(_digest(tok, g) for g in got)))
                 yield pa.RecordBatch.from_arrays(
                     [ids[a:b], pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
