@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitslice, bpe, langid, mixing, neardup, pii, rpforest, secrets
+from . import bitslice, bpe, langid, mixing, neardup, pii, quality, rpforest, secrets, toxicity
 from .common import fold, table
 
 
@@ -81,6 +81,21 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), fold(F.col("id"), 5) != 0)
+    held = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    return quality.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold(F.col("id"), 4) != 2)
+    held = (fold(F.col("doc_id"), 4) == 2).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held, "score", "predicted",
+                                              F.size("offending").alias("n_offending"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"))
 
@@ -105,7 +120,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_topk, op2_mix, op3_pii, op4_neardup, op7_bpe, op8_langid, op9_secrets, op10_ann)}
+        op1_topk, op2_mix, op3_pii, op4_neardup, op5_quality, op6_toxicity, op7_bpe, op8_langid, op9_secrets, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
