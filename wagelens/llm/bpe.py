@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,31 +74,34 @@ def encode_at(tok, text: str, shift: int = 0) -> list[tuple[int, int, int]]:
     return [(i, a + shift, b + shift) for i, (a, b) in zip(enc.ids, enc.offsets)]
 
 
-def _starts(tokens: list, k: int) -> bool:
-    """Token k begins on a character that no earlier token touches."""
-    return k == 0 or tokens[k][1] >= tokens[k - 1][2]
+def _starts(text: str, tokens: list, k: int) -> bool:
+    """Token k begins on a character that no earlier token touches and that never combines with one before it."""
+    if k and tokens[k][1] < tokens[k - 1][2]:
+        return False
+    c = text[tokens[k][1]:tokens[k][1] + 1]
+    return bool(c) and unicodedata.category(c)[0] != "M" and not "\u1160" <= c <= "\u11ff"
 
 
-def _agree_left(left: list, win: list, agree: int, limit: int):
+def _agree_left(text: str, left: list, win: list, agree: int, limit: int):
     """(i, j): left[i:i+agree] == win[j:j+agree], the first such run, ending before ``limit``."""
-    at = {t: j for j, t in enumerate(win) if _starts(win, j)}
+    at = {t: j for j, t in enumerate(win) if _starts(text, win, j)}
     lo = next((i for i in range(len(left) - 1, -1, -1) if left[i][1] < win[0][1]), -1) + 1 if win else len(left)
     for i in range(max(lo, 0), len(left) - agree + 1):
         j = at.get(left[i])
-        if j is not None and j > 0 and _starts(left, i) and left[i:i + agree] == win[j:j + agree] \
+        if j is not None and j > 0 and _starts(text, left, i) and left[i:i + agree] == win[j:j + agree] \
                 and left[i + agree - 1][2] <= limit:
             return i, j
     return None
 
 
-def _agree_right(right: list, win: list, agree: int, limit: int):
+def _agree_right(text: str, right: list, win: list, agree: int, limit: int):
     """(i, j): runs that end alike, right[i-agree:i] == win[j-agree:j], the first after ``limit``."""
-    at = {t: j for j, t in enumerate(win) if _starts(win, j)}
+    at = {t: j for j, t in enumerate(win) if _starts(text, win, j)}
     for i in range(len(right) - agree):
         if not win or right[i][1] > win[-1][2]:
             break
         j = at.get(right[i])
-        if j is not None and right[i][1] >= limit and _starts(right, i) and _starts(right, i + agree) \
+        if j is not None and right[i][1] >= limit and _starts(text, right, i) and _starts(text, right, i + agree) \
                 and j + agree < len(win) and right[i:i + agree] == win[j:j + agree]:
             return i + agree, j + agree
     return None
@@ -115,8 +119,8 @@ def join_at(tok, text: str, left: list, right: list, mid: int,
         a = next((t[1] for t in reversed(left) if t[1] <= mid - window), 0)
         b = next((t[2] for t in right if t[2] >= mid + window), n)
         win = encode_at(tok, text[a:b], a)
-        head = (0, 0) if a == 0 else _agree_left(left, win, agree, mid)
-        tail = (len(right), len(win)) if b == n else _agree_right(right, win, agree, mid)
+        head = (0, 0) if a == 0 else _agree_left(text, left, win, agree, mid)
+        tail = (len(right), len(win)) if b == n else _agree_right(text, right, win, agree, mid)
         if head and tail and head[1] <= tail[1]:
             return left[:head[0]] + win[head[1]:tail[1]] + right[tail[0]:]
         window *= 2
