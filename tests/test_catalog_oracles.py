@@ -6,8 +6,9 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_CHECK
 from tools.check_oracles import compare, duck, rows_of
+from wagelens.plans import catalog
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="module")
@@ -16,13 +17,14 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
+    assert set(catalog.queries()) <= set(entry.queries()) and set(catalog.oracle_sql()) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    got = entry.queries()[name](spark, SF_CHECK).toPandas()
-    want = con.sql(entry.oracle_sql()[name]).df()
+    got = catalog.queries()[name](spark, SF_CHECK).toPandas()
+    want = con.sql(catalog.oracle_sql()[name]).df()
     cols_a, rows_a = rows_of(got)
     cols_b, rows_b = rows_of(want)
     assert cols_a == cols_b
@@ -44,6 +46,6 @@ SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string":
 @pytest.mark.parametrize("name", NAMES)
 def test_query_types_match_oracle(spark, con, name):
     got = {f.name: SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
-           for f in entry.queries()[name](spark, SF_CHECK).schema.fields}
-    rel = con.sql(entry.oracle_sql()[name])
+           for f in catalog.queries()[name](spark, SF_CHECK).schema.fields}
+    rel = con.sql(catalog.oracle_sql()[name])
     assert got == {c: str(t) for c, t in zip(rel.columns, rel.types)}

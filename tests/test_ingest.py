@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from conftest import FIXTURES
 from wagelens.session import scratch_path
-from wagelens.sources.lines import lines_of_files, lines_of_texts, stitch_pairwise, stitch_parity
-from wagelens.sources.payroll_csv import (parse_records, read_payroll, read_payroll_lenient,
-                                          split_valid, to_silver)
+from wagelens.sources import silver as sv
+from wagelens.sources.lines import PAIRWISE, lines_of_files, lines_of_texts, stitch
+from wagelens.sources.payroll_csv import parse_records, read_payroll, read_payroll_lenient, split_valid
 
 GLOB = str(FIXTURES / "20*-payroll.csv")
 
@@ -21,7 +21,7 @@ def by_name(df):
 
 @pytest.fixture(scope="module")
 def parity(spark):
-    return read_payroll(spark, GLOB, "parity").cache()
+    return read_payroll(spark, GLOB, "quotes").cache()
 
 
 @pytest.fixture(scope="module")
@@ -63,9 +63,10 @@ def test_headers_blank_lines_and_rejects(parity):
     rows = parity.collect()
     assert all(r["employee_name"] != "Employee Name" for r in rows)
     rejected = [r for r in rows if r["reason"] == "malformed_quote"]
-    # "Bad"tail, and the unclosed quote glued to the line after it
+    # "Bad"tail, and the unclosed quote: its own line only
     assert len(rejected) == 2
-    assert sorted(r["n_lines"] for r in rejected) == [1, 2]
+    assert sorted(r["n_lines"] for r in rejected) == [1, 1]
+    assert "After" in {r["employee_name"] for r in rows}      # the record behind the unclosed quote
 
 
 def test_pairwise_rule(pairwise):
@@ -80,14 +81,14 @@ def test_pairwise_rule(pairwise):
 
 def test_split_invariance(spark):
     """Tiny input splits (many per file) give the same records as whole files."""
-    base_p = read_payroll(spark, GLOB, "parity").drop("file").collect()
+    base_p = read_payroll(spark, GLOB, "quotes").drop("file").collect()
     base_w = read_payroll(spark, GLOB, "pairwise").drop("file").collect()
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
     try:
         lines = lines_of_files(spark, GLOB)
         assert lines.select("file", "blk").distinct().count() > 10
-        small_p = read_payroll(spark, GLOB, "parity").drop("file").collect()
+        small_p = read_payroll(spark, GLOB, "quotes").drop("file").collect()
         small_w = read_payroll(spark, GLOB, "pairwise").drop("file").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
@@ -96,17 +97,34 @@ def test_split_invariance(spark):
     assert sorted(small_w, key=key) == sorted(base_w, key=key)
 
 
-def test_runaway_guard(spark):
-    """An unclosed quote glues at most max_record_lines lines; later lines stand alone."""
-    text = ("A,x,1,2,3,4,5,6,2011,n,Oak,FT\n"
-            'B,"open,1,2,3,4,5,6,2011,n,Oak,FT\n'
-            + "".join(f"C{i},x,1,2,3,4,5,6,2011,n,Oak,FT\n" for i in range(6)))
-    df = spark.createDataFrame([("f", text)], "file string, text string")
-    recs = stitch_parity(lines_of_texts(df, "file", "text"), max_record_lines=3)
-    parsed = parse_records(recs).collect()
-    ok_names = sorted(r["employee_name"] for r in parsed if r["reason"] is None)
-    assert ok_names == ["A", "C2", "C3", "C4", "C5"]
-    assert [r["n_lines"] for r in parsed if r["reason"] == "malformed_quote"] == [3]
+ROW = "{n},{job},1,2,3,4,5,6,2011,n,Oak,FT\n"
+
+
+def read_text(spark, tmp_path, text, name="2011-payroll.csv"):
+    f = tmp_path / name
+    f.write_text(text)
+    return read_payroll(spark, str(f)).collect()
+
+
+def test_stray_quote_in_an_unquoted_cell_is_text(spark, tmp_path):
+    rows = read_text(spark, tmp_path, "".join(ROW.format(n=f"N{i}", job='5" pipe fitter' if i == 20 else "x") for i in range(50)))
+    assert len(rows) == 50 and all(r["reason"] is None for r in rows)
+    assert {r["job_title"] for r in rows} == {"x", '5" pipe fitter'}
+
+
+@pytest.mark.parametrize("strays,job", [([5], "x"), ([5, 120], "x"), ([5], '"y, z"'), ([5, 120], '"y, z"')])
+def test_unclosed_quote_costs_its_own_record_only(spark, tmp_path, strays, job):
+    rows = read_text(spark, tmp_path, "".join(ROW.format(n=f"N{i}", job='"open' if i in strays else job) for i in range(200)))
+    assert sorted(r["employee_name"] for r in rows if r["reason"] is None) == sorted(
+        f"N{i}" for i in range(200) if i not in strays)
+    assert [(r["reason"], r["n_lines"]) for r in rows if r["reason"]] == [("malformed_quote", 1)] * len(strays)
+
+
+def test_a_cell_of_ten_thousand_lines(spark, tmp_path):
+    cell = '"' + "\n".join(["line"] * 10_050) + '"'
+    rows = read_text(spark, tmp_path, ROW.format(n="A", job="x") + ROW.format(n="B", job=cell) + ROW.format(n="C", job="x"))
+    assert sorted((r["employee_name"], r["n_lines"], r["reason"]) for r in rows) == [
+        ("A", 1, None), ("B", 10_050, None), ("C", 1, None)]
 
 
 def test_pairwise_matches_sequential_rule(spark):
@@ -133,7 +151,7 @@ def test_pairwise_matches_sequential_rule(spark):
         return out
 
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file string, text string")
-    got = stitch_pairwise(lines_of_texts(df, "file", "text")).collect()
+    got = stitch(lines_of_texts(df, "file", "text"), PAIRWISE, whole=True).collect()
     got = sorted((int(r["file"]), r["line_no"], r["raw"]) for r in got)
     want = sorted((i, s, raw) for i, t in enumerate(texts) for s, raw in simulate(t))
     assert got == want
@@ -145,12 +163,17 @@ def test_lenient_reader(spark):
     assert rows["Doe, Jane"]["other_pay"] is None
 
 
+def ingest(spark, table, *paths):
+    from wagelens.plans.jobs import ingest_job
+    for p in paths:
+        ingest_job(spark, str(p), table)
+    return sv.silver(spark, table)
+
+
 def test_silver_roundtrip_prunes_years(spark):
-    valid, quarantine = split_valid(read_payroll(spark, GLOB))
-    assert quarantine.count() == 2
     path = scratch_path(spark, "silver-test")
-    to_silver(valid, path)
-    silver = spark.read.parquet(path)
+    silver = ingest(spark, path, GLOB)
+    assert sv.quarantine(spark, path).count() == 2
     assert silver.where(F.col("year") == 2012).count() == 3
     plan = silver.where(F.col("year") == 2012).select("total_pay_benefits")._jdf \
         .queryExecution().executedPlan().toString()
@@ -162,7 +185,7 @@ def test_long_quoted_cells(spark):
     body = ('word "" ' * 40000) + "\n" + ("tail, " * 2000)
     text = f'A,"{body}",1,2,3,4,5,6,2011,n,Oak,FT\n'
     df = spark.createDataFrame([("f", text)], "file string, text string")
-    rows = parse_records(stitch_parity(lines_of_texts(df, "file", "text"))).collect()
+    rows = parse_records(stitch(lines_of_texts(df, "file", "text"), whole=True)).collect()
     assert len(rows) == 1 and rows[0]["reason"] is None and rows[0]["n_cells"] == 12
     assert rows[0]["job_title"] == body.replace('""', '"').replace("\n", "")
 
@@ -178,21 +201,50 @@ def test_fail_mode_names_the_record(spark, tmp_path):
     assert len(read_payroll(spark, str(good), on_error="fail").collect()) == 1
 
 
-def _sequential_parity(lines, max_lines):
-    out, start, parity = [], None, 0
+def _sequential_quotes(lines):
+    """The rule line by line, with a small state machine on characters."""
+    def walk(line, inside):
+        """(inside after, failed) of one line."""
+        i, n, start, first = 0, len(line), not inside, inside
+        while i < n:
+            c = line[i]
+            if inside:
+                if c == '"':
+                    if line[i + 1:i + 2] == '"':
+                        i += 1
+                    else:
+                        inside = False
+                        if first and i + 1 < n and line[i + 1] != ",":
+                            return False, True
+                        first = False
+            elif c == ",":
+                start = True
+            elif c == '"' and start:
+                inside, start = True, False
+            elif c != " ":
+                start = False
+            i += 1
+        return inside, False
+
+    out, held, inside = [], [], False
     for i, line in enumerate(lines):
-        if parity == 0:
-            start = i
-        if i - start >= max_lines:
-            out.append((i, 1, line))
-        elif i == start:
-            out.append([start, 1, line])
+        if inside:
+            after, failed = walk(line, True)
+            if not failed:
+                held.append((i, line))
+                if not after:
+                    out.append((held[0][0], len(held), "".join(x for _, x in held)))
+                    held = []
+                inside = after
+                continue
+            out += [(k, 1, x) for k, x in held]          # the failed record's lines, one by one
+            held = []
+        inside, failed = walk(line, False)
+        if inside:
+            held = [(i, line)]
         else:
-            rec = next(r for r in reversed(out) if r[0] == start)
-            rec[1] += 1
-            rec[2] += line
-        parity ^= line.count('"') % 2
-    return [tuple(r) for r in out]
+            out.append((i, 1, line))
+    return out + [(k, 1, x) for k, x in held]
 
 
 def _sequential_pairwise(lines):
@@ -227,8 +279,8 @@ def test_random_files_tiny_splits_match_sequential_rules(spark, tmp_path, seed,
     try:
         lines_df = lines_of_files(spark, str(tmp_path / "*.csv"))
         assert lines_df.select("file", "blk").distinct().count() > 6
-        par = stitch_parity(lines_df, max_record_lines=4).collect()
-        pw = stitch_pairwise(lines_df).collect()
+        par = stitch(lines_df).collect()
+        pw = stitch(lines_df, PAIRWISE).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
@@ -241,18 +293,18 @@ def test_random_files_tiny_splits_match_sequential_rules(spark, tmp_path, seed,
 
     got_par, got_pw = by_file(par), by_file(pw)
     for name, lines in files.items():
-        assert got_par[name] == sorted(_sequential_parity(lines, 4)), name
+        assert got_par[name] == sorted(_sequential_quotes(lines)), name
         assert got_pw[name] == sorted(_sequential_pairwise(lines)), name
 
 
 def test_blank_and_space_lines_give_no_record(spark):
     text = "\n   \nA,x,1,2,3,4,5,6,2011,n,Oak,FT\n\t\n"
     df = spark.createDataFrame([("f", text)], "file string, text string")
-    rows = parse_records(stitch_parity(lines_of_texts(df, "file", "text"))).collect()
+    rows = parse_records(stitch(lines_of_texts(df, "file", "text"), whole=True)).collect()
     assert [r["employee_name"] for r in rows] == ["A"]
 
 
-@pytest.mark.parametrize("mode", ["parity", "pairwise"])
+@pytest.mark.parametrize("mode", ["quotes", "pairwise"])
 def test_unclosed_quote_at_end_of_file(spark, tmp_path, mode):
     f = tmp_path / "2018-payroll.csv"
     f.write_text('A,x,1,2,3,4,5,6,2018,n,Oak,FT\nB,"never closed,1,2,3,4,5,6,2018,n,Oak,FT\n')
@@ -277,11 +329,12 @@ def test_lenient_and_strict_readers_agree_on_well_formed_records(spark):
     assert sorted(strict.collect()) == sorted(lenient.collect())
 
 
-def test_invalid_utf8_bytes_are_ignored(spark, tmp_path):
+def test_bytes_that_are_no_utf8_and_replacement_characters(spark, tmp_path):
+    """Invalid bytes become U+FFFD when the cells are parsed; a U+FFFD of the file is kept."""
     f = tmp_path / "2019-payroll.csv"
-    f.write_bytes(b"Jos\xff\xfee,x,1,2,3,4,5,6,2019,n,Caf\xc3\xa9,FT\n")
+    f.write_bytes(b"Jos\xffe,x,1,2,3,4,5,6,2019,n,Caf\xc3\xa9,FT\n" + "A\ufffdB,x,1,2,3,4,5,6,2019,n,Oak,FT\n".encode())
     rows = read_payroll(spark, str(f)).collect()
-    assert [(r["employee_name"], r["agency"]) for r in rows] == [("Jose", "Café")]
+    assert [(r["employee_name"], r["agency"]) for r in rows] == [("Jos\ufffde", "Café"), ("A\ufffdB", "Oak")]
 
 
 def test_strict_check_matches_python_csv_strict(spark):
@@ -327,19 +380,44 @@ def test_cell_kind_matches_python_rule(spark):
     assert not wrong, wrong[:10]
 
 
-def test_silver_overwrites_only_ingested_years(spark, tmp_path):
-    a = tmp_path / "a" / "2011-payroll.csv"
-    b = tmp_path / "b" / "2012-payroll.csv"
-    a.parent.mkdir()
-    b.parent.mkdir()
-    a.write_text("A,x,1,2,3,4,5,6,2011,n,Oak,FT\n")
-    b.write_text("B,x,1,2,3,4,5,6,2012,n,Oak,FT\nC,x,1,2,3,4,5,7,2012,n,Oak,FT\n")
-    path = scratch_path(spark, "silver-dynamic")
-    to_silver(split_valid(read_payroll(spark, str(a)))[0], path)
-    to_silver(split_valid(read_payroll(spark, str(b)))[0], path)
-    to_silver(split_valid(read_payroll(spark, str(b)))[0], path)      # re-run: same rows
-    counts = {r["year"]: r["count"] for r in spark.read.parquet(path).groupBy("year").count().collect()}
-    assert counts == {2011: 1, 2012: 2}
+def names(df):
+    return sorted(r["employee_name"] for r in df.collect())
+
+
+def test_a_file_read_again_replaces_its_own_rows_only(spark, tmp_path):
+    """Stray year, null year, equal base names, a repaired file, all by further ingests."""
+    row = "{},x,1,2,3,4,5,6,{},n,Oak,FT\n"
+    for d in ("x", "y z"):
+        (tmp_path / d).mkdir()
+    x, y = tmp_path / "x" / "part-0.csv", tmp_path / "y z" / "part-0.csv"
+    x.write_text(row.format("A", 2011) + row.format("B", 2011) + row.format("N", "none") + '"Bad"1,x\n')
+    y.write_text(row.format("C", 2012) + row.format("D", 2011) + row.format("M", "none") + '"Bad"2,x\n"Bad"3,x\n')
+    table = scratch_path(spark, "table")
+    silver = ingest(spark, table, x, y)
+    assert names(silver) == ["A", "B", "C", "D", "M", "N"]
+    assert names(silver.where("year = 2011")) == ["A", "B", "D"] and names(silver.where("year IS NULL")) == ["M", "N"]
+    assert sv.quarantine(spark, table).count() == 3
+    assert names(ingest(spark, table, y)) == ["A", "B", "C", "D", "M", "N"]          # again: the same
+    y.write_text(row.format("C", 2012))                                             # repaired
+    silver = ingest(spark, table, y)
+    assert names(silver) == ["A", "B", "C", "N"]
+    bad = sv.quarantine(spark, table).collect()
+    assert [r["raw"] for r in bad] == ['"Bad"1,x']
+    told = {r["reason"]: r["n"] for r in sv.summary(spark, table).collect()}
+    assert told == {None: 3, "not_numeric": 1, "malformed_quote": 1}
+    x.write_text("")                                                                # emptied
+    assert names(ingest(spark, table, x)) == ["C"] and sv.quarantine(spark, table).count() == 0
+
+
+def test_batch_and_stream_read_the_same_lines(spark, tmp_path):
+    from wagelens.streaming.ingest import start_payroll_ingest
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.csv").write_bytes("\ufeffA\ufffdB,x,1,2,3,4,5,6,2011,n,Oak,FT\nC,\"y\nz\",1,2,3,4,5,6,2012,n,Oak,FT\n".encode())
+    one, two = scratch_path(spark, "batch"), scratch_path(spark, "stream")
+    start_payroll_ingest(spark, str(landing), two, scratch_path(spark, "ck")).awaitTermination(300)
+    columns = ["employee_name", "job_title", "year", "line_no", "n_lines", "file"]
+    assert ingest(spark, one, landing).select(columns).collect() == sv.silver(spark, two).select(columns).collect()
 
 
 def test_tsv_writer_format(spark, tmp_path):
@@ -352,11 +430,29 @@ def test_tsv_writer_format(spark, tmp_path):
     assert text == '"a\tb"\t"x""y"\t"1"\t" lead"\n'
 
 
+def test_tsv_keeps_every_cell(spark, tmp_path):
+    from pyspark.sql import types as T
+    from wagelens.sources.delimited import read_tsv, write_tsv
+    rows = [(1, None, ""), (2, "", None), (3, "a\r\nb", "a\rb"), (4, "a\nb", '"'), (5, '"a"\t"', " x "), (6, "\\N", ","),
+            (None, "\n", "\r\n"), (8, "x\n\ny", 'q"\n"q')]
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+    df = spark.createDataFrame(rows, schema)
+    write_tsv(df.coalesce(1), str(tmp_path / "t"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "9"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = read_tsv(spark, str(tmp_path / "t"), schema).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert sorted(map(repr, got)) == sorted(map(repr, df.collect()))
+
+
 def test_year_cell_must_be_integral(spark):
     text = ("A,x,1,2,3,4,5,6,2011.0,n,Oak,FT\nB,x,1,2,3,4,5,6,2011.7,n,Oak,FT\n"
             "C,x,1,2,3,4,5,6,2e3,n,Oak,FT\nD,x,1,2,3,4,5,6,1e30,n,Oak,FT\n")
     df = spark.createDataFrame([("f", text)], "file string, text string")
-    rows = {r["employee_name"]: r for r in parse_records(stitch_parity(lines_of_texts(df, "file", "text"))).collect()}
+    rows = {r["employee_name"]: r for r in parse_records(stitch(lines_of_texts(df, "file", "text"), whole=True)).collect()}
     assert rows["A"]["year"] == 2011 and rows["A"]["reason"] is None
     assert rows["B"]["year"] is None and rows["B"]["reason"] == "out_of_range"
     assert rows["C"]["year"] == 2000

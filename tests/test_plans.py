@@ -5,8 +5,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_CHECK
+from wagelens.plans import catalog as entry
 
 
 def final_plan(df) -> str:
@@ -25,10 +25,35 @@ def q():
     return entry.queries()
 
 
-def test_no_python_in_any_catalogue_plan(spark, q):
+#: Queries that read record files (the stitch walks line codes in Arrow batches) or ask a caller's geocoder.
+PYTHON = {"cell_typing", "csv_parse", "strict_reject", "stitch_parity", "stitch_pairwise", "stitch_stray_quote",
+          "stitch_unclosed", "tsv_roundtrip", "fail_mode", "resolver_outcomes"}
+
+
+def test_python_only_where_records_are_stitched(spark, q):
     for name, fn in q.items():
         plan = fn(spark, SF_CHECK)._jdf.queryExecution().executedPlan().toString()
-        assert not re.search(r"EvalPython|MapInPandas|PythonUDF|FlatMapGroupsInPandas", plan), name
+        assert not re.search(r"EvalPython|PythonUDF|FlatMapGroupsInPandas", plan), name
+        assert bool(re.search(r"MapInArrow|MapInPandas", plan)) == (name in PYTHON), name
+
+
+#: Queries that write the files they read.
+WRITERS = {"cell_typing", "csv_parse", "strict_reject", "stitch_stray_quote", "stitch_unclosed", "tsv_roundtrip",
+           "fail_mode", "industry_codes", "location_file"}
+
+
+def test_building_a_query_runs_no_job(spark, q):
+    sc = spark.sparkContext
+    for name, fn in q.items():
+        if name in WRITERS:
+            continue
+        fn(spark, SF_CHECK)                      # footers are read once
+        sc.setJobGroup(f"build-{name}", name)
+        fn(spark, SF_CHECK)
+        jobs = sc.statusTracker().getJobIdsForGroup(f"build-{name}")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+        assert all(s.name.startswith("parquet at") for s in stages if s), (name, [s.name for s in stages if s])
 
 
 def test_flagship_is_one_scan_one_small_shuffle(spark, q):
@@ -63,8 +88,13 @@ def test_scan_reads_only_used_columns(spark, q):
     assert "o_orderpriority" not in schema and "o_orderstatus" not in schema
 
 
-def test_ingest_reads_input_once(spark, q):
-    for name in ("csv_parse", "stitch_parity", "stitch_pairwise"):
+def test_stitch_shuffles_no_single_line_records(spark, q):
+    """Texts are stitched in one pass; files with the table of splits (a few numbers each) sent to all tasks."""
+    for name in ("stitch_parity", "stitch_pairwise"):
         plan = final_plan(q[name](spark, SF_CHECK))
-        assert len(re.findall(r"FileScan (text|parquet)", plan)) == 1, name
-        assert "ReusedExchange" in plan, name
+        assert len(re.findall(r"FileScan (text|parquet)", plan)) == 1 and "Exchange" not in plan, name
+    plan = final_plan(q["csv_parse"](spark, SF_CHECK))
+    assert "SortMergeJoin" not in plan and len(re.findall(r"Window \[", plan)) <= 4
+    for line in plan.splitlines():
+        if re.search(r"\bExchange hashpartitioning", line):          # splits, or pieces of crossing records
+            assert re.search(r"hashpartitioning\(file#\d+(, line_no#\d+L?)?,", line), line

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_CHECK
 from tools.check_oracles import compare, duck, rows_of
 from wagelens.functions import sizing
+from wagelens.plans import catalog as entry
 
 NAMES = sorted(entry.queries())
 
@@ -21,14 +21,10 @@ def shuffle_only(spark):
     old = {k: spark.conf.get(k, None) for k in keys}
     for k in keys:
         spark.conf.set(k, "-1")
-    saved = sizing.row_count_at_most
-    sizing.row_count_at_most = lambda df, max_rows: False
-    import wagelens.operators.stats as st
-    saved_st = st.row_count_at_most
-    st.row_count_at_most = sizing.row_count_at_most
+    saved = sizing.small_enough
+    sizing.small_enough = lambda df, max_bytes: False
     yield spark
-    sizing.row_count_at_most = saved
-    st.row_count_at_most = saved_st
+    sizing.small_enough = saved
     for k, v in old.items():
         if v is None:
             spark.conf.unset(k)

@@ -55,7 +55,7 @@ def test_hot_join_key_is_pre_aggregated(spark):
     codes = spark.range(1000).select(F.col("id").alias("code_key"),
                                      F.concat(F.lit("C"), (F.col("id") % 9).cast("string")).alias("code"))
     small = industry_stats(df, codes, "code_key", "code_key", "code", "pay")
-    big = industry_stats(df, codes, "code_key", "code_key", "code", "pay", max_broadcast_rows=10)
+    big = industry_stats(df, codes, "code_key", "code_key", "code", "pay")
     assert collect_sorted(small) == collect_sorted(big)
     plan = big._jdf.queryExecution().executedPlan().toString()
     # the facts are aggregated per key before the (non-broadcast) join

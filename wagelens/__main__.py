@@ -1,8 +1,8 @@
 """python -m wagelens {ingest|report|stream} ...
 
-  ingest SRC_GLOB SILVER QUARANTINE [parity|pairwise]
-  report SILVER LOCATIONS_CSV OUT_DIR [--years=2011,2012]   (prints the run summary)
-  stream LANDING SILVER QUARANTINE CHECKPOINT [--continuous]
+  ingest SRC_GLOB TABLE [quotes|pairwise]
+  report TABLE LOCATIONS_CSV OUT_DIR [--years=2011,2012]   (prints the run summary)
+  stream LANDING TABLE CHECKPOINT [--continuous]
 """
 
 from __future__ import annotations

@@ -18,8 +18,11 @@ KIND_NULL, KIND_TEXT, KIND_INT, KIND_FLOAT = "null", "text", "int", "float"
 
 # Well-formed CSV record (comma, '"' quote, doubled quote, spaces allowed after
 # a comma). Possessive quantifiers keep the Java matcher linear on long cells.
-_FIELD = r' *(?:"(?:[^"]++|"")*+"|[^", ][^,]*+|)'
-STRICT_RECORD = rf'^(?s:{_FIELD}(?:,{_FIELD})*+)$'
+IN_QUOTES = r'(?:[^"]++|"")*+'
+FIELD = rf' *(?:"{IN_QUOTES}"|[^", ][^,]*+|)'
+# The same, with any text between a closing quote and the next comma.
+LOOSE_FIELD = rf' *(?:"{IN_QUOTES}"[^,]*+|[^", ][^,]*+|)'
+STRICT_RECORD = rf'^(?s:{FIELD}(?:,{FIELD})*+)$'
 
 
 def is_number(cell: Column) -> Column:
@@ -39,12 +42,15 @@ def text_cell(cell: Column) -> Column:
     return F.when(cell == F.lit(NULL_MARKER), F.lit(None).cast("string")).otherwise(cell)
 
 
-def money_cell(cell: Column) -> Column:
-    """DECIMAL(18,2) of a numeric cell; null for text, marker or overflow."""
-    return F.when(is_number(cell), cell.try_cast(MONEY))
+def money_cell(cell: Column, number: Column | None = None) -> Column:
+    """DECIMAL(18,2) of a numeric cell; null for text, marker or overflow.
+
+    ``number``: the staged result of ``is_number``, where there is one.
+    """
+    return F.when(is_number(cell) if number is None else number, cell.try_cast(MONEY))
 
 
-def int_cell(cell: Column) -> Column:
+def int_cell(cell: Column, number: Column | None = None) -> Column:
     """INT of a numeric cell with an integral value (1e3 and 2011.0 accepted).
 
     A fractional value such as 2011.7 gives null (and a reason), not a
@@ -52,13 +58,13 @@ def int_cell(cell: Column) -> Column:
     """
     d = cell.try_cast("double")
     # round() keeps DOUBLE, so a huge value cannot overflow the test itself
-    return F.when(is_number(cell) & (F.round(d, 0) == d), d.try_cast("int"))
+    return F.when((is_number(cell) if number is None else number) & (F.round(d, 0) == d), d.try_cast("int"))
 
 
-def cell_problem(cell: Column, typed: Column) -> Column:
+def cell_problem(cell: Column, typed: Column, number: Column) -> Column:
     """Reason a declared-numeric cell lost its value, or null."""
     return (F.when(cell.isNull() | (cell == F.lit(NULL_MARKER)), F.lit(None).cast("string"))
-            .when(~is_number(cell), F.lit("not_numeric"))
+            .when(~number, F.lit("not_numeric"))
             .when(typed.isNull(), F.lit("out_of_range")))
 
 

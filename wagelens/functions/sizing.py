@@ -1,8 +1,9 @@
 """Size-checked broadcast.
 
-A side is broadcast only after a bounded count proves it small; beyond the
-bound the plain DataFrame is returned and Spark plans a shuffle join. The
-check reads at most ``max_rows + 1`` rows of a constant column.
+A side is broadcast only where the planner's own estimate of its bytes is
+below a bound; beyond it, or where the estimate is unknown, the plain
+DataFrame is returned and Spark plans a shuffle join that AQE may still turn
+into a broadcast once the true size is known. No job runs for the check.
 """
 
 from __future__ import annotations
@@ -10,29 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 500_000   # small rows: a few tens of MB per executor
+MAX_BROADCAST_BYTES = 32 << 20
 
 
-QUICK_ROWS = 1_000
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's size estimate: file sizes for scans, scaled by the columns; an upper bound above them."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+def small_enough(df: DataFrame, max_bytes: int) -> bool:
+    return estimated_bytes(df) <= max_bytes
 
-    A dimension table is usually tiny: ``take`` (Spark's incremental limit,
-    one partition first) settles it after a few rows without touching the
-    rest of a big input. Only when more than ``QUICK_ROWS`` rows exist is the
-    exact bounded count run; it returns one number, never rows. Only a
-    constant column is read.
-    """
-    one = df.select(F.lit(1).alias("_one"))
-    quick = min(max_rows, QUICK_ROWS)
-    if len(one.take(quick + 1)) <= quick:
-        return True
-    if quick == max_rows:
-        return False
-    return one.limit(max_rows + 1).count() <= max_rows
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, max_bytes) else df

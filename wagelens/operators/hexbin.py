@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wagelens.functions.bins import clamp
@@ -33,24 +33,25 @@ def hexbin(points: DataFrame, keys: Sequence[str], nx, ny, value: str = "mean_k"
     """Hex cells per group ``keys``: hx2, hy2, cx, cy, n_points, mean, mean_clipped.
 
     ``nx``/``ny`` are numbers or column names present on ``points``. The
-    extent of each group comes from a window over the group: the points are
-    already one row per (group, agency), so no second pass over the facts is
-    planned (a join with a separate extent aggregate would scan them twice).
+    extent of each group is an aggregate (partial minima and maxima, one row a
+    map) joined back; give ``points`` from a checkpointed or written table
+    where computing them reads much (``report_job`` does).
     """
     keys = list(keys)
     if not keys:
         return hexbin(points.withColumn("_grp", F.lit(0)), ["_grp"], nx, ny, value, clim).drop("_grp")
     nxc = F.col(nx) if isinstance(nx, str) else F.lit(float(nx))
     nyc = F.col(ny) if isinstance(ny, str) else F.lit(float(ny))
-    g = Window.partitionBy(*keys)
-    x0, x1 = F.min("x").over(g), F.max("x").over(g)
-    y0, y1 = F.min("y").over(g), F.max("y").over(g)
-    pts = (points.withColumn("_x0", x0).withColumn("_x1", x1)
-           .withColumn("_y0", y0).withColumn("_y1", y1)
-           .withColumn("xmin", nonsingular_lo(F.col("_x0"), F.col("_x1")))
-           .withColumn("xmax", nonsingular_hi(F.col("_x0"), F.col("_x1")))
-           .withColumn("ymin", nonsingular_lo(F.col("_y0"), F.col("_y1")))
-           .withColumn("ymax", nonsingular_hi(F.col("_y0"), F.col("_y1"))))
+    # the count makes both branches read the same columns, so that they share one exchange of the aggregated points
+    box = points.groupBy(*keys).agg(F.count(value).alias("_n"), F.min("x").alias("_x0"), F.max("x").alias("_x1"),
+                                    F.min("y").alias("_y0"), F.max("y").alias("_y1")).where("_n >= 0")
+    box = box.select(*(F.col(k).alias(f"_key_{k}") for k in keys),
+                     nonsingular_lo(F.col("_x0"), F.col("_x1")).alias("xmin"),
+                     nonsingular_hi(F.col("_x0"), F.col("_x1")).alias("xmax"),
+                     nonsingular_lo(F.col("_y0"), F.col("_y1")).alias("ymin"),
+                     nonsingular_hi(F.col("_y0"), F.col("_y1")).alias("ymax"))
+    same = [points[k].eqNullSafe(box[f"_key_{k}"]) for k in keys]
+    pts = points.join(box, same).drop(*(f"_key_{k}" for k in keys))
     cxy = [F.col(c) for c in ("xmin", "xmax", "ymin", "ymax")]
     extra = [F.first(c).alias(c) for c in (nx, ny) if isinstance(c, str)]
     # Points outside both lattices form a null cell, dropped AFTER the

@@ -19,9 +19,6 @@ from pyspark.sql import types as T
 from wagelens.functions.sizing import broadcast_if_small
 from wagelens.schema import GEOCODE_SUFFIX, NOT_FOUND, PENDING, RESOLVED
 
-MAX_BROADCAST_PLACES = 500_000      # ~100 B a row: tens of MB per executor at most
-
-
 def latest_locations(locations: DataFrame) -> DataFrame:
     """One row per agency: the latest entry wins (ties: resolved before not_found).
 
@@ -42,7 +39,7 @@ def locate(stats: DataFrame, locations: DataFrame, key: str = "agency") -> DataF
     """
     places = locations.select(F.col("agency").alias(key), "lat", "lon",
                               F.col("status").alias("_status"))
-    places = broadcast_if_small(places, MAX_BROADCAST_PLACES)
+    places = broadcast_if_small(places)
     return (stats.join(places, key, "left")
             .withColumn("status", F.coalesce(F.col("_status"), F.lit(PENDING)))
             .drop("_status"))
@@ -54,7 +51,7 @@ def located_only(df: DataFrame) -> DataFrame:
 
 def geocode_worklist(agencies: DataFrame, locations: DataFrame, key: str = "agency") -> DataFrame:
     """Agencies absent from the cache, with the geocoder query text."""
-    known = broadcast_if_small(locations.select(F.col("agency").alias(key)), MAX_BROADCAST_PLACES)
+    known = broadcast_if_small(locations.select(F.col("agency").alias(key)))
     return (agencies.select(key).distinct().join(known, key, "left_anti")
             .select(F.col(key).alias("agency"),
                     F.concat(F.col(key), F.lit(GEOCODE_SUFFIX)).alias("query")))
@@ -70,7 +67,7 @@ RESOLVED_SCHEMA = T.StructType([
 
 def resolve_with_table(worklist: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Resolver backed by a gazetteer table (query, lat, lon): a left join."""
-    gaz = broadcast_if_small(gazetteer.select("query", "lat", "lon"), MAX_BROADCAST_PLACES)
+    gaz = broadcast_if_small(gazetteer.select("query", "lat", "lon"))
     return (worklist.join(gaz, "query", "left")
             .select("agency", "lat", "lon",
                     F.when(F.col("lat").isNotNull(), F.lit(RESOLVED))

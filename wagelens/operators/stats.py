@@ -2,8 +2,10 @@
 
 Values are summed as DECIMAL(18,2) cents, so results do not depend on
 partitioning or task order. Mean and population standard deviation come
-from the exact sums: mean = S/n, std = sqrt(n*SS - S^2) / n. The spread is
-reported to 1e-6. ``n_total`` counts every record, ``n`` only valued ones;
+from the exact sums: mean = S/n, std = sqrt(n*SS - S^2) / n. Where amounts are
+so large that these do not fit 38 digits, the spread is ``stddev_pop`` in
+double precision instead; no amount that the ingest accepts ends a report.
+The spread is reported to 1e-6. ``n_total`` counts every record, ``n`` only valued ones;
 a group without values gets null statistics.
 """
 
@@ -14,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wagelens.functions.sizing import row_count_at_most
+from wagelens.functions.sizing import broadcast_if_small
 from wagelens.operators.histogram import explode_bins, histogram_aggs, with_bin
 from wagelens.schema import MONEY, PAY_EDGES
 
@@ -30,7 +32,8 @@ def moment_aggs(value: Column) -> list[Column]:
     return [F.count(F.lit(1)).alias("n_total"),
             F.count(m).alias("n"),
             F.sum(m).alias("_s"),
-            F.sum(m * m).alias("_ss"),
+            F.try_sum(m * m).alias("_ss"),
+            F.stddev_pop(m.cast("double")).alias("_sd"),
             F.max(value).alias("max_value")]
 
 
@@ -38,10 +41,11 @@ def mean_col(s: str = "_s", n: str = "n") -> Column:
     return F.try_divide(F.col(s).cast("double"), F.col(n).cast("double"))
 
 
-def std_pop_col(s: str = "_s", ss: str = "_ss", n: str = "n") -> Column:
-    spread = F.col(n).cast("decimal(20,0)") * F.col(ss) - F.col(s) * F.col(s)
-    return F.round(F.try_divide(F.sqrt(spread.cast("double")), F.col(n).cast("double")),
-                   STAT_DIGITS)
+def std_pop_col(s: str = "_s", ss: str = "_ss", n: str = "n", sd: str = "_sd") -> Column:
+    spread = F.try_subtract(F.try_multiply(F.col(n).cast("decimal(20,0)"), F.col(ss)),
+                            F.try_multiply(F.col(s), F.col(s)))
+    exact = F.try_divide(F.sqrt(spread.cast("double")), F.col(n).cast("double"))
+    return F.round(F.coalesce(exact, F.col(sd)), STAT_DIGITS)
 
 
 def group_stats(df: DataFrame, value: str, by: Sequence[str] | str) -> DataFrame:
@@ -140,24 +144,19 @@ def agency_stats(df: DataFrame, value: str = "pay", by: Sequence[str] | str = "a
 
 
 def industry_stats(facts: DataFrame, codes: DataFrame, fact_key: str, code_key: str,
-                   code: str, value: str, prefix_len: int = 2,
-                   max_broadcast_rows: int = 500_000) -> DataFrame:
+                   code: str, value: str, prefix_len: int = 2) -> DataFrame:
     """Count, sum and mean of ``value`` per major code (first chars of ``code``).
 
-    A small code table is broadcast (size checked); a large one is joined
-    after the facts are pre-aggregated per key, so a hot key becomes one row
-    before any shuffle join.
+    A left join: facts without a code are counted under a null major. A title
+    with several codes takes the least one, so no fact is counted twice. The
+    facts are aggregated per key before the join, so a hot key is one row.
     """
-    major = F.substring(F.col(code), 1, prefix_len).alias("major")
-    dim = codes.select(F.col(code_key).alias("_k"), major)
+    dim = (codes.groupBy(F.col(code_key).alias("_k")).agg(F.min(code).alias("_c"))
+           .select("_k", F.substring("_c", 1, prefix_len).alias("major")))
     m = money(F.col(value))
-    if row_count_at_most(dim, max_broadcast_rows):
-        joined = facts.select(F.col(fact_key).alias("_k"), m.alias("_m")).join(F.broadcast(dim), "_k")
-        per = joined.groupBy("major").agg(F.count(F.lit(1)).alias("n"), F.sum("_m").alias("_s"))
-    else:
-        pre = (facts.groupBy(F.col(fact_key).alias("_k"))
-               .agg(F.count(F.lit(1)).alias("_n"), F.sum(m).alias("_s0")))
-        per = (pre.join(dim, "_k").groupBy("major")
-               .agg(F.sum("_n").alias("n"), F.sum("_s0").alias("_s")))
+    pre = (facts.groupBy(F.col(fact_key).alias("_k"))
+           .agg(F.count(F.lit(1)).alias("_n"), F.sum(m).alias("_s0")))
+    per = (pre.join(broadcast_if_small(dim), "_k", "left").groupBy("major")
+           .agg(F.sum("_n").alias("n"), F.sum("_s0").alias("_s")))
     return per.select("major", "n", F.col("_s").cast("double").alias("s"),
                       mean_col().alias("mean"))

@@ -1,15 +1,15 @@
 """The batch jobs a user runs: ingest once, then report from the silver table.
 
-``ingest_job``  payroll CSV glob -> silver Parquet (partitioned by year) +
-                quarantine Parquet.
-``report_job``  silver -> chart-ready tables: per-year histogram and
+``ingest_job``  payroll CSV glob -> payroll table (valid rows, quarantine and
+                summary are its views, see ``sources.silver``).
+``report_job``  valid rows -> chart-ready tables: per-year histogram and
                 statistics (one aggregation pass), year axis, agency stats,
                 location counts, geocoding worklist and all map cells of the
                 report runs (one fused job).
 
 Usage:
-  python -m wagelens.plans.jobs ingest SRC_GLOB SILVER QUARANTINE [parity|pairwise]
-  python -m wagelens.plans.jobs report SILVER LOCATIONS_CSV OUT_DIR [--years=2011,2012]
+  python -m wagelens.plans.jobs ingest SRC_GLOB TABLE [quotes|pairwise]
+  python -m wagelens.plans.jobs report TABLE LOCATIONS_CSV OUT_DIR [--years=2011,2012]
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import sys
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,44 +29,33 @@ from wagelens.plans.reports import map_report_from_stats
 from wagelens.schema import PAY_EDGES, REPORT_RUNS, MapRun
 from wagelens.session import ensure_checkpoint_dir
 from wagelens.sources.locations import read_location_csv
-from wagelens.sources.payroll_csv import read_payroll, reason_summary, split_valid, to_silver
-
-
-def ingest_job(spark: SparkSession, source: str, silver: str, quarantine: str,
-               mode: str = "parity") -> None:
-    """Parse once, write three outputs (silver, quarantine, reason summary).
-
-    Silver is replaced per year and the quarantine per source file (dynamic
-    partition overwrite), so ingesting one file keeps the other files' rows
-    and re-ingesting a file does not duplicate them.
-
-    The parsed records are persisted for the writes (lineage kept, so a lost
-    executor's blocks are recomputed) instead of running the whole ingest
-    again for each output."""
-    parsed = read_payroll(spark, source, mode).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        valid, rejected = split_valid(parsed)
-        to_silver(valid, silver)                 # computes and caches the parse
-        by_source = rejected.withColumn("source", F.element_at(F.split("file", "/"), -1))
-        small = [lambda: (by_source.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                          .partitionBy("source").parquet(quarantine)),
-                 lambda: reason_summary(parsed).write.mode("overwrite").parquet(f"{quarantine}_summary")]
-        with ThreadPoolExecutor(max_workers=len(small)) as pool:
-            list(pool.map(lambda job: job(), small))    # both read the cache, concurrently
-    finally:
-        parsed.unpersist()
-
-
-def silver_pay(spark: SparkSession, silver: str, years: Sequence[int] | None = None) -> DataFrame:
-    """(year, agency, job, pay) from the silver table; a year list prunes partitions."""
-    df = spark.read.parquet(silver)
+from wagelens.sources import silver
+from wagelens.sources.lines import QUOTES
+from wagelens.sources.payroll_csv import read_payroll
+
+
+def ingest_job(spark: SparkSession, source: str, table: str, mode: str = QUOTES) -> int:
+    """Parse a glob and write its rows to the payroll table in one pass; returns the run's number.
+
+    A file that is read again (same full path) replaces its own rows, valid
+    and rejected; other files keep theirs (``sources.silver``).
+    """
+    listed = spark.createDataFrame([(f,) for f in spark.read.text(source).inputFiles()], "file STRING")
+    # the listing writes file:///x where the rows' metadata has file:/x
+    listed = listed.select(F.regexp_replace("file", "^file:///", "file:/").alias("file"))
+    return silver.write_run(read_payroll(spark, source, mode), listed, table)
+
+
+def silver_pay(spark: SparkSession, table: str, years: Sequence[int] | None = None) -> DataFrame:
+    """(year, agency, job, pay) of the payroll table's valid rows; a year list prunes folders."""
+    df = silver.silver(spark, table)
     if years is not None:
         df = df.where(F.col("year").isin(list(years)))
     return df.select("year", "agency", F.col("job_title").alias("job"),
                      F.col("total_pay_benefits").alias("pay"))
 
 
-def report_job(spark: SparkSession, silver: str, locations: str, out_dir: str,
+def report_job(spark: SparkSession, table: str, locations: str, out_dir: str,
                runs: Sequence[MapRun] = REPORT_RUNS, edges: Sequence[float] = PAY_EDGES,
                parallel_writes: int = 4, years: Sequence[int] | None = None) -> None:
     """One pass over the silver table, everything else from its small result.
@@ -82,7 +70,7 @@ def report_job(spark: SparkSession, silver: str, locations: str, out_dir: str,
     (partition pruning: other years are not read).
     """
     ensure_checkpoint_dir(spark)             # the shared folder checkpoint() writes to
-    pay = silver_pay(spark, silver, years)
+    pay = silver_pay(spark, table, years)
     rolled = year_agency_rollup(pay, "pay", "year", "agency", edges).checkpoint()
     wide = rollup_years(rolled)
     per_agency = rollup_agencies(rolled)
@@ -135,7 +123,7 @@ def main(argv: Sequence[str]) -> int:
         years = [int(y) for y in a.split("=", 1)[1].split(",") if y]
         args.remove(a)
     if cmd == "ingest":
-        ingest_job(spark, *args[:3], *(args[3:4] or ["parity"]))
+        ingest_job(spark, *args[:2], *(args[2:3] or [QUOTES]))
     elif cmd == "report":
         report_job(spark, *args[:3], years=years)
         print("\n".join(report_summary(spark, args[2])))

@@ -1,17 +1,23 @@
-"""SQL text builders for the DuckDB oracles (independent formulations).
+"""SQL text builders for the DuckDB oracles.
 
 The oracles recompute every catalogue query in plain SQL over the same
-Parquet tables. Expression order of floating-point steps follows the Spark
-code so both engines round identically.
+Parquet tables. They share no code and no constant with the operators: labels,
+radius, row rules and patterns are written out here. Floating-point steps
+stand in the same order, so that both engines round alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from wagelens.functions.bins import bin_labels, check_edges
-from wagelens.functions.geo import DEG, QUARTER_PI
-from wagelens.schema import SPHERE_RADIUS_M
+DEG, QUARTER_PI = 0.017453292519943295, 0.7853981633974483
+RADIUS_M = 6370997.0
+# Labels of the bins of the two edge lists that the catalogue uses.
+LABELS = {
+    (0.0, 10000.0, 20000.0, 50000.0, 100000.0, 150000.0, 200000.0, float("inf")):
+        ("0 k", "10 k", "20 k", "50 k", "100 k", "150 k", "200 k"),
+    (0.0, 1000.0, 2000.0, 5000.0, float("inf")): ("0 k", "1 k", "2 k", "5 k"),
+}
 
 
 def d(v: float) -> str:
@@ -41,7 +47,6 @@ def money(v: str) -> str:
 
 
 def bin_case(v: str, edges: Sequence[float]) -> str:
-    edges = check_edges(edges)
     last = len(edges) - 2
     parts = []
     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
@@ -51,7 +56,7 @@ def bin_case(v: str, edges: Sequence[float]) -> str:
 
 
 def bins_values(edges: Sequence[float]) -> str:
-    labels = bin_labels(edges)
+    labels = LABELS[tuple(edges)]
     rows = ", ".join(f"({i}, '{s}')" for i, s in enumerate(labels))
     return f"(VALUES {rows}) AS bins(bin_idx, bin_label)"
 
@@ -80,8 +85,8 @@ def wrap_sql(delta: str) -> str:
 
 
 def lcc_sql(lon: str, lat: str, lon_0: str, lat_0: str, width: str, height: str) -> tuple[str, str]:
-    """Same steps, same order as ``functions.geo.lcc_xy``."""
-    q, half, deg, r = d(QUARTER_PI), d(2.0), d(DEG), d(SPHERE_RADIUS_M)
+    """Lambert conformal conic on the sphere, one standard parallel at lat_0 (false origin: the window's corner)."""
+    q, half, deg, r = d(QUARTER_PI), d(2.0), d(DEG), d(RADIUS_M)
     phi1 = f"({lat_0} * {deg})"
     n = f"sin({phi1})"
     f = f"((cos({phi1}) * pow(tan({q} + {phi1} / {half}), {n})) / {n})"
@@ -105,7 +110,7 @@ def nonsingular_sql(lo: str, hi: str) -> tuple[str, str]:
 
 def hexcell_sql(x: str, y: str, xmin: str, xmax: str, ymin: str, ymax: str,
                 nx: str, ny: str) -> tuple[str, str]:
-    """Same steps, same order as ``functions.geo.with_hex_cell``."""
+    """Doubled index of the nearer of two shifted lattices' points."""
     pad = f"({d(1e-9)} * ({xmax} - {xmin}))"
     x0, x1 = f"({xmin} - {pad})", f"({xmax} + {pad})"
     sx = f"(({x1} - {x0}) / {nx})"
@@ -125,3 +130,9 @@ def hexcell_sql(x: str, y: str, xmin: str, xmax: str, ymin: str, ymax: str,
     hy = (f"CASE WHEN {d1} < {d2} AND {ok1} THEN 2 * CAST({iy1} AS INTEGER) "
           f"WHEN NOT ({d1} < {d2}) AND {ok2} THEN 2 * CAST({iy2} AS INTEGER) + 1 END")
     return hx, hy
+
+
+def hexcentre_sql(h2: str, lo: str, hi: str, n: str, padded: bool) -> str:
+    """Centre of a cell on one axis from its doubled index."""
+    pad = f"({d(1e-9)} * ({hi} - {lo}))" if padded else d(0.0)
+    return f"(({lo} - {pad}) + {h2} / {d(2.0)} * ((({hi} + {pad}) - ({lo} - {pad})) / {n}))"

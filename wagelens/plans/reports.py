@@ -3,18 +3,16 @@
 The original job reads all files once per map (eight maps, eight scans and
 eight shuffles). Here ``map_report`` draws every (window, year) map from
 ONE aggregation of the facts: sum/count per (year, agency), one join with
-the location table, one equi-join with the small run table on year, the
-extents by a window over (map, year) on those aggregated points, and one
-cell aggregate.
+the location table, the caller's maps as a literal array, the extents by an
+aggregate over (map, year) of those points, and one cell aggregate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wagelens.functions.geo import hex_rows
 from wagelens.operators.hexbin import hexbin, project
@@ -42,48 +40,37 @@ def location_map(pay: DataFrame, locations: DataFrame, year: int | None, lon_0:
     return cells.drop("_map") if year is None else cells
 
 
-RUN_SCHEMA = T.StructType([
-    T.StructField("map_name", T.StringType()),
-    T.StructField("year", T.IntegerType()),
-    T.StructField("lon_0", T.DoubleType()),
-    T.StructField("lat_0", T.DoubleType()),
-    T.StructField("width", T.DoubleType()),
-    T.StructField("height", T.DoubleType()),
-    T.StructField("nx", T.DoubleType()),
-    T.StructField("ny", T.DoubleType()),
-])
-
-
-def run_table(spark: SparkSession, runs: Sequence[MapRun], years: Sequence[int] | None = None) -> DataFrame:
-    """One row per (window, year) to draw; its size is bounded by the caller's list."""
-    rows = []
-    for r in runs:
-        for y in (r.years or years or ()):
-            rows.append((r.name, int(y), float(r.lon_0), float(r.lat_0), float(r.width),
-                         float(r.height), float(r.gridsize), float(hex_rows(r.gridsize))))
-    keys = [(w, y) for w, y, *_ in rows]
-    if len(set(keys)) != len(keys):
-        raise ValueError("each (window, year) may be drawn only once")
-    return spark.createDataFrame(rows, RUN_SCHEMA)
-
-
-def map_report(pay: DataFrame, locations: DataFrame, runs: Sequence[MapRun],
-               years: Sequence[int] | None = None) -> DataFrame:
-    """All maps in one job: map_name, year, hx2, hy2, cx, cy, n_points, mean, mean_clipped.
+def with_runs(stats: DataFrame, runs: Sequence[MapRun]) -> DataFrame:
+    """Each row of (year, agency, ...) once for every map that draws its year.
 
-    ``years`` is used for runs that list no years of their own.
+    A run without years draws every year of the data. The maps are a literal
+    array of the caller's list, so no table is joined and no job runs here.
     """
-    wanted = sorted({y for r in runs for y in (r.years or years or ())})
-    stats = agency_stats(pay.where(F.col("year").isin(wanted)), by=["year", "agency"])
-    return map_report_from_stats(stats, locations, runs, years)
-
-
-def map_report_from_stats(stats: DataFrame, locations: DataFrame, runs: Sequence[MapRun],
-                          years: Sequence[int] | None = None) -> DataFrame:
+    keys = [(r.name, y) for r in runs for y in (r.years or (None,))]
+    if len(set(keys)) != len(keys):
+        raise ValueError("each (window, year) may be drawn only once")
+    maps = [F.struct(F.lit(r.name).alias("map_name"), F.lit(float(r.lon_0)).alias("lon_0"), F.lit(float(r.lat_0)).alias("lat_0"),
+                     F.lit(float(r.width)).alias("width"), F.lit(float(r.height)).alias("height"),
+                     F.lit(float(r.gridsize)).alias("nx"), F.lit(float(hex_rows(r.gridsize))).alias("ny"),
+                     F.array(*(F.lit(int(y)) for y in r.years)).cast("array<int>").alias("years")) for r in runs]
+    if not maps:
+        raise ValueError("no map to draw")
+    each = stats.withColumn("_map", F.explode(F.array(*maps)))
+    each = each.where((F.size("_map.years") == 0) | F.array_contains(F.col("_map.years"), F.col("year")))
+    return each.select(*stats.columns, "_map.map_name", "_map.lon_0", "_map.lat_0", "_map.width", "_map.height",
+                       "_map.nx", "_map.ny")
+
+
+def map_report(pay: DataFrame, locations: DataFrame, runs: Sequence[MapRun]) -> DataFrame:
+    """All maps in one job: map_name, year, hx2, hy2, cx, cy, n_points, mean, mean_clipped."""
+    if all(r.years for r in runs):
+        pay = pay.where(F.col("year").isin(sorted({y for r in runs for y in r.years})))
+    return map_report_from_stats(agency_stats(pay, by=["year", "agency"]), locations, runs)
+
+
+def map_report_from_stats(stats: DataFrame, locations: DataFrame, runs: Sequence[MapRun]) -> DataFrame:
     """The fused map job on per-(year, agency) statistics (year, agency, mean_k)."""
-    todo = run_table(stats.sparkSession, runs, years)
     pts = located_only(locate(stats.select("year", "agency", "mean_k"), locations))
-    # equi-join on year with the bounded run table (never a cross join)
-    pts = pts.join(F.broadcast(todo), "year")
+    pts = with_runs(pts, runs)
     pts = project(pts, F.col("lon_0"), F.col("lat_0"), F.col("width"), F.col("height"))
     return hexbin(pts, ["map_name", "year"], "nx", "ny")

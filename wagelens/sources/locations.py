@@ -23,6 +23,8 @@ def read_location_csv(spark: SparkSession, paths) -> DataFrame:
     """agency, lat, lon, status, updated_at — one row per agency."""
     lines = lines_of_files(spark, paths).where(F.col("line") != "")
     c = F.from_csv(F.col("line"), "c0 STRING, c1 STRING, c2 STRING, c3 STRING, c4 STRING", _OPTS)
+    # inside a split the reader's order is file order; a split's rows are numbered in that order
+    lines = lines.withColumn("seq", F.monotonically_increasing_id())
     df = lines.select("file", "blk", "seq", cell_count(F.col("line")).alias("n"), c.alias("c"))
     lat, lon = F.col("c.c1").try_cast("double"), F.col("c.c2").try_cast("double")
     legacy = F.col("n") == 3

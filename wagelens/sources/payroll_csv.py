@@ -2,12 +2,12 @@
 
 Route (all DataFrame work, splittable reads):
   1. ``lines_of_files``: positioned lines of a glob (local, HDFS, object store);
-  2. stitch (quote parity by default, or the original pairwise rule);
+  2. ``stitch`` (quoted cells over lines by default, or the original pairwise rule);
   3. ``parse_records``: strict well-formedness check on the raw record,
      ``from_csv`` into string cells, header lines dropped by value, the null
      marker chain, typed cells (DECIMAL(18,2) money, INT year), and a reason;
-  4. ``to_silver``: valid rows written as Parquet partitioned by year, so
-     every later query prunes years and reads only its columns.
+  4. ``sources.silver``: all rows written once, by run, kind and year; the
+     views of valid rows, quarantine and summary show each file's last run.
 
 Reasons: malformed_quote (record refused by the strict check), missing_cells
 (fewer than 11 cells), extra_cells (more than 12; kept), not_numeric (text in
@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wagelens.functions.cells import (cell_problem, int_cell, money_cell, strict_ok,
+from wagelens.functions.cells import (cell_problem, int_cell, is_number, money_cell, strict_ok,
                                       text_cell)
 from wagelens.schema import (HEADER_FIRST_CELL, MIN_PIECES, MONEY_COLUMNS, PAYROLL_COLUMNS,
                              TEXT_COLUMNS)
-from wagelens.sources.lines import (DEFAULT_MAX_RECORD_LINES, lines_of_files, stitch_pairwise,
-                                    stitch_parity)
+from wagelens.session import ship_package
+from wagelens.sources.lines import QUOTES, lines_of_files, stitch
 
 # A value no real cell holds, so "absent" and "empty" cells stay apart.
 _SENTINEL = "\u0000\u0001absent\u0001\u0000"
@@ -66,22 +66,18 @@ def parse_records(records: DataFrame, columns=PAYROLL_COLUMNS, min_cells: int =
     recs = recs.withColumn("ok", strict_ok(F.col("raw")))
     recs = recs.withColumn("n_cells", F.when(F.col("ok"), cell_count(F.col("raw"))))
     recs = recs.withColumn("_c", F.from_csv(F.col("raw"), _cells_schema(width), opts))
-    cells = {}
-    for i, name in enumerate(columns):
-        present = F.lit(i) < F.col("n_cells")
-        cells[name] = F.when(F.col("ok") & present, F.coalesce(F.col(f"_c.c{i}"), F.lit("")))
-    typed, problems = [], []
-    for name in columns:
-        c = cells[name]
-        if name in MONEY_COLUMNS:
-            v = money_cell(c)
-            problems.append(cell_problem(c, v))
-        elif name == "year":
-            v = int_cell(c)
-            problems.append(cell_problem(c, v))
-        else:
-            v = text_cell(c)
-        typed.append(v.alias(name))
+    # stages: cells, then one number test a cell, then one value a cell; the value and its
+    # reason read the staged columns, so no regular expression runs twice on a cell
+    present = lambda i: F.col("ok") & (F.lit(i) < F.col("n_cells"))
+    recs = recs.withColumns({f"_t{i}": F.when(present(i), F.coalesce(F.col(f"_c.c{i}"), F.lit("")))
+                             for i in range(width)})
+    numeric = [i for i, name in enumerate(columns) if name in MONEY_COLUMNS or name == "year"]
+    recs = recs.withColumns({f"_n{i}": is_number(F.col(f"_t{i}")) for i in numeric})
+    recs = recs.withColumns({f"_v{i}": (int_cell if columns[i] == "year" else money_cell)(F.col(f"_t{i}"), F.col(f"_n{i}"))
+                             for i in numeric})
+    typed = [(F.col(f"_v{i}") if i in numeric else text_cell(F.col(f"_t{i}"))).alias(name)
+             for i, name in enumerate(columns)]
+    problems = [cell_problem(F.col(f"_t{i}"), F.col(f"_v{i}"), F.col(f"_n{i}")) for i in numeric]
     record_reason = (F.when(~F.col("ok"), F.lit("malformed_quote"))
                      .when(F.col("n_cells") < F.lit(min_cells), F.lit("missing_cells"))
                      .when(F.col("n_cells") > F.lit(width), F.lit("extra_cells")))
@@ -119,22 +115,15 @@ def fail_on_rejects(parsed: DataFrame) -> DataFrame:
                              .otherwise(F.col("reason")))
 
 
-def read_payroll(spark: SparkSession, paths, mode: str = "parity",
-                 max_record_lines: int = DEFAULT_MAX_RECORD_LINES,
+def read_payroll(spark: SparkSession, paths, mode: str = QUOTES,
                  on_error: str = "quarantine") -> DataFrame:
     """Parsed payroll records (valid and rejected, with reason) from a glob.
 
     ``on_error='fail'`` makes the job fail on a rejected record instead of
     keeping it for the quarantine.
     """
-    lines = lines_of_files(spark, paths)
-    if mode == "parity":
-        records = stitch_parity(lines, max_record_lines)
-    elif mode == "pairwise":
-        records = stitch_pairwise(lines)
-    else:
-        raise ValueError(f"unknown stitch mode {mode!r}")
-    parsed = parse_records(records)
+    ship_package(spark)
+    parsed = parse_records(stitch(lines_of_files(spark, paths), mode))
     if on_error == "fail":
         return fail_on_rejects(parsed)
     if on_error != "quarantine":
@@ -166,23 +155,5 @@ def read_payroll_lenient(spark: SparkSession, paths) -> DataFrame:
             .where(~F.coalesce(F.col("employee_name") == F.lit(HEADER_FIRST_CELL), F.lit(False))))
 
 
-def to_silver(valid: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write valid rows as Parquet partitioned by year (partition pruning later).
-
-    Overwrite is dynamic: only the years present in ``valid`` are replaced,
-    so re-ingesting one year's file leaves the other years alone. A run is
-    authoritative for every year it contains: ingest all files holding a
-    year together. A
-    rebalance on year keeps the file count low while AQE splits a hot year
-    over several tasks (a plain repartition would put a whole year in one
-    task).
-    """
-    cols = list(PAYROLL_COLUMNS) + ["reason", "file", "line_no"]
-    (valid.select(*[c for c in cols if c in valid.columns])
-     .hint("rebalance", "year")
-     .write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy("year").parquet(path))
-
-
 __all__ = ["parse_records", "split_valid", "read_payroll", "fail_on_rejects", "reason_summary",
-           "read_payroll_lenient", "to_silver", "cell_count", "TEXT_COLUMNS"]
+           "read_payroll_lenient", "cell_count", "TEXT_COLUMNS"]

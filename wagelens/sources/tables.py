@@ -39,7 +39,7 @@ def year_range_predicate(ts_col: str, years: Iterable[int]):
 def agency_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer -> agency name; nation is broadcast after a size check."""
     nation = broadcast_if_small(table(spark, sf_dir, "nation")
-                                .select("n_nationkey", "n_name"), 10_000)
+                                .select("n_nationkey", "n_name"))
     return (table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .select("c_custkey", F.col("n_name").alias("agency")))
@@ -130,6 +130,26 @@ def orders_as_payroll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(header)
 
 
+def orders_with_quotes(spark: SparkSession, sf_dir: str, stray: bool) -> DataFrame:
+    """One payroll record per order, with quotes where they hurt.
+
+    ``stray``: an unquoted job title holds quotes (``5" pipe fitter``). Else:
+    keys % 40 = 5 open a quoted cell that is never closed, and of the others
+    keys % 3 = 1 have a job title over three lines.
+    """
+    o = table(spark, sf_dir, "orders")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    if stray:
+        job = F.concat(F.when(key % 2 == 0, F.lit('5" pipe fitter ')).otherwise(F.lit('say "hi" ')), "o_orderpriority")
+    else:
+        job = F.when(key % 40 == 5, F.concat(F.lit('"open '), "o_orderpriority")) \
+            .when(key % 3 == 1, F.lit('"one\ntwo, and\nthree"')).otherwise(_q(F.col("o_orderpriority")))
+    name = F.concat(F.lit("Clerk "), F.col("o_custkey").cast("string"))
+    return o.select(F.concat_ws(",", name, job, price, F.lit("0"), F.lit("1"), F.lit("0"), price, price,
+                                F.year("o_orderdate").cast("string"), key.cast("string"), "o_orderstatus",
+                                F.lit("FT")).alias("value"))
+
+
 def documents_as_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as one CSV record ``doc_id,"text",lang`` (text quoted)."""
     d = table(spark, sf_dir, "documents")

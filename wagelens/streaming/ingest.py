@@ -1,65 +1,46 @@
 """Incremental payroll ingest with Structured Streaming.
 
 New CSV files landing in a folder are picked up by a file stream; each
-micro-batch holds whole files, so the batch stitch/parse of
-``sources.payroll_csv`` applies unchanged inside ``foreachBatch``. Each
-batch is written to its own ``batch_id=<n>`` folder with overwrite, so a
-retried batch replaces its earlier attempt instead of duplicating rows
-(exactly-once together with the stream checkpoint).
-
-Readers see the silver table as ``spark.read.parquet(silver)`` with the
-partition columns ``batch_id`` and ``year``.
+micro-batch holds whole files, so the batch reader, stitch and parse of
+``sources`` apply unchanged inside ``foreachBatch``. Each batch is a run of
+the payroll table (``sources.silver``): its files are listed after its rows
+are written, and readers show each file's last listed run, so a retried batch
+replaces its earlier attempt instead of adding to it (exactly once, together
+with the stream's checkpoint).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wagelens.sources.lines import DEFAULT_MAX_RECORD_LINES, stitch_pairwise, stitch_parity
-from wagelens.sources.payroll_csv import parse_records, split_valid
-
-SILVER_COLUMNS = ("employee_name", "job_title", "base_pay", "overtime_pay", "other_pay", "benefits",
-                  "total_pay", "total_pay_benefits", "year", "notes", "agency", "status", "reason",
-                  "file", "line_no")
+from wagelens.session import ship_package
+from wagelens.sources import silver
+from wagelens.sources.lines import QUOTES, positioned, stitch
+from wagelens.sources.payroll_csv import parse_records
 
 
 def _landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None):
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(landing_dir).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("blk"),
-        F.col("value").alias("line"))
+    return positioned(reader.load(landing_dir))
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, silver: str, quarantine: str,
-                 mode: str = "parity", max_record_lines: int = DEFAULT_MAX_RECORD_LINES) -> None:
-    """Stitch, parse and write one micro-batch (idempotent per batch id)."""
-    lines = batch.withColumn("seq", F.monotonically_increasing_id())
-    records = (stitch_parity(lines, max_record_lines) if mode == "parity"
-               else stitch_pairwise(lines))
-    parsed = parse_records(records).persist(StorageLevel.MEMORY_AND_DISK)   # parse once, write twice
-    try:
-        valid, rejected = split_valid(parsed)
-        (valid.select(*SILVER_COLUMNS).hint("rebalance", "year")
-         .write.mode("overwrite").partitionBy("year").parquet(f"{silver}/batch_id={batch_id}"))
-        rejected.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
-    finally:
-        parsed.unpersist()
+def ingest_batch(batch: DataFrame, batch_id: int, table: str, mode: str = QUOTES) -> None:
+    """Stitch, parse and write one micro-batch as a run of the table."""
+    ship_package(batch.sparkSession)
+    silver.write_run(parse_records(stitch(batch, mode)), batch.select("file"), table)
 
 
-def start_payroll_ingest(spark: SparkSession, landing_dir: str, silver: str, quarantine: str,
-                         checkpoint: str, mode: str = "parity", available_now: bool = True,
+def start_payroll_ingest(spark: SparkSession, landing_dir: str, table: str, checkpoint: str,
+                         mode: str = QUOTES, available_now: bool = True,
                          max_files_per_trigger: int | None = None,
                          processing_time: str = "1 minute") -> StreamingQuery:
     """Start the ingest stream; ``available_now`` drains the folder and stops."""
     stream = _landing_stream(spark, landing_dir, max_files_per_trigger)
     writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: ingest_batch(df, bid, silver, quarantine, mode))
+              .foreachBatch(lambda df, bid: ingest_batch(df, bid, table, mode))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime=processing_time)
@@ -67,10 +48,10 @@ def start_payroll_ingest(spark: SparkSession, landing_dir: str, silver: str, qua
 
 
 def main(argv) -> int:
-    """python -m wagelens.streaming.ingest LANDING SILVER QUARANTINE CHECKPOINT [--continuous]"""
+    """python -m wagelens.streaming.ingest LANDING TABLE CHECKPOINT [--continuous]"""
     from wagelens.session import build_session
     args = [a for a in argv if not a.startswith("--")]
-    if len(args) != 4:
+    if len(args) != 3:
         raise SystemExit(main.__doc__)
     spark = build_session()
     query = start_payroll_ingest(spark, *args, available_now="--continuous" not in argv)
