@@ -357,10 +357,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     fine = fine.select("vertex", "root", F.explode(F.expr(
         f"transform(sequence(1, {FINER}), j -> xxhash64(key, j, "
         f"element_at(bands, cast(pmod(xxhash64(key, j), size(bands)) AS int) + 1)))")).alias("key")).distinct()
-    fine = cut(with_hub(fine), "dup-fine")
-    mixed = fine.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    fine = fine.join(mixed, "key", "left_semi")
-    pairs = pairs.unionByName(hub_pairs(fine)).unionByName(each_with_each(fine.where(F.col("n") <= small))).distinct()
+    # pairs of one component need no comparison: in the finer buckets the roots decide while pairing
+    hubs = fine.groupBy("key").agg(F.min(F.struct("vertex", "root")).alias("h"), F.count("*").alias("n")).where("n > 1")
+    fine = cut(fine.join(hubs, "key"), "dup-fine")
+    star = fine.where("vertex <> h.vertex AND root <> h.root").select(F.col("h.vertex").alias("a"), F.col("vertex").alias("b"))
+    pairs = pairs.unionByName(star).unionByName(each_with_each(fine.where(F.col("n") <= small))).distinct()
     more = cut(verified(pairs, elements, similar), "dup-links2")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
