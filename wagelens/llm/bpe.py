@@ -37,7 +37,7 @@ UNSPLIT_CHARS = 4_096
 #: First window on either side of a join, and tokens that must agree.
 WINDOW_CHARS, AGREE_TOKENS = 48, 4
 #: Words that a Python worker remembers before it forgets older ones (memory bound only; results do not depend on it).
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Trailing marks that are looked up apart from the word before them.
 MARKS = ".,;:!?|*%$&#"
 

@@ -33,24 +33,32 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def count_words(text: pa.Array) -> np.ndarray:
-    """Runs of characters other than blank and U+0009 to U+000D in each text (null: 0)."""
+def count_words(text: pa.Array, step: int = 1 << 22) -> np.ndarray:
+    """Runs of characters other than blank and U+0009 to U+000D in each text (null: 0).
+
+    Counted on the bytes of about ``step`` at a time, so that memory stays small.
+    """
     text = pc.fill_null(text, "")
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     offsets = np.frombuffer(text.buffers()[1], np.int64 if pa.types.is_large_string(text.type) else np.int32)
     offsets = offsets[text.offset:text.offset + len(text) + 1].astype(np.int64)
     out = np.zeros(len(text), np.int64)
-    if len(text) and offsets[-1] > offsets[0]:
-        raw = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
-        solid = ~_SPACE[raw]
+    if not len(text) or offsets[-1] == offsets[0]:
+        return out
+    raw = np.frombuffer(text.buffers()[2], np.uint8)
+    a = 0
+    while a < len(text):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + step, side="right")) - 1)
+        solid = ~_SPACE[raw[offsets[a]:offsets[b]]]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
-        at = offsets[:-1] - offsets[0]
-        cuts = at[at < len(raw)]
-        first[cuts] = solid[cuts]
-        total = np.concatenate([[0], np.cumsum(first)])
-        out = total[offsets[1:] - offsets[0]] - total[at]
+        at = offsets[a:b] - offsets[a]
+        at = at[at < len(solid)]
+        first[at] = solid[at]
+        total = np.concatenate([[0], np.cumsum(first, dtype=np.int64)])
+        out[a:b] = total[offsets[a + 1:b + 1] - offsets[a]] - total[offsets[a:b] - offsets[a]]
+        a = b
     return out
 
 
@@ -217,17 +225,19 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     rows = cut(sized(docs, id_col, text_col, source_col, seed), "mix-sized")
     made = plan(rows, seed=seed, **how)
     names = docs.columns
-    kept = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), docs[source_col].cast("string").alias("source"),
-                       docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    own = [f"_c{i}" for i in range(len(names))]           # the caller's columns, under names that cannot clash
+    at = names.index(text_col)
 
     def size(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(count_words(b.column(3)), pa.int64())],
-                                             ["row", "source", "doc_id", "size"])
-    kind = T.StructType([*kept.schema.fields[:3], T.StructField("size", T.LongType())])
-    kept = kept.mapInArrow(size, kind).withColumn("place", _place(F.col("doc_id"), seed))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(count_words(b.column(at)), pa.int64())],
+                                             [*own, "size"])
+    plain = docs.select(*(docs[c].alias(o) for c, o in zip(names, own)))
+    kind = T.StructType([*plain.schema.fields, T.StructField("size", T.LongType())])
+    kept = plain.mapInArrow(size, kind).withColumn("source", F.col(own[names.index(source_col)]).cast("string"))
+    kept = kept.withColumn("place", _place(F.col(own[names.index(id_col)]), seed))
     kept = kept.withColumn("block", _block(F.col("place"), BLOCK_BITS))
-    got = draw(kept, made).select("row", "place", F.explode("copies").alias("c"))
+    got = draw(kept, made).select(*own, "place", F.explode("copies").alias("c"))
     got = got.repartition(made.shards, "c.shard").sortWithinPartitions(
         "c.shard", F.xxhash64(F.lit(seed), "place", "c.copy"), "place", "c.copy")
-    return got.select(*(F.col("row").getField(c).alias(c) for c in names))
+    return got.select(*(F.col(o).alias(c) for c, o in zip(names, own)))
