@@ -9,8 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wagelens.session import ensure_checkpoint_dir, ship_package
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows that go to Python at once: texts are long, so fewer than Spark's 10,000 for narrow rows.
+ROWS_AT_ONCE = 1_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to Python workers and bound the rows of an Arrow batch (a caller's smaller bound stays)."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
