@@ -235,6 +235,19 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == set(got.values())
 
 
+def test_near_duplicates_in_a_family_just_under_the_limit(spark):
+    """Pages of one template: any two at 0.783, planted pairs at 0.815; buckets are far over SMALL."""
+    rng = random.Random(9)
+    template = " ".join(f"t{i}" for i in range(220))
+    own = [[f"p{i}x{j}" for j in range(30)] for i in range(2000)]
+    for i in range(0, 400, 2):
+        own[i + 1][:5] = own[i][:5]
+    rows = [(i, f"{template} {' '.join(w)}", None, None) for i, w in enumerate(own)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, rows)).collect()}
+    assert got == {i: i - 1 if i % 2 and i < 400 else i for i in range(2000)}
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = frame(spark, ODD)
     got = sorted((r["doc_id"] or 0, r["class_id"]) for r in neardup.classes(docs).where("doc_id IS NOT NULL").collect())

@@ -12,9 +12,9 @@ k log k plus the size of the set.
 Equal texts are one vertex throughout. Documents that share a band are
 compared with the band's first document; where a bucket holds several
 components after that, its members are compared with one another, in small
-buckets each with each, in large ones inside finer buckets (more coordinates).
-Every link is verified on the shingles themselves, and the links' components
-are the classes.
+buckets each with each, those of large ones by an exact prefix-filter join on
+their rarest shingles. Every link is verified on the shingles themselves, and
+the links' components are the classes.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from .common import cut, doc_columns
 WORDS, SIMILAR = 5, 0.8
 #: Coordinates of a band, bands: a pair at 0.8 is missed by all with probability (1 - 0.8^6)^42 = 3e-6.
 ROWS, BANDS = 6, 42
-#: Buckets up to this size are compared each with each in the second round; larger ones in finer buckets.
+#: Buckets up to this size are compared each with each in the second round; members of larger ones by their rarest shingles.
 SMALL = 24
-#: A finer bucket adds the coordinates of that many other bands, each alone, to a band.
-FINER = 6
+#: Counters of the shingles' frequencies (a power of two), documents of a block of a hot shingle.
+COUNTERS, HOT_BLOCK = 1 << 20, 4_096
 
 _U = np.uint64
 GOLD, M1, M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -317,6 +317,89 @@ def each_with_each(buckets: DataFrame) -> DataFrame:
             .select(F.col("l.vertex").alias("a"), F.col("r.vertex").alias("b")).distinct())
 
 
+def _slots(elements: np.ndarray) -> np.ndarray:
+    return elements.view(np.uint32) >> np.uint32(32 - (COUNTERS.bit_length() - 1))
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many elements of a task fall on each counter."""
+    n = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        values, _ = _lists32(batch.column("elements"))
+        n += np.bincount(_slots(values), minlength=COUNTERS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], ["slot", "n"])
+
+
+def _prefixes(counts, similar: float, leads=None, block: int = 1):
+    """The rarest elements of each vertex: as many as can hold the first one shared with a similar vertex.
+
+    ``lead``: the element can be the first shared one also with a vertex that
+    is no smaller; of a pair's first shared element the smaller vertex leads.
+    With ``leads`` (a number for each counter) only the elements of counters
+    that have any, in as many blocks as those need.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, m = counts.value, leads.value if leads else None
+        for batch in batches:
+            values, offsets = _lists32(batch.column("elements"))
+            found, at, sizes = [], [], np.diff(offsets)
+            for i in range(batch.num_rows):
+                own = values[offsets[i]:offsets[i + 1]]
+                order = np.lexsort((own, n[_slots(own)]))[:len(own) - int(np.ceil(similar * len(own) - 1e-9)) + 1]
+                place = np.arange(len(order))
+                if m is not None:
+                    place = place[m[_slots(own[order])] > 0]
+                found.append(own[order[place]])
+                at.append(place)
+            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in at])
+            el, at = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (found, at))
+            size = sizes[row]
+            lead = at <= size - np.ceil(2 * similar / (1 + similar) * size - 1e-9)
+            blocks = 1 + m[_slots(el)] // block if m is not None else np.ones(len(el))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(el), batch.column("vertex").take(pa.array(row)), batch.column("root").take(pa.array(row)),
+                 pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(lead),
+                 pa.array(blocks.astype(np.int32)), pa.array(_slots(el).astype(np.int64))],
+                ["element", "vertex", "root", "size", "at", "lead", "blocks", "slot"])
+    return run
+
+
+def prefix_pairs(large: DataFrame, similar: float = SIMILAR, block: int = HOT_BLOCK) -> DataFrame:
+    """(a, b) of different roots: every pair of ``large`` (vertex, root, elements) that may be similar enough.
+
+    Exact: elements stand in one order, rarest first, and two vertices that
+    share enough of them share one among the first of both, at places that
+    leave room for the rest. The order goes by counters that several elements
+    may share, which costs pairs to verify but loses none. Elements of one
+    root alone, or that never lead, make no pair; the vertices that lead with
+    a hot element are dealt into blocks of about ``block``.
+    """
+    sent, c = large.sparkSession.sparkContext.broadcast, F.col
+
+    def dense(found) -> np.ndarray:                    # at most one row a counter
+        out = np.zeros(COUNTERS, np.int64)
+        out[found["slot"].to_numpy()] = found["n"].to_numpy()
+        return out
+    kind = "element int, vertex long, root long, size int, at int, lead boolean, blocks int, slot long"
+    counts = sent(dense(large.select("elements").mapInArrow(_frequencies, "slot long, n long")
+                        .groupBy("slot").agg(F.sum("n").alias("n")).toArrow()))
+    slots = (large.mapInArrow(_prefixes(counts, similar), kind).groupBy("slot")
+             .agg(F.sum(c("lead").cast("long")).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")))
+    leads = sent(dense(slots.where("lo < hi AND n > 0").select("slot", "n").toArrow()))
+    rows = cut(large.mapInArrow(_prefixes(counts, similar, leads, block), kind).drop("slot"), "dup-prefixes")
+    l = rows.where("lead").withColumn("block", F.pmod(F.xxhash64("vertex"), c("blocks")).cast("int")).alias("l")
+    once = rows.where("blocks = 1").withColumn("block", F.lit(0))
+    hot = rows.where("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    r = once.unionByName(hot).alias("r")
+    room = F.least(c("l.size") - c("l.at"), c("r.size") - c("r.at"))
+    return (l.join(r, (c("l.element") == c("r.element")) & (c("l.block") == c("r.block")) & (c("l.root") != c("r.root"))
+                   & ((c("l.size") < c("r.size")) | ((c("l.size") == c("r.size")) & (c("l.vertex") < c("r.vertex"))))
+                   & (c("l.size") >= similar * c("r.size") - 1e-6)
+                   & (room >= similar / (1 + similar) * (c("l.size") + c("r.size")) - 1e-6))
+            .select(F.least("l.vertex", "r.vertex").alias("a"), F.greatest("l.vertex", "r.vertex").alias("b")).distinct())
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR,
             rows: int = ROWS, bands: int = BANDS, words: int = WORDS, small: int = SMALL) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), one row per input row.
@@ -353,15 +436,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     # second round: what is still apart in a bucket
     left = cut(open_buckets(buckets, roots), "dup-open")
     pairs = each_with_each(left.where(F.col("n") <= small))
-    fine = left.where(F.col("n") > small).select("key", "vertex", "root").join(own, "vertex")
-    fine = fine.select("vertex", "root", F.explode(F.expr(
-        f"transform(sequence(1, {FINER}), j -> xxhash64(key, j, "
-        f"element_at(bands, cast(pmod(xxhash64(key, j), size(bands)) AS int) + 1)))")).alias("key")).distinct()
-    # pairs of one component need no comparison: in the finer buckets the roots decide while pairing
-    hubs = fine.groupBy("key").agg(F.min(F.struct("vertex", "root")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    fine = cut(fine.join(hubs, "key"), "dup-fine")
-    star = fine.where("vertex <> h.vertex AND root <> h.root").select(F.col("h.vertex").alias("a"), F.col("vertex").alias("b"))
-    pairs = pairs.unionByName(star).unionByName(each_with_each(fine.where(F.col("n") <= small))).distinct()
+    large = cut(left.where(F.col("n") > small).select("vertex", "root").distinct().join(elements, "vertex"), "dup-large")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(prefix_pairs(large, similar)).distinct()
     more = cut(verified(pairs, elements, similar), "dup-links2")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
