@@ -25,3 +25,16 @@ def test_a_language_left_out_of_learning_is_rejected(docs):
         rows = held.join(langid.classify(held, model), "doc_id").collect()
         assert np.mean([r["rejected"] for r in rows if r["own"] == left_out]) > 0.7
         assert np.mean([r["rejected"] for r in rows if r["own"] != left_out]) < 0.05
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    ship_package(spark)
+    rows = [(i, f"the cat sat on mat number {i} and slept", "en") for i in range(20)]
+    rows += [(100 + i, f"der hund lief {i} mal über die straße " * 500, "de") for i in range(3)]
+    rows += [(200, "le chat noir a été vu près de la fenêtre " * 9_000, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, F.lit(True))
+    assert list(model) == ["de", "en", "fr"] and all(8 <= len(v) <= langid.DICT_BYTES for v in model.values())
+    asked = docs.selectExpr("doc_id", "substring(text, 1, 300) AS text", "lang AS own")
+    got = asked.select("doc_id", "own").join(langid.classify(asked, model), "doc_id").collect()
+    assert all(r["lang_pred"] == r["own"] for r in got)

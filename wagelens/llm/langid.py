@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import doc_columns
 
 UNKNOWN = "und"
-#: Bounds of the learning sample: rows a language, characters of such a row, bytes of a dictionary.
+#: Bounds of the learning sample: rows a language, characters up to which a row is preferred, bytes of a dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 160, 4_000, 131_072
 LEVEL = 6
 #: Narrowest accepted margin between the best and the second language: bytes, and share of the best size. Set on
@@ -30,33 +30,43 @@ def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
     """Raw-content dictionary of each language.
 
     Sample (bounded, documented): of the ``learnable`` rows with a language
-    and 1 to ``sample_chars`` characters, the ``sample_rows`` first of each
-    language in the order of the hash of their ids; a dictionary takes whole
-    texts of them up to ``dict_bytes``. Only ids are sorted; the texts of the
-    chosen ids (bounded) are fetched afterwards.
+    and a letter, the ``sample_rows`` first of each language, those of at most
+    ``sample_chars`` characters before longer ones, each in the order of the
+    hash of their ids; a dictionary takes whole texts of them up to
+    ``dict_bytes``, or the beginning of the first where none fits whole. Only
+    ids are sorted; the texts of the chosen ids (bounded, cut behind
+    ``dict_bytes`` characters) are fetched afterwards.
     """
     from pyspark.sql import Window
 
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
                          F.col(text_col).alias("text"), learnable.alias("ok"))
-    usable = usable.where(F.col("ok") & F.col("lang").isNotNull()
-                          & F.length("text").between(1, sample_chars) & F.col("text").rlike(r"\p{L}"))
-    ids = usable.select("id", "lang").withColumn(
-        "r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-    chosen = ids.where(F.col("r") <= sample_rows).select("id").distinct()
-    rows = (usable.join(F.broadcast(chosen), "id", "left_semi")   # at most sample_rows ids a language
-            .select("lang", "id", "text").distinct()
-            .withColumn("o", F.xxhash64("id")).orderBy("lang", "o", "id", "text").collect())
+    usable = usable.where(F.col("ok") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn(
+        "long", F.length("text") > sample_chars)
+    in_class = Window.partitionBy("lang", "long").orderBy(F.xxhash64("id"), "id")
+    ids = usable.select("id", "lang", "long").withColumn("r", F.row_number().over(in_class))
+    # more long rows than these never fit a dictionary
+    chosen = ids.where(F.col("r") <= F.when(F.col("long"), min(sample_rows, dict_bytes // max(sample_chars, 1) + 1))
+                       .otherwise(sample_rows)).select("id", "lang", "long").distinct()
+    rows = (usable.join(F.broadcast(chosen), ["id", "lang", "long"], "left_semi")   # at most 2 * sample_rows ids a language
+            .select("lang", "long", "id", F.substring("text", 1, dict_bytes).alias("text")).distinct()
+            .withColumn("o", F.xxhash64("id")).orderBy("lang", "long", "o", "id", "text").collect())
     out: dict[str, bytes] = {}
-    seen: set = set()
+    first: dict[str, bytes] = {}
+    seen: dict[str, set] = {}
     for r in rows:
-        if (r["lang"], r["text"]) in seen:
+        had = seen.setdefault(r["lang"], set())
+        if r["text"] in had or len(had) == sample_rows:
             continue
-        seen.add((r["lang"], r["text"]))
+        had.add(r["text"])
         text = r["text"].lower().encode("utf-8", "replace")
+        first.setdefault(r["lang"], text)
         have = out.get(r["lang"], b"")
         if len(have) + len(text) < dict_bytes:
             out[r["lang"]] = have + text + b"\n"
+    for lang, text in first.items():
+        if lang not in out:
+            out[lang] = text[:dict_bytes].decode("utf-8", "ignore").encode()
     return {k: v for k, v in sorted(out.items()) if len(v) >= 8}
 
 
