@@ -15,12 +15,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .grid import BATCH_ROWS, BLOCK_ROWS, finite, search
 
-#: Components are quantised to floor(SCALE * x); those beyond LARGEST (2^24) are outside the index.
+#: Components are quantised to floor(SCALE * x); rows with one beyond LARGEST (2^24) are scored apart from the index.
 SCALE, LARGEST = 64, 1 << 24
 
 
 def quantised(vec: Column, scale: int = SCALE) -> Column:
-    return F.transform(vec, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    """floor(scale * x) as doubles: from 2^52 on every double is whole (and may not fit a long)."""
+    def whole(x: Column) -> Column:
+        y = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+    return F.transform(vec, whole)
+
+
+def exact_scores(vecs: np.ndarray, query: np.ndarray) -> list[int]:
+    """Inner products in Python integers, whatever their size."""
+    q = [int(x) for x in query.tolist()]
+    return [sum(int(x) * y for x, y in zip(v, q)) for v in vecs.tolist()]
 
 
 class Slices:
@@ -102,19 +112,37 @@ class Slices:
 
 def _cell(k: int):
     def run(dim: int, block: dict, batch: dict):
-        ids, vecs = block["ids"], block["vecs"].astype(np.int64)
+        every, whole = block["ids"], block["vecs"]
+        far = (np.abs(whole) > LARGEST).any(axis=1)
+        ids, vecs, far_ids, far_vecs = every[~far], whole[~far].astype(np.int64), every[far], whole[far]
         index = Slices(vecs)
         everyone = index.bitmap(np.ones(len(ids), bool))
+        most = int(np.abs(vecs).max(initial=0))
         out = []
-        for q, query in zip(batch["ids"].tolist(), batch["vecs"].astype(np.int64)):
-            allowed = everyone
-            at = int(np.searchsorted(ids, q))
-            if at < len(ids) and ids[at] == q:
-                own = np.zeros(len(ids), bool)
-                own[at] = True
-                allowed = everyone & ~index.bitmap(own)
-            rows = index.top(index.add(query), allowed, k)
-            out.append((np.full(len(rows), q, np.int64), ids[rows], vecs[rows] @ query))
+        for q, query in zip(batch["ids"].tolist(), batch["vecs"]):
+            found: list[tuple[int, int]] = []
+            largest = int(np.abs(query).max(initial=0))
+            if largest <= LARGEST and most * largest * dim < 1 << 63:
+                own = query.astype(np.int64)
+                allowed = everyone
+                at = int(np.searchsorted(ids, q))
+                if at < len(ids) and ids[at] == q:
+                    me = np.zeros(len(ids), bool)
+                    me[at] = True
+                    allowed = everyone & ~index.bitmap(me)
+                rows = index.top(index.add(own), allowed, k)
+                if not len(far_ids):
+                    out.append((np.full(len(rows), q, np.int64), ids[rows], vecs[rows] @ own))
+                    continue
+                found += zip((vecs[rows] @ own).tolist(), ids[rows].tolist())
+            else:
+                found += zip(exact_scores(vecs, query), ids.tolist())
+            found += zip(exact_scores(far_vecs, query), far_ids.tolist())
+            best = sorted(((-s, i) for s, i in found if i != q))[:k]
+            if any(abs(s) >= 1 << 63 for s, _ in best):
+                raise OverflowError(f"a score of query {q} does not fit a long")
+            out.append((np.full(len(best), q, np.int64), np.array([i for _, i in best], np.int64),
+                        np.array([-s for s, _ in best], np.int64)))
         return tuple(np.concatenate(c) for c in zip(*out))
     return run
 
@@ -124,16 +152,16 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     """query_id, rank, vec_id, score: the ``k`` largest integer inner products of each query with all other rows.
 
     ``queries`` marks the query rows. Components count as floor(scale * x).
-    Vectors that are null or hold null or non-finite components take no part,
-    nor do those with a component beyond 2^24 after scaling (their scores may
-    not fit a long). Of an id that several rows bear, the least vector stands.
+    Vectors that are null or hold null or non-finite components take no part.
+    Rows with a component beyond 2^24 after scaling are scored in whole
+    numbers of any size; a score among the best of a block that does not fit a
+    long fails the query. Of an id that several rows bear, the least vector stands.
     Vectors of different lengths do not meet; fewer than ``k`` candidates are
     all returned; an empty table gives an empty result; only the two named
     columns are read.
     """
     every = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vector"),
                         queries.alias("asks")).where(F.col("vec_id").isNotNull() & finite(F.col("vector")))
-    every = every.withColumn("vector", quantised(F.col("vector"), scale)).where(
-        F.forall("vector", lambda x: F.abs(x) <= LARGEST)).withColumn("dim", F.size("vector"))
-    return search(every.drop("asks"), every.where("asks").drop("asks"), k, _cell(k), "int32", "long",
+    every = every.withColumn("vector", quantised(F.col("vector"), scale)).withColumn("dim", F.size("vector"))
+    return search(every.drop("asks"), every.where("asks").drop("asks"), k, _cell(k), "float64", "long",
                   block_rows=block_rows, batch_rows=batch_rows)
