@@ -31,8 +31,8 @@ def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
 
     Sample (bounded, documented): of the ``learnable`` rows with a language
     and a letter, the ``sample_rows`` first of each language, those of at most
-    ``sample_chars`` characters before longer ones, each in the order of the
-    hash of their ids; a dictionary takes whole texts of them up to
+    ``sample_chars`` characters before longer ones (these only where the
+    short ones hold fewer bytes than that), each in the order of the hash of their ids; a dictionary takes whole texts of them up to
     ``dict_bytes``, or the beginning of the first where none fits whole. Only
     ids are sorted; the texts of the chosen ids (bounded, cut behind
     ``dict_bytes`` characters) are fetched afterwards.
@@ -54,6 +54,7 @@ def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
     out: dict[str, bytes] = {}
     first: dict[str, bytes] = {}
     seen: dict[str, set] = {}
+    short: dict[str, int] = {}
     for r in rows:
         had = seen.setdefault(r["lang"], set())
         if r["text"] in had or len(had) == sample_rows:
@@ -62,6 +63,10 @@ def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
         text = r["text"].lower().encode("utf-8", "replace")
         first.setdefault(r["lang"], text)
         have = out.get(r["lang"], b"")
+        if not r["long"]:
+            short[r["lang"]] = len(have) + len(text)
+        elif short.get(r["lang"], 0) >= sample_chars:
+            continue
         if len(have) + len(text) < dict_bytes:
             out[r["lang"]] = have + text + b"\n"
     for lang, text in first.items():
