@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitslice, bpe, langid, mixing, neardup, pii, quality, rpforest, secrets, toxicity
+from . import bitslice, bpe, fim, langid, mixing, neardup, pii, quality, rpforest, secrets, spelling, toxicity
 from .common import fold, table
 
 
@@ -118,10 +118,46 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+c AS (
+  SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS c1,
+         CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS c2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT doc_id, n, form, t, array_to_string(list_slice(u, 1, least(c1, c2)), '') AS prefix,
+         array_to_string(list_slice(u, least(c1, c2) + 1, greatest(c1, c2)), '') AS middle,
+         array_to_string(list_slice(u, greatest(c1, c2) + 1, n), '') AS suffix
+  FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_topk, op2_mix, op3_pii, op4_neardup, op5_quality, op6_toxicity, op7_bpe, op8_langid, op9_secrets, op10_ann)}
+        op1_topk, op2_mix, op3_pii, op4_neardup, op5_quality, op6_toxicity, op7_bpe, op8_langid, op9_secrets, op10_ann,
+        op11_spelling, op12_fim)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op2_mix": OP2_SQL}
+    return {"op1_topk": OP1_SQL, "op2_mix": OP2_SQL, "op12_fim": OP12_SQL}
