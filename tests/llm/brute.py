@@ -153,3 +153,90 @@ def digest(tok, text: str | None) -> tuple[int, str, str]:
     ids = tok.encode(text or "", add_special_tokens=False).ids
     return (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
             hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def spelling_words(rows, drop: int = 97, least: int = 5, occurrences: int = 3) -> dict[str, int]:
+    """The words of (doc_id, text) rows and how often they occur, some occurrences short of one code point."""
+    n: Counter = Counter()
+    low = {i: i + 32 for i in range(65, 91)}
+    for d, t in rows:
+        for r in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            r = r.translate(low)
+            h = zlib.crc32(f"{'' if d is None else d}:{r}".encode())
+            if h % drop == 0:
+                i = h % len(r)
+                r = r[:i] + r[i + 1:]
+            n[r] += 1
+    return {w: k for w, k in n.items() if len(w) >= least and k >= occurrences}
+
+
+def near_words(a: str, b: str) -> bool:
+    """Whether two words differ by exactly one inserted, deleted or replaced code point."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def spelling(rows, ratio: float = 2, **how) -> list[tuple]:
+    """(word, form, root, n, n_near, form_n), comparing every word with every other."""
+    n = spelling_words(rows, **how)
+    out, form, count = [], {}, {}
+    for w in n:
+        near = [x for x in n if near_words(w, x)]
+        count[w] = len(near)
+        best = min(near, key=lambda x: (-n[x], x), default=None)
+        if best is not None and n[best] >= ratio * n[w]:
+            form[w] = best
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n[w], count[w], n[form[w]] if w in form else None))
+    return sorted(out, key=repr)
+
+
+def fim(doc_id, text: str | None, seed: int = 7, rate: int = 100, spm_rate: int = 50) -> tuple:
+    """(n, form, prefix_chars, middle_chars, output) by plain slicing."""
+    t = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", t)
+    digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[i:i + 8], 16) for i in range(0, 32, 8)]
+    if not t or any(m in t for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+        return len(units), "plain", None, None, t
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    form = "spm" if h[3] % 100 < spm_rate else "psm"
+    out = f"<S>{s}<P>{p}<M>{m}" if form == "spm" else f"<P>{p}<S>{s}<M>{m}"
+    return len(units), form, len(p), len(m), out
+
+
+def shingle_set(text: str | None, n: int = 5) -> frozenset:
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return frozenset(tuple(w[i:i + n]) for i in range(max(len(w) - n + 1, 1))) if w else frozenset()
+
+
+def jaccard_components(rows, percent: int = 80, n: int = 5) -> list[tuple]:
+    """(doc_id, n_shingles, component_id) of (doc_id, text) rows, comparing all that share a shingle."""
+    sets = [shingle_set(t, n) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+    where = defaultdict(list)
+    for i, s in enumerate(sets):
+        both: Counter = Counter()
+        for e in s:
+            both.update(where[e])
+            where[e].append(i)
+        for j, k in both.items():
+            if 100 * k >= percent * (len(s) + len(sets[j]) - k):
+                up[find(i)] = find(j)
+    least: dict = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=repr)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitslice, bpe, fim, langid, mixing, neardup, pii, quality, rpforest, secrets, spelling, toxicity
+from . import bitslice, bpe, fim, langid, mixing, neardup, ngramjoin, pii, quality, rpforest, secrets, spelling, toxicity
 from .common import fold, table
 
 
@@ -153,10 +153,14 @@ FROM p
 """
 
 
+def op13_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.joined(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_topk, op2_mix, op3_pii, op4_neardup, op5_quality, op6_toxicity, op7_bpe, op8_langid, op9_secrets, op10_ann,
-        op11_spelling, op12_fim)}
+        op11_spelling, op12_fim, op13_ngramjoin)}
 
 
 def oracle_sql() -> dict[str, str]:
