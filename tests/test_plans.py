@@ -27,7 +27,7 @@ def q():
 
 #: Queries that read record files (the stitch walks line codes in Arrow batches) or ask a caller's geocoder.
 PYTHON = {"cell_typing", "csv_parse", "strict_reject", "stitch_parity", "stitch_pairwise", "stitch_stray_quote",
-          "stitch_unclosed", "tsv_roundtrip", "fail_mode", "resolver_outcomes"}
+          "stitch_unclosed", "tsv_roundtrip", "fail_mode", "resolver_outcomes", "fail_mode_fails"}
 
 
 def test_python_only_where_records_are_stitched(spark, q):
@@ -37,9 +37,10 @@ def test_python_only_where_records_are_stitched(spark, q):
         assert bool(re.search(r"MapInArrow|MapInPandas", plan)) == (name in PYTHON), name
 
 
-#: Queries that write the files they read.
+#: Queries that write the files they read, run a stream, or count in rounds.
 WRITERS = {"cell_typing", "csv_parse", "strict_reject", "stitch_stray_quote", "stitch_unclosed", "tsv_roundtrip",
-           "fail_mode", "industry_codes", "location_file"}
+           "fail_mode", "industry_codes", "location_file", "fail_mode_fails", "stream_closed_windows", "stream_latest_windows",
+           "pay_percentiles", "pay_percentiles_all"}
 
 
 def test_building_a_query_runs_no_job(spark, q):

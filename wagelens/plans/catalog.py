@@ -18,14 +18,14 @@ from wagelens.operators import hexbin as hx
 from wagelens.operators import locate as lc
 from wagelens.operators import stats as st
 from wagelens.operators.histogram import fixed_histogram, requested_histogram
-from wagelens.plans import oracle as o, temporal
+from wagelens.plans import oracle as o, ordered, temporal
 from wagelens.functions.cells import cell_kind
 from wagelens.plans.reports import location_map, map_report
 from wagelens.session import scratch_path, ship_package
 from wagelens.sources import delimited as dl
 from wagelens.sources import locations as ls
 from wagelens.sources.lines import PAIRWISE, lines_of_texts, stitch
-from wagelens.sources.payroll_csv import read_payroll, reason_summary
+from wagelens.sources.payroll_csv import read_payroll, reason_summary, rejected_record
 from wagelens.schema import BAY_AREA, CALIFORNIA, PAY_EDGES, PAYROLL_COLUMNS, MapRun
 from wagelens.sources import tables as tb
 
@@ -262,6 +262,32 @@ def q_fail_mode(spark, sf):
     return read_payroll(spark, path, on_error="fail").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_fail_mode_fails(spark, sf):
+    """Fail mode on records of which one is malformed: the job fails and names its reason, file, line and text.
+
+    ``named_right``: a file of that name has a record of that text at that
+    line, as the quarantine of the same files lists it.
+    """
+    path = scratch_path(spark, "payroll-one-malformed")
+    orders = tb.table(spark, sf, "orders")
+    least = orders.where("o_totalprice < 2000").agg(F.min("o_orderkey").cast("string")).scalar()
+    lines = tb.orders_as_payroll_lines(spark, sf)
+    bad = F.col("value").startswith('"Bad"')
+    dl.write_lines(lines.where(~bad | (F.element_at(F.split("value", ","), 10) == least)), "value", path)
+    kind = "reason string, rec_id long, n_rejected long, named_right boolean"
+    try:
+        read_payroll(spark, path, on_error="fail").write.format("noop").mode("overwrite").save()
+    except Exception as error:
+        said = rejected_record(error)
+        if said is None:
+            raise
+        rejects = read_payroll(spark, path).where("NOT ok").select("file", "line_no", "raw")
+        here = ((F.col("file") == said["file"]) & (F.col("line_no") + 1 == said["line"]) & (F.col("raw") == said["text"]))
+        return rejects.agg(F.lit(said["reason"]).alias("reason"), F.element_at(F.split(F.first("raw"), ","), 10).cast("long").alias("rec_id"),
+                           F.count(F.lit(1)).alias("n_rejected"), F.bool_or(here).alias("named_right"))
+    return spark.createDataFrame([], kind)
+
+
 def _parsed_orders(spark, sf):
     """Orders rendered as payroll CSV files, then read back by the ingest."""
     path = scratch_path(spark, "payroll-csv")
@@ -359,6 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stitch_stray_quote": q_stitch_stray_quote,
     "stitch_unclosed": q_stitch_unclosed,
     "fail_mode": q_fail_mode,
+    "fail_mode_fails": q_fail_mode_fails,
 }
 
 
@@ -624,6 +651,11 @@ SELECT CASE WHEN n_cells > 12 THEN 'extra_cells' WHEN o_orderpriority = '4-NOT S
 FROM facts WHERE ok GROUP BY 1""")
 
 
+def sql_fail_mode_fails() -> str:
+    return """SELECT 'malformed_quote' AS reason, min(o_orderkey) AS rec_id, CAST(1 AS BIGINT) AS n_rejected, true AS named_right
+FROM orders WHERE o_totalprice < 2000 HAVING count(*) > 0"""
+
+
 def sql_industry_stats() -> str:
     m = o.money("l_extendedprice")
     return f"""SELECT substring(p_type, 1, 2) AS major, count(*) AS n,
@@ -750,12 +782,13 @@ ORACLES: dict[str, Callable[[], str]] = {
     "stitch_stray_quote": sql_stitch_stray_quote,
     "stitch_unclosed": sql_stitch_unclosed,
     "fail_mode": sql_fail_mode,
+    "fail_mode_fails": sql_fail_mode_fails,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | temporal.QUERIES
+    return QUERIES | temporal.QUERIES | ordered.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: build() for name, build in (ORACLES | temporal.ORACLES).items()}
+    return {name: build() for name, build in (ORACLES | temporal.ORACLES | ordered.ORACLES).items()}

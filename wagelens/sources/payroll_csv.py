@@ -115,6 +115,18 @@ def fail_on_rejects(parsed: DataFrame) -> DataFrame:
                              .otherwise(F.col("reason")))
 
 
+_REJECTED = re.compile(r"rejected payroll record \((?P<reason>\w+)\) at (?P<file>\S.*?):(?P<line>\d+): (?P<text>.*)", re.S)
+
+
+def rejected_record(error: BaseException) -> dict | None:
+    """What a job in fail mode failed on (reason, file, line from 1, text), or None if it failed on something else."""
+    found = _REJECTED.search(str(error))
+    if not found:
+        return None
+    text = found["text"].split(" SQLSTATE:")[0].split("\n\nJVM stacktrace")[0]
+    return {"reason": found["reason"], "file": found["file"], "line": int(found["line"]), "text": text}
+
+
 def read_payroll(spark: SparkSession, paths, mode: str = QUOTES,
                  on_error: str = "quarantine") -> DataFrame:
     """Parsed payroll records (valid and rejected, with reason) from a glob.
@@ -155,5 +167,5 @@ def read_payroll_lenient(spark: SparkSession, paths) -> DataFrame:
             .where(~F.coalesce(F.col("employee_name") == F.lit(HEADER_FIRST_CELL), F.lit(False))))
 
 
-__all__ = ["parse_records", "split_valid", "read_payroll", "fail_on_rejects", "reason_summary",
+__all__ = ["parse_records", "rejected_record", "split_valid", "read_payroll", "fail_on_rejects", "reason_summary",
            "read_payroll_lenient", "cell_count", "TEXT_COLUMNS"]
