@@ -180,15 +180,21 @@ def _sent(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
-def sets_of(texts: DataFrame, needed: DataFrame, words: int = WORDS) -> DataFrame:
-    """vertex, size, elements (sorted) of the vertices ``needed`` (vertex, text_key), read from the texts again."""
+def sets_of(texts: DataFrame, needed: DataFrame, repeated: bool, words: int = WORDS) -> DataFrame:
+    """vertex, elements (sorted) of the vertices ``needed`` (vertex, pick: doc_id and text_key of one of its rows).
+
+    The texts are read again and joined where they lie; only where rows of one
+    id and text are ``repeated`` they are shuffled, to keep one of each.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [np.unique(shingles(t, words)) for t in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.array(list(map(len, got)), pa.int64()), _flat(got)],
-                                             ["vertex", "size", "elements"])
-    chosen = texts.join(_sent(needed), "text_key").select("vertex", "text").dropDuplicates(["vertex"])
-    return chosen.mapInArrow(run, "vertex long, size long, elements array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), _flat(got)], ["vertex", "elements"])
+    keys = needed.select("vertex", F.col("pick.doc_id").alias("_id"), F.col("pick.text_key").alias("_key"))
+    on = (texts["text_key"] == F.col("_key")) & texts["doc_id"].eqNullSafe(F.col("_id"))
+    chosen = texts.join(_sent(keys), on).select("vertex", "text")
+    chosen = chosen.dropDuplicates(["vertex"]) if repeated else chosen
+    return chosen.mapInArrow(run, "vertex long, elements array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -294,16 +300,22 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     # vertices: one for each set; groups: one for each size and prefix
     groups = cut(some.groupBy("like").agg(F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
                  .withColumn("gid", F.monotonically_increasing_id()), "ngram-groups")
-    vertices = cut(some.groupBy("same").agg(F.first("like").alias("like"), F.first("text_key").alias("text_key"),
+    vertices = cut(some.groupBy("same").agg(F.first("like").alias("like"), F.min(F.struct("doc_id", "text_key")).alias("pick"),
                                             F.min("doc_id").alias("least")).join(groups.select("like", "gid", "size"), "like")
                    .drop("like").withColumn("vertex", F.monotonically_increasing_id()), "ngram-vertices")
+    repeated = not some.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        ends = pairs.select(c("a").alias("vertex")).unionByName(pairs.select(c("b").alias("vertex"))).distinct()
+        needed = cut(vertices.select("vertex", "pick").join(ends, "vertex", "left_semi"), f"{name}-needed")
+        return cut(linked(pairs, cut(sets_of(texts, needed, repeated, words), f"{name}-sets"), percent), name)
     firsts = vertices.groupBy("gid").agg(F.min("vertex").alias("vertex"), F.count("*").alias("members"))
     firsts = cut(firsts, "ngram-firsts")
     # shingles that several groups begin with, and where each stands foremost
     entries = entries_of(groups)
     spot = F.shiftleft(c("at").cast("long"), 40) + c("gid")
     shared = cut(entries.groupBy("element").agg(F.min(spot).alias("spot"), F.count("*").alias("n")).where("n > 1"), "ngram-shared")
-    entries = cut(entries.join(_sent(shared.select("element")), "element", "left_semi"), "ngram-entries")
+    entries = cut(entries.join(shared.select("element"), "element", "left_semi"), "ngram-entries")
     hubs = (shared.select("element", F.shiftright("spot", 40).cast("int").alias("at"), (c("spot").bitwiseAND((1 << 40) - 1)).alias("gid"))
             .join(groups.select("gid", "size"), "gid"))
     first = lambda at, to: firsts.select(c("gid").alias(at), c("vertex").alias(to))           # noqa: E731
@@ -312,14 +324,11 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     inside = (vertices.select("gid", c("vertex").alias("b")).join(firsts.where("members > 1").select("gid", c("vertex").alias("a")), "gid")
               .where("a <> b").select("a", "b"))
     near = cut(near.unionByName(inside), "ngram-hub-pairs")
-    # all whose prefixes are shared may be compared: their sets once
-    touched = entries.select("gid").unionByName(firsts.where("members > 1").select("gid")).distinct()
-    needed = cut(vertices.join(touched, "gid", "left_semi").select("vertex", "text_key"), "ngram-needed")
-    sets = cut(sets_of(texts, needed, words), "ngram-sets")
-    links = cut(linked(near, sets, percent), "ngram-links")
+    links = compared(near, "ngram-links")
     roots = components(links)
     # second round: candidates that are still apart
-    members = cut(vertices.select("vertex", "gid", "size").join(roots, "vertex", "left")
+    touched = entries.select("gid").unionByName(firsts.where("members > 1").select("gid")).distinct()
+    members = cut(vertices.select("vertex", "gid", "size", "pick").join(roots, "vertex", "left")
                   .withColumn("root", F.coalesce("root", "vertex")).join(touched, "gid", "left_semi"), "ngram-members")
     parts = members.select("gid", "root").distinct()
     apart = cut(open_pairs(entries, parts, percent), "ngram-open-pairs")
@@ -333,8 +342,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                               .select(c("l.vertex").alias("a"), c("r.vertex").alias("b")))
     many = within.where(c("members") > small)
     if not many.isEmpty():
+        sets = cut(sets_of(texts, many.select("vertex", "pick"), repeated, words), "ngram-many")
         pairs = pairs.unionByName(second_prefix_pairs(many.select("vertex", "gid", "root").join(sets, "vertex"), levels, percent))
-    more = cut(linked(pairs, sets, percent), "ngram-links2")
+    more = compared(cut(pairs.distinct(), "ngram-pairs2"), "ngram-links2")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     levels.unpersist()
