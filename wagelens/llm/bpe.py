@@ -169,51 +169,101 @@ def has_word_ends(tok) -> bool:
             and made["pre_tokenizer"]["pretokenizers"][0].get("invert") is True)
 
 
+def _lowered() -> dict[int, str]:
+    """For each character below U+0250 what stands for its lower case in the model's alphabet; NUL where that is no letter."""
+    return {c: "".join([ALPHABET[b] for b in low.encode()]) if (low := chr(c).lower()).isalpha() else "\0" for c in range(0x250)}
+
+
+LOWERED = _lowered()
+
+
 def _letters(word: str) -> str | None:
     """The one pre-token of a word of Latin letters in the model's alphabet; None for any other word."""
     if word.isascii():
         return word if word.isalpha() else None
     if max(word) >= "\u0250":
         return None
-    low = "".join(map(str.lower, word))
-    return "".join([ALPHABET[b] for b in low.encode()]) if low.isalpha() else None
+    low = word.translate(LOWERED)
+    return None if "\0" in low else low
 
 
 class Pieces:
     """Encodings of the words that a Python worker has met, the least recent forgotten.
 
-    A blank-free piece is looked up as its word and its trailing marks: a
-    letter before a mark always ends a word of the vocabulary. ASCII words
-    are looked up in lower case, as the tokenizer lowers them.
+    A blank-free piece is looked up as it is, then as its word and its
+    trailing marks: a letter before a mark always ends a word of the
+    vocabulary. ASCII words are looked up in lower case, as the tokenizer
+    lowers them.
     """
 
     def __init__(self, tok):
         self.tok, self.model, self.new, self.old = tok, tok.model, {}, {}
         self.by_piece = has_word_ends(tok)
 
-    def entries(self, words: list[str]) -> dict[str, tuple[str, str, int]]:
-        """(ids as text, tokens as text, count) of each word."""
-        out, miss = {}, []
-        for w in words:
-            e = self.new.get(w) or self.old.get(w)
+    def _one(self, w: str):
+        """Entry (ids as text, tokens as text, count) of a word, or None where the whole tokenizer is needed."""
+        e = self.new.get(w) or self.old.get(w)
+        if e is None:
+            one = _letters(w)
+            if one is None:
+                return None
+            got = self.model.tokenize(one)
+            if len(got) == 1:
+                e = (str(got[0].id), got[0].value, 1)
+            else:
+                e = (" ".join([str(t.id) for t in got]), " ".join([t.value for t in got]), len(got))
+        self.new[w] = e
+        return e
+
+    def entries(self, pieces) -> dict[str, tuple[str, str, int]]:
+        """The entry of each distinct piece; pieces without a token are left out."""
+        new, old, out, apart, miss = self.new, self.old, {}, [], set()
+        for p in pieces:
+            e = new.get(p)
             if e is None:
-                one = _letters(w)
-                if one is None:
-                    miss.append(w)
+                e = old.get(p)
+                if e is None:
+                    apart.append(p)
                     continue
-                got = self.model.tokenize(one)
-                e = (" ".join([str(t.id) for t in got]), " ".join([t.value for t in got]), len(got))
-            self.new[w] = out[w] = e
+                new[p] = e
+            out[p] = e
+        waiting, one = [], self._one
+        for p in apart:
+            if p.isascii() and p.isalpha():
+                out[p] = one(p.lower())
+                continue
+            w, tail = _parts(p)
+            e = one(w) if w else NO_TOKENS
+            t = one(tail) if tail else NO_TOKENS
+            if e is None or t is None:
+                miss.update(x for x, y in ((w, e), (tail, t)) if y is None)
+                waiting.append((p, w, tail))
+            else:
+                out[p] = _with_tail(e, t)
+        miss = list(miss)
         for k in range(0, len(miss), 20_000):
             part = miss[k:k + 20_000]
             for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
                 ids = e.ids
-                self.new[w] = out[w] = (" ".join(map(str, ids)), " ".join(e.tokens), len(ids))
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
+                new[w] = (" ".join(map(str, ids)), " ".join(e.tokens), len(ids))
+        for p, w, tail in waiting:
+            out[p] = _with_tail(new[w] if w else NO_TOKENS, new[tail] if tail else NO_TOKENS)
+        if len(new) > REMEMBERED:
+            self.old, self.new = new, {}
+        for p in [p for p, e in out.items() if not e[2]]:
+            del out[p]
         return out
 
 
+NO_TOKENS = ("", "", 0)
+
+
+def _with_tail(e: tuple, t: tuple) -> tuple:
+    if not t[2]:
+        return e
+    return (f"{e[0]} {t[0]}", f"{e[1]} {t[1]}", e[2] + t[2]) if e[2] else t
+
+
 def _parts(piece: str) -> tuple[str, str]:
     """The word of a piece and its trailing marks, as they are looked up."""
     word = piece.rstrip(MARKS)
@@ -227,19 +277,9 @@ def known_pieces(known: Pieces, texts: list[list[str]], unsplit: int) -> dict[st
     """Entry of every distinct piece of some split texts; pieces without a token are left out."""
     pieces = set().union(*texts) if texts else set()
     pieces.discard("")
-    long = {p for p in pieces if len(p) > unsplit}
-    cut_ = {p: _parts(p) for p in pieces - long}
-    words = known.entries(list({w for c in cut_.values() for w in c if w}))
-    none = ("", "", 0)
-    out = {}
-    for p, (w, tail) in cut_.items():
-        e, t = words.get(w, none), words.get(tail, none)
-        if e[2] and t[2]:
-            e = (f"{e[0]} {t[0]}", f"{e[1]} {t[1]}", e[2] + t[2])
-        elif t[2]:
-            e = t
-        if e[2]:
-            out[p] = e
+    long = [p for p in pieces if len(p) > unsplit]
+    pieces.difference_update(long)
+    out = known.entries(pieces)
     for p in long:
         e = _entry(known.tok, encode_tree(known.tok, p, unsplit))
         if e[2]:
@@ -258,7 +298,7 @@ def encode_texts(known: Pieces, texts: list[str], unsplit: int = UNSPLIT_CHARS)
         return [[_entry(known.tok, encode_tree(known.tok, t, unsplit))] if t else [] for t in texts]
     split = [t.replace("\n", " ").split(" ") for t in texts]
     here = known_pieces(known, split, unsplit)
-    return [[e for e in map(here.get, s) if e] for s in split]
+    return [list(filter(None, map(here.get, s))) for s in split]
 
 
 def _ids(entries: list[tuple[str, str, int]]) -> list[int]:
@@ -272,12 +312,18 @@ def digest(tok, ids: list[int]) -> tuple[int, str, str]:
             hashlib.sha256(back.encode("utf-8", "replace")).hexdigest())
 
 
+_EMPTY = hashlib.sha256(b"").hexdigest()
+
+
 def _digest(tok, entries: list[tuple[str, str, int]]) -> tuple[int, str, str]:
     """``digest`` of a text's entries; a tokenizer without a decoder joins its tokens by blanks."""
     if tok.decoder is not None:
         return digest(tok, _ids(entries))
-    return (sum(e[2] for e in entries), hashlib.sha256(" ".join([e[0] for e in entries]).encode()).hexdigest(),
-            hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
+    if not entries:
+        return 0, _EMPTY, _EMPTY
+    ids, tokens, _ = zip(*entries)
+    ids = " ".join(ids)
+    return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(" ".join(tokens).encode()).hexdigest()
 
 
 def _chunks(texts: list[str], chars: int = 2_000_000):
