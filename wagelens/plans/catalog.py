@@ -18,7 +18,7 @@ from wagelens.operators import hexbin as hx
 from wagelens.operators import locate as lc
 from wagelens.operators import stats as st
 from wagelens.operators.histogram import fixed_histogram, requested_histogram
-from wagelens.plans import oracle as o, ordered, temporal
+from wagelens.plans import oracle as o, ordered, temporal, upkeep
 from wagelens.functions.cells import cell_kind
 from wagelens.plans.reports import location_map, map_report
 from wagelens.session import scratch_path, ship_package
@@ -787,8 +787,8 @@ ORACLES: dict[str, Callable[[], str]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | temporal.QUERIES | ordered.QUERIES
+    return QUERIES | temporal.QUERIES | ordered.QUERIES | upkeep.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: build() for name, build in (ORACLES | temporal.ORACLES | ordered.ORACLES).items()}
+    return {name: build() for name, build in (ORACLES | temporal.ORACLES | ordered.ORACLES | upkeep.ORACLES).items()}

@@ -36,7 +36,8 @@ def _rows_schema() -> str:
     return ", ".join(f"{c} {kinds[c]}" for c in ROW_COLUMNS) + ", run BIGINT, rejected INT"
 
 
-def _listed(spark: SparkSession, table: str) -> DataFrame:
+def listed(spark: SparkSession, table: str) -> DataFrame:
+    """(file, run) of all runs whose rows are complete."""
     try:
         return spark.read.schema(FILES).parquet(f"{table}/files")
     except AnalysisException:                       # no run yet
@@ -45,7 +46,7 @@ def _listed(spark: SparkSession, table: str) -> DataFrame:
 
 def next_run(spark: SparkSession, table: str) -> int:
     """A number above all listed runs (the clock's milliseconds, where that is above)."""
-    last = _listed(spark, table).agg(F.max("run")).first()[0] or 0
+    last = listed(spark, table).agg(F.max("run")).first()[0] or 0
     return max(last + 1, int(time.time() * 1000))
 
 
@@ -68,10 +69,15 @@ def write_run(parsed: DataFrame, files: DataFrame, table: str, run: int | None =
     return run
 
 
+def run_rows(spark: SparkSession, table: str) -> DataFrame:
+    """The rows of all runs, listed or not, with ``run`` and ``rejected`` (0 or 1)."""
+    return spark.read.schema(_rows_schema()).option("basePath", f"{table}/rows").parquet(f"{table}/rows/run=*")
+
+
 def current(spark: SparkSession, table: str) -> DataFrame:
     """All rows of each file's last run, with ``rejected`` (0 or 1)."""
-    last = _listed(spark, table).groupBy("file").agg(F.max("run").alias("run"))
-    rows = spark.read.schema(_rows_schema()).option("basePath", f"{table}/rows").parquet(f"{table}/rows/run=*")
+    last = listed(spark, table).groupBy("file").agg(F.max("run").alias("run"))
+    rows = run_rows(spark, table)
     live = [r["run"] for r in live_runs(spark, table).select("run").limit(MOST_RUNS + 1).collect()]
     if len(live) <= MOST_RUNS:                      # folders of superseded and unlisted runs are not read
         rows = rows.where(F.col("run").isin(live))
@@ -96,7 +102,7 @@ def summary(spark: SparkSession, table: str) -> DataFrame:
 
 def live_runs(spark: SparkSession, table: str) -> DataFrame:
     """run, files: the runs that some file's rows are still read from."""
-    return (_listed(spark, table).groupBy("file").agg(F.max("run").alias("run"))
+    return (listed(spark, table).groupBy("file").agg(F.max("run").alias("run"))
             .groupBy("run").agg(F.count(F.lit(1)).alias("files")))
 
 
@@ -117,9 +123,9 @@ def compact(spark: SparkSession, table: str, live_share: float = 0.5) -> int | N
     any other, so readers see the same rows before and after, and an attempt
     that fails is never seen. Returns the new run's number, or None.
     """
-    listed = _listed(spark, table)
-    last = listed.groupBy("file").agg(F.max("run").alias("last"))
-    share = (listed.distinct().join(last, "file").groupBy("run")
+    every = listed(spark, table)
+    last = every.groupBy("file").agg(F.max("run").alias("last"))
+    share = (every.distinct().join(last, "file").groupBy("run")
              .agg(F.avg((F.col("run") == F.col("last")).cast("int")).alias("live")))
     runs = [r["run"] for r in share.where((F.col("live") > 0) & (F.col("live") < live_share)).select("run").collect()]
     if not runs:
@@ -145,8 +151,8 @@ def vacuum(spark: SparkSession, table: str, keep_hours: float = 24.0, live_share
     live = {r["run"] for r in live_runs(spark, table).select("run").collect()}
     border = int((time.time() - keep_hours * 3600) * 1000)
     # a run is dead since the run that took over its last file
-    listed = _listed(spark, table)
-    took = (listed.alias("a").join(listed.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.run") < F.col("b.run")))
+    every = listed(spark, table)
+    took = (every.alias("a").join(every.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.run") < F.col("b.run")))
             .groupBy(F.col("a.run").alias("run"), F.col("a.file")).agg(F.min("b.run").alias("by"))
             .groupBy("run").agg(F.max("by").alias("since")))
     since = {r["run"]: r["since"] for r in took.collect()}
