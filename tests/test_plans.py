@@ -39,8 +39,8 @@ def test_python_only_where_records_are_stitched(spark, q):
 
 #: Queries that write the files they read, run a stream, or count in rounds.
 WRITERS = {"cell_typing", "csv_parse", "strict_reject", "stitch_stray_quote", "stitch_unclosed", "tsv_roundtrip",
-           "fail_mode", "industry_codes", "location_file", "fail_mode_fails", "stream_closed_windows", "stream_latest_windows",
-           "pay_percentiles", "pay_percentiles_all", "sketch_years", "reingest_removed", "reingest_added", "reingest_kept"}
+           "fail_mode", "industry_codes", "location_file", "fail_mode_fails", "stream_closed_windows", "stream_latest_windows", "stream_stitch",
+           "pay_percentiles", "pay_percentiles_all", "sketch_years", "reingest_removed", "reingest_added", "reingest_kept", "nearest_agency"}
 
 
 def test_building_a_query_runs_no_job(spark, q):

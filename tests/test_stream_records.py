@@ -5,7 +5,6 @@ import os
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from wagelens.sources.lines import PAIRWISE, QUOTES, lines_of_texts, stitch
 from wagelens.streaming import records as sr
@@ -25,9 +24,9 @@ def land(spark, folder, number, rows):
 
 def drain(spark, tmp_path, mode):
     lines = sr.read_lines_stream(spark, f"{tmp_path}/land/*", 1)
-    q = (sr.stitched_stream(lines, mode, glue="|").writeStream.format("parquet").outputMode("append")
-         .option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    sr.start_stitch(sr.stitched_stream(lines, mode, glue="|"), f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
     return sorted(map(tuple, spark.read.schema(sr.RECORDS).parquet(f"{tmp_path}/out").collect()))
 
 

@@ -13,6 +13,8 @@ from wagelens.operators.asof import asof_join
 from wagelens.operators.interval import interval_join
 from wagelens.session import scratch_path
 from wagelens.sources import tables as tb
+from wagelens.sources.lines import LINE_BREAK
+from wagelens.streaming import records as sr
 from wagelens.streaming import windows as sw
 
 WIDTH, SLIDE, DELAY = "6 hours", "2 hours", "1 day"
@@ -182,6 +184,30 @@ def q_stream_latest_windows(spark, sf):
     return _shown(sw.latest_windows(spark, f"{base}/table", stats.schema, ["event_type"]))
 
 
+def q_stream_stitch(spark, sf):
+    """The documents as CSV records whose lines land in three cuts: every third line, read in one batch or several."""
+    base = scratch_path(spark, "stream-stitch")
+    docs = tb.documents_as_csv(spark, sf)
+    each = docs.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("record", LINE_BREAK, -1)).alias("line_no", "line"))
+    ends = docs.select(F.col("doc_id").cast("string").alias("file"), F.size(F.split("record", LINE_BREAK, -1)).cast("long").alias("line_no"),
+                       F.lit(None).cast("string").alias("line"))
+    lines = each.select("file", F.col("line_no").cast("long").alias("line_no"), "line").unionByName(ends)
+    for k in range(3):
+        lines.where(F.col("line_no") % 3 == k).write.parquet(f"{base}/land/cut{k}")
+    stream = sr.stitched_stream(sr.read_lines_stream(spark, f"{base}/land/*"))
+    sr.start_stitch(stream, f"{base}/records", f"{base}/checkpoint").awaitTermination()
+    records = spark.read.schema(sr.RECORDS).parquet(f"{base}/records")
+    parsed = records.select(F.from_csv("raw", "doc_id BIGINT, text STRING, lang STRING",
+                                       {"sep": ",", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}).alias("d"),
+                            F.col("n_lines").cast("bigint").alias("n_lines"))
+    return parsed.select("d.doc_id", "d.text", "d.lang", "n_lines")
+
+
+def sql_stream_stitch() -> str:
+    return ("SELECT doc_id, replace(replace(text, chr(13), ''), chr(10), '') AS text, lang, "
+            "CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents")
+
+
 _WINDOW_FIGURES = """count(*) AS n, count(value) AS n_valued, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS sum_value,
        min(value) AS min_value, max(value) AS max_value"""
 
@@ -209,6 +235,7 @@ QUERIES = {
     "pay_asof_fresh": q_pay_asof_fresh,
     "stream_closed_windows": q_stream_closed_windows,
     "stream_latest_windows": q_stream_latest_windows,
+    "stream_stitch": q_stream_stitch,
 }
 
 ORACLES = {
@@ -218,4 +245,5 @@ ORACLES = {
     "pay_asof_fresh": sql_pay_asof_fresh,
     "stream_closed_windows": sql_stream_closed_windows,
     "stream_latest_windows": sql_stream_latest_windows,
+    "stream_stitch": sql_stream_stitch,
 }

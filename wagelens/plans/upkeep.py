@@ -1,13 +1,17 @@
-"""Catalogue queries on stored results: sketches rolled up without the facts, what changed between two tables."""
+"""Catalogue queries: sketches rolled up without the facts, what changed between two tables, nearest places."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wagelens.functions.geo import lcc_xy, truncate_m
 from wagelens.operators import changes as ch
 from wagelens.operators import sketches as sk
+from wagelens.operators.nearest import nearest
+from wagelens.plans import oracle as o
 from wagelens.plans.temporal import PAY_CTE, dated_pay
+from wagelens.schema import CALIFORNIA
 from wagelens.session import scratch_path
 from wagelens.sources import tables as tb
 
@@ -115,7 +119,39 @@ def sql_reingest_kept() -> str:
     return _sql_sets("SELECT * FROM old INTERSECT ALL SELECT * FROM new")
 
 
+def _projected(df: DataFrame, key: str, lon0: float, lat0: float, spread: int) -> DataFrame:
+    """``df`` with lon and lat made from ``key``, projected to whole metres of the California window."""
+    lon = F.lit(lon0) + ((F.col(key) * 37) % spread).cast("double") / F.lit(100.0)
+    lat = F.lit(lat0) + ((F.col(key) * 91) % spread).cast("double") / F.lit(100.0)
+    x, y = lcc_xy(lon, lat, *CALIFORNIA[1:])
+    return df.withColumn("x", truncate_m(x)).withColumn("y", truncate_m(y))
+
+
+def q_nearest_agency(spark, sf):
+    """Every customer's nearest supplier, both projected; suppliers stand for located agencies."""
+    people = _projected(tb.table(spark, sf, "customer").select("c_custkey"), "c_custkey", -124.0, 32.0, 997)
+    places = _projected(tb.table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", -123.5, 32.5, 883)
+    places = places.withColumnsRenamed({"x": "px", "y": "py"})
+    got = nearest(people, places, "x", "y", ["s_suppkey"], "px", "py")
+    return got.select("c_custkey", "s_suppkey", "dist2")
+
+
+def sql_nearest_agency() -> str:
+    def xy(key, lon0, lat0, spread):
+        lon = f"({o.d(lon0)} + CAST(({key} * 37) % {spread} AS DOUBLE) / {o.d(100.0)})"
+        lat = f"({o.d(lat0)} + CAST(({key} * 91) % {spread} AS DOUBLE) / {o.d(100.0)})"
+        return o.lcc_sql(lon, lat, o.d(-119.0), o.d(37.20), o.d(1_000_000.0), o.d(1_200_000.0))
+    cx, cy = xy("c_custkey", -124.0, 32.0, 997)
+    sx, sy = xy("s_suppkey", -123.5, 32.5, 883)
+    return f"""WITH c AS (SELECT c_custkey, {cx} AS x, {cy} AS y FROM customer),
+s AS (SELECT s_suppkey, {sx} AS px, {sy} AS py FROM supplier),
+r AS (SELECT c_custkey, s_suppkey, (px - x) * (px - x) + (py - y) * (py - y) AS dist2,
+             row_number() OVER (PARTITION BY c_custkey ORDER BY (px - x) * (px - x) + (py - y) * (py - y), s_suppkey) AS k FROM c, s)
+SELECT c_custkey, s_suppkey, dist2 FROM r WHERE k = 1"""
+
+
 QUERIES = {
+    "nearest_agency": q_nearest_agency,
     "sketch_years": q_sketch_years,
     "reingest_removed": q_reingest_removed,
     "reingest_added": q_reingest_added,
@@ -123,6 +159,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "nearest_agency": sql_nearest_agency,
     "sketch_years": sql_sketch_years,
     "reingest_removed": sql_reingest_removed,
     "reingest_added": sql_reingest_added,

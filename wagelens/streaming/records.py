@@ -12,12 +12,13 @@ gives up what is still open, line by line, as the batch stitch does.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from wagelens.session import ship_package
 from wagelens.sources.lines import PAIRWISE, QUOTES, _Split, pairwise_code, quote_code
@@ -99,9 +100,34 @@ class Stitcher(StatefulProcessor):
         pass
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The RocksDB state store for the queries started inside; the session's own setting comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, PROVIDER)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
+def start_stitch(records: DataFrame, table: str, checkpoint: str, available_now: bool = True,
+                 processing_time: str = "1 minute") -> StreamingQuery:
+    """Append the records of a ``stitched_stream`` to a Parquet table, each once."""
+    writer = (records.writeStream.format("parquet").outputMode("append").option("path", table)
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
+    with state_store(records.sparkSession):
+        return writer.start()
+
+
 def stitched_stream(lines: DataFrame, mode: str = QUOTES, min_pieces: int = MIN_PIECES, sep: str = ",",
                     glue: str = "") -> DataFrame:
-    """Records (file, line_no, n_lines, raw) of a stream of ``LINES``; append mode, RocksDB state.
+    """Records (file, line_no, n_lines, raw) of a stream of ``LINES``, to be started by ``start_stitch`` (append mode, RocksDB state).
 
     Rows without a file are dropped. A line is coded where it is read; the
     state keeps it only while its record is open or a line before it is
@@ -111,7 +137,6 @@ def stitched_stream(lines: DataFrame, mode: str = QUOTES, min_pieces: int = MIN_
         raise ValueError(f"unknown stitch mode {mode!r}")
     spark = lines.sparkSession
     ship_package(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     code = quote_code(F.col("line"), sep) if mode == QUOTES else pairwise_code(F.col("line"), min_pieces)
     coded = lines.where("file IS NOT NULL").select("file", "line_no", F.coalesce(code, F.lit(0)).cast("int").alias("code"),
                                                   F.col("line").cast("binary").alias("line"))
