@@ -87,11 +87,7 @@ def rows_as_of(spark: SparkSession, table: str, run: int, besides: int | None =
     mine = last(run)
     if besides is not None:
         mine = mine.join(last(besides), ["file", "run"], "left_anti")
-    rows = silver.run_rows(spark, table)
-    runs = [r["run"] for r in mine.select("run").distinct().limit(silver.MOST_RUNS + 1).collect()]
-    if len(runs) <= silver.MOST_RUNS:
-        rows = rows.where(F.col("run").isin(runs))
-    return rows.join(mine, ["file", "run"], "left_semi")
+    return silver.run_rows(spark, table, mine).join(mine, ["file", "run"], "left_semi")
 
 
 def run_changes(spark: SparkSession, table: str, before: int, after: int, columns: Sequence[str]) -> DataFrame:

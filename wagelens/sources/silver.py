@@ -26,7 +26,7 @@ from wagelens.schema import MIN_PIECES, PAYROLL_COLUMNS, PAYROLL_SCHEMA
 
 ROW_COLUMNS = ("file", "line_no", "n_lines", "raw", *PAYROLL_COLUMNS, "reason")
 FILES = "file STRING, run BIGINT"
-#: Live runs that are named in the filter on folders; beyond, the join alone tells them.
+#: Live runs whose folders are named one by one; beyond, the join alone tells them.
 MOST_RUNS = 2_000
 
 
@@ -69,19 +69,21 @@ def write_run(parsed: DataFrame, files: DataFrame, table: str, run: int | None =
     return run
 
 
-def run_rows(spark: SparkSession, table: str) -> DataFrame:
-    """The rows of all runs, listed or not, with ``run`` and ``rejected`` (0 or 1)."""
-    return spark.read.schema(_rows_schema()).option("basePath", f"{table}/rows").parquet(f"{table}/rows/run=*")
+def run_rows(spark: SparkSession, table: str, runs: DataFrame) -> DataFrame:
+    """The rows of the ``runs`` (column ``run``), with ``run`` and ``rejected`` (0 or 1): only their folders are listed.
+
+    Beyond ``MOST_RUNS`` runs all folders are, and the caller's join tells.
+    """
+    found = sorted(r["run"] for r in runs.select("run").distinct().limit(MOST_RUNS + 1).collect())
+    paths = [f"{table}/rows/run={n}" for n in found] if 0 < len(found) <= MOST_RUNS else [f"{table}/rows/run=*"]
+    return spark.read.schema(_rows_schema()).option("basePath", f"{table}/rows").parquet(*paths)
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:
     """All rows of each file's last run, with ``rejected`` (0 or 1)."""
     last = listed(spark, table).groupBy("file").agg(F.max("run").alias("run"))
-    rows = run_rows(spark, table)
-    live = [r["run"] for r in live_runs(spark, table).select("run").limit(MOST_RUNS + 1).collect()]
-    if len(live) <= MOST_RUNS:                      # folders of superseded and unlisted runs are not read
-        rows = rows.where(F.col("run").isin(live))
-    return rows.join(last, ["file", "run"], "left_semi")
+    # folders of superseded and unlisted runs are not read
+    return run_rows(spark, table, last).join(last, ["file", "run"], "left_semi")
 
 
 def silver(spark: SparkSession, table: str) -> DataFrame:
