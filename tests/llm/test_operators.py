@@ -258,6 +258,26 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.classes(docs.limit(0)).count() == 0 and neardup.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    """A text that is like no other stays, whatever else bears its id; copies without an id come down to one."""
+    rows = [(0, "alpha beta"), (1, "alpha beta"), (1, "gamma delta"), (None, "zeta eta"), (None, "zeta eta"), (None, "alpha beta"),
+            (2, "theta one"), (2, "iota two"), (2, "iota two"), (3, "iota two"), (None, "solo"), (4, None), (4, None), (None, " ")]
+    docs = frame(spark, [(*r, None, None) for r in rows])
+    kept = sorted(((r["doc_id"], r["text"]) for r in neardup.one_of_each(docs).collect()), key=repr)
+    assert kept == sorted([(0, "alpha beta"), (1, "gamma delta"), (None, "zeta eta"), (2, "theta one"), (2, "iota two"), (None, "solo"),
+                           (4, None), (4, None), (None, " ")], key=repr)
+    got = sorted(((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect() if r["doc_id"] is not None))
+    assert got == [(0, 0), (1, 0), (1, 1), (2, 2), (2, 2), (2, 2), (3, 2), (4, 4), (4, 4)]
+
+
+def test_a_near_copy_without_an_id_does_not_name_the_class(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (7, " ".join(words[:-1] + ["x"])), (9, " ".join(["y"] + words[1:]))]
+    got = neardup.classes(frame(spark, [(*r, None, None) for r in rows])).collect()
+    assert {r["class_id"] for r in got} == {7}
+    assert [r["doc_id"] for r in neardup.one_of_each(frame(spark, [(*r, None, None) for r in rows])).collect()] == [7]
+
+
 # ---- op2 ---------------------------------------------------------------------
 
 def test_words_are_counted_on_bytes():

@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wagelens.session import ensure_checkpoint_dir, ship_package
 
 
-#: Rows that go to Python at once: texts are long, so fewer than Spark's 10,000 for narrow rows.
-ROWS_AT_ONCE = 1_000
+#: Rows and bytes that go to Python at once: texts are long, so fewer than Spark's 10,000 rows and 64 MB.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1_000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to Python workers and bound the rows of an Arrow batch (a caller's smaller bound stays)."""
+    """Ship the package to Python workers and bound an Arrow batch by rows and bytes (a caller's smaller bounds stay)."""
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ROWS_AT_ONCE:
-        spark.conf.set(key, str(ROWS_AT_ONCE))
+    for name, most in (("maxRecordsPerBatch", ROWS_AT_ONCE), ("maxBytesPerBatch", BYTES_AT_ONCE)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"\d+", spark.conf.get(key, "1000000000"))
+        if not now or not 0 < int(now.group()) <= most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: a worker lives on, and so would its high-water mark."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):               # another C library
+        pass
+
+
+def tidy(run):
+    """An Arrow function of a partition that releases memory when the partition is done."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return whole
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

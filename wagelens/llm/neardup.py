@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, doc_columns
+from .common import cut, doc_columns, tidy
 
 #: Words of a shingle, least weighted Jaccard similarity of a link.
 WORDS, SIMILAR = 5, 0.8
@@ -35,6 +35,8 @@ ROWS, BANDS = 6, 42
 SMALL = 24
 #: Counters of the shingles' frequencies (a power of two), documents of a block of a hot shingle.
 COUNTERS, HOT_BLOCK = 1 << 20, 4_096
+#: Binary digits of the counters of a chunk, which travel in one row; what is told of a counter.
+CHUNK_BITS, _FIGURES = 12, ("n", "lo", "hi")
 
 _U = np.uint64
 GOLD, M1, M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -244,18 +246,18 @@ def verified(pairs: DataFrame, elements: DataFrame, similar: float = SIMILAR) ->
     return both.where(small >= similar * large).mapInArrow(_verify(similar), "a long, b long, similarity double")
 
 
-def components(links: DataFrame, most: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """vertex, root: the least vertex of each component of ``links`` (a, b); vertices without a link are not there.
 
     Rounds of the least neighbour's root with pointer jumping, the tables
     written to the shared folder between rounds; a hub's neighbours meet only
-    in partial minima.
+    in partial minima. Every round but the last lowers some root, so it ends.
     """
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
                 "cc-edges")
     root = cut(edges.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("m"))
                .select("vertex", F.least("vertex", "m").alias("root")), "cc-root")
-    for _ in range(most):
+    while True:
         jump = root.select(F.col("vertex").alias("root"), F.col("root").alias("up"))
         jumped = root.join(jump, "root").select("vertex", F.col("up").alias("root"))
         near = (edges.join(jumped.select(F.col("vertex").alias("b"), "root"), "b")
@@ -266,7 +268,6 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
         root = new
         if was == now:
             return root
-    raise RuntimeError(f"components not settled after {most} rounds")
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, bands: int = BANDS,
@@ -287,7 +288,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows
                     [part.column(0), batch.column("text_key")[at:at + part.num_rows], part.column(1)],
                     ["doc_id", "text_key", "bands"])
                 at += part.num_rows
-    return each.mapInArrow(run, f"doc_id {kind}, text_key string, bands array<long>")
+    return each.mapInArrow(tidy(run), f"doc_id {kind}, text_key string, bands array<long>")
 
 
 def hub_pairs(buckets: DataFrame) -> DataFrame:
@@ -321,6 +322,25 @@ def _slots(elements: np.ndarray) -> np.ndarray:
     return elements.view(np.uint32) >> np.uint32(32 - (COUNTERS.bit_length() - 1))
 
 
+def _told(slots: np.ndarray, *counts: np.ndarray) -> pa.RecordBatch:
+    """One row a chunk of counters: the counters (sorted) and what is known of each, as lists."""
+    chunk, at = np.unique(slots >> CHUNK_BITS, return_index=True)
+    ends = pa.array(np.append(at, len(slots)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(chunk), *(pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in (slots, *counts))],
+        ["chunk", "slot", *_FIGURES[:len(counts)]])
+
+
+def _added(table: pa.Table, figures: int) -> list[np.ndarray]:
+    """The counters of a chunk from all tasks, each once: numbers added, least and greatest roots."""
+    cols = [np.concatenate([x.values.to_numpy() for x in table.column(c)]) for c in ("slot", *_FIGURES[:figures])]
+    order = np.argsort(cols[0], kind="stable")
+    slots = cols[0][order]
+    first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+    how = (np.add, np.minimum, np.maximum)
+    return [slots[first], *(f.reduceat(x[order], first) for f, x in zip(how, cols[1:]))]
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many elements of a task fall on each counter."""
     n = np.zeros(COUNTERS, np.int64)
@@ -328,40 +348,80 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, _ = _lists32(batch.column("elements"))
         n += np.bincount(_slots(values), minlength=COUNTERS)
     at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], ["slot", "n"])
+    if len(at):
+        yield _told(at, n[at])
+
 
+def _all_frequencies(table: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_told(*_added(table, 1))])
 
-def _prefixes(counts, similar: float, leads=None, block: int = 1):
-    """The rarest elements of each vertex: as many as can hold the first one shared with a similar vertex.
+
+def _open_leads(table: pa.Table) -> pa.Table:
+    """Of the counters that lead anywhere and hold several roots, how often they lead."""
+    slots, n, lo, hi = _added(table, 3)
+    keep = (n > 0) & (lo < hi)
+    return pa.Table.from_batches([_told(slots[keep], n[keep])])
+
+
+def _rarest(batch: pa.RecordBatch, n: np.ndarray, similar: float, m: np.ndarray | None = None):
+    """(row, element, place, size, lead) of the rarest elements of a batch's vertices, as many as can hold the first one
+    shared with a similar vertex; with ``m`` only those of counters that have any there.
 
     ``lead``: the element can be the first shared one also with a vertex that
     is no smaller; of a pair's first shared element the smaller vertex leads.
-    With ``leads`` (a number for each counter) only the elements of counters
-    that have any, in as many blocks as those need.
     """
+    values, offsets = _lists32(batch.column("elements"))
+    found, at, sizes = [], [], np.diff(offsets)
+    for i in range(batch.num_rows):
+        own = values[offsets[i]:offsets[i + 1]]
+        order = np.lexsort((own, n[_slots(own)]))[:len(own) - int(np.ceil(similar * len(own) - 1e-9)) + 1]
+        place = np.arange(len(order))
+        if m is not None:
+            place = place[m[_slots(own[order])] > 0]
+        found.append(own[order[place]])
+        at.append(place)
+    row = np.repeat(np.arange(batch.num_rows), [len(x) for x in at])
+    el, at = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (found, at))
+    size = sizes[row]
+    return row, el, at, size, at <= size - np.ceil(2 * similar / (1 + similar) * size - 1e-9)
+
+
+def _leads(counts, similar: float, most: int = 1_000_000):
+    """How many rarest elements lead on each counter, and the range of their roots; added up in the task."""
+    def told(slot, lead, root) -> pa.RecordBatch:
+        slot, lead, root = map(np.concatenate, (slot, lead, root))
+        order = np.argsort(slot, kind="stable")
+        slot, lead, root = slot[order], lead[order], root[order]
+        first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        return _told(slot[first], np.add.reduceat(lead, first), np.minimum.reduceat(root, first), np.maximum.reduceat(root, first))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, m = counts.value, leads.value if leads else None
+        slots, leads, roots, held = [], [], [], 0
         for batch in batches:
-            values, offsets = _lists32(batch.column("elements"))
-            found, at, sizes = [], [], np.diff(offsets)
-            for i in range(batch.num_rows):
-                own = values[offsets[i]:offsets[i + 1]]
-                order = np.lexsort((own, n[_slots(own)]))[:len(own) - int(np.ceil(similar * len(own) - 1e-9)) + 1]
-                place = np.arange(len(order))
-                if m is not None:
-                    place = place[m[_slots(own[order])] > 0]
-                found.append(own[order[place]])
-                at.append(place)
-            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in at])
-            el, at = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (found, at))
-            size = sizes[row]
-            lead = at <= size - np.ceil(2 * similar / (1 + similar) * size - 1e-9)
-            blocks = 1 + m[_slots(el)] // block if m is not None else np.ones(len(el))
+            row, el, _, _, lead = _rarest(batch, counts.value, similar)
+            slots.append(_slots(el).astype(np.int64))
+            leads.append(lead.astype(np.int64))
+            roots.append(batch.column("root").to_numpy()[row])
+            held += len(el)
+            if held >= most:
+                yield told(slots, leads, roots)
+                slots, leads, roots, held = [], [], [], 0
+        if held:
+            yield told(slots, leads, roots)
+    return run
+
+
+def _prefixes(counts, similar: float, leads, block: int = 1):
+    """The rarest elements of each vertex on counters that ``leads`` has a number for, in as many blocks as those need."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = leads.value
+        for batch in batches:
+            row, el, at, size, lead = _rarest(batch, counts.value, similar, m)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(el), batch.column("vertex").take(pa.array(row)), batch.column("root").take(pa.array(row)),
                  pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(lead),
-                 pa.array(blocks.astype(np.int32)), pa.array(_slots(el).astype(np.int64))],
-                ["element", "vertex", "root", "size", "at", "lead", "blocks", "slot"])
+                 pa.array((1 + m[_slots(el)] // block).astype(np.int32))],
+                ["element", "vertex", "root", "size", "at", "lead", "blocks"])
     return run
 
 
@@ -377,17 +437,20 @@ def prefix_pairs(large: DataFrame, similar: float = SIMILAR, block: int = HOT_BL
     """
     sent, c = large.sparkSession.sparkContext.broadcast, F.col
 
-    def dense(found) -> np.ndarray:                    # at most one row a counter
+    def dense(found) -> np.ndarray:                    # at most one number a counter
         out = np.zeros(COUNTERS, np.int64)
-        out[found["slot"].to_numpy()] = found["n"].to_numpy()
+        for slots, n in zip(found["slot"], found["n"]):
+            out[slots.values.to_numpy()] = n.values.to_numpy()
         return out
-    kind = "element int, vertex long, root long, size int, at int, lead boolean, blocks int, slot long"
-    counts = sent(dense(large.select("elements").mapInArrow(_frequencies, "slot long, n long")
-                        .groupBy("slot").agg(F.sum("n").alias("n")).toArrow()))
-    slots = (large.mapInArrow(_prefixes(counts, similar), kind).groupBy("slot")
-             .agg(F.sum(c("lead").cast("long")).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")))
-    leads = sent(dense(slots.where("lo < hi AND n > 0").select("slot", "n").toArrow()))
-    rows = cut(large.mapInArrow(_prefixes(counts, similar, leads, block), kind).drop("slot"), "dup-prefixes")
+    kind = "element int, vertex long, root long, size int, at int, lead boolean, blocks int"
+    told = "chunk long, slot array<long>, n array<long>"
+    counts = sent(dense(large.select("elements").mapInArrow(_frequencies, told)
+                        .groupBy("chunk").applyInArrow(_all_frequencies, told).toArrow()))
+    leads = sent(dense(large.select("root", "elements").mapInArrow(_leads(counts, similar), f"{told}, lo array<long>, hi array<long>")
+                       .groupBy("chunk").applyInArrow(_open_leads, told).toArrow()))
+    rows = cut(large.mapInArrow(_prefixes(counts, similar, leads, block), kind), "dup-prefixes")
+    counts.destroy()
+    leads.destroy()
     l = rows.where("lead").withColumn("block", F.pmod(F.xxhash64("vertex"), c("blocks")).cast("int")).alias("l")
     once = rows.where("blocks = 1").withColumn("block", F.lit(0))
     hot = rows.where("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
@@ -400,36 +463,37 @@ def prefix_pairs(large: DataFrame, similar: float = SIMILAR, block: int = HOT_BL
             .select(F.least("l.vertex", "r.vertex").alias("a"), F.greatest("l.vertex", "r.vertex").alias("b")).distinct())
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR,
-            rows: int = ROWS, bands: int = BANDS, words: int = WORDS, small: int = SMALL) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), one row per input row.
+#: Vertices of texts that have no doc_id to themselves lie from here on, above all ids.
+UNNAMED = 1 << 62
 
-    Linked: texts that are equal, and texts whose shingles (``words`` words,
-    lower case, weighted by their counts) have a weighted Jaccard similarity
-    of ``similar`` or more; classes are the components of the links. A text
-    without words (null, empty, blank) is never linked: its class is its own
-    id. Repeated rows share a class; rows of one doc_id with different texts
-    count as one document; an empty table gives an empty one; a null id with
-    words gets the class of its text (a hash where no other document has it).
-    Whole texts are used; only the two named columns are read.
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, similar: float, rows: int, bands: int, words: int,
+            small: int) -> tuple[DataFrame, DataFrame]:
+    """(everything, rooted): doc_id, text_key of every row; text_key, least, root of every text with words.
+
+    A text's vertex is its least doc_id; where a text has no id, or shares
+    its least one with another text, it is a hash above all ids.
     """
     everything = cut(signed(docs, id_col, text_col, rows, bands, words), "dup-signed")
     sig = everything.where(F.col("text_key").isNotNull())
-    reps = cut(sig.groupBy("text_key").agg(F.coalesce(F.min("doc_id").cast("long"), F.xxhash64("text_key")).alias("vertex")),
-               "dup-vertices")
+    named = sig.groupBy("text_key").agg(F.min("doc_id").cast("long").alias("least"))
+    owner = named.groupBy(F.col("least").alias("_least")).agg(F.min("text_key").alias("_owner"))
+    apart = F.col("least").isNull() | (F.col("text_key") != F.col("_owner"))
+    unnamed = F.xxhash64("text_key").bitwiseAND(UNNAMED - 1).bitwiseOR(UNNAMED)
+    reps = cut(named.join(owner, F.col("least") == F.col("_least"), "left")
+               .select("text_key", "least", F.when(apart, unnamed).otherwise(F.col("least")).alias("vertex")), "dup-vertices")
     # one set of bands for each vertex
-    own = (sig.join(reps, "text_key").where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("vertex")))
+    own = (sig.join(reps, "text_key").where(F.col("doc_id").eqNullSafe(F.col("least")))
            .groupBy("text_key", "vertex").agg(F.first("bands").alias("bands")))
     own = cut(own.select("vertex", "bands"), "dup-bands")
     buckets = cut(with_hub(own.select("vertex", F.explode("bands").alias("key")).distinct()), "dup-buckets")
     # the shingles of the vertices that share a bucket
-    needed = cut(buckets.select("vertex").distinct().join(reps, "vertex").select("vertex", "text_key"), "dup-needed")
+    needed = cut(buckets.select("vertex").distinct().join(reps, "vertex").select("vertex", "text_key", "least"), "dup-needed")
     texts = doc_columns(docs, id_col, text_col).withColumn("text_key", F.md5("text"))
-    few = needed.count() <= 200_000                     # at most 200,000 rows of 60 bytes are sent to all tasks
-    chosen = texts.join(F.broadcast(needed) if few else needed, "text_key").where(
-        F.col("doc_id").isNull() | (F.col("doc_id") == F.col("vertex")))
+    few = needed.count() <= 200_000                     # at most 200,000 rows of 70 bytes are sent to all tasks
+    chosen = texts.join(F.broadcast(needed) if few else needed, "text_key").where(F.col("doc_id").eqNullSafe(F.col("least")))
     elements = cut(chosen.select("vertex", _words(F.col("text")).alias("words"))
-                   .mapInArrow(_elements(words), "vertex long, elements array<int>").dropDuplicates(["vertex"]),
+                   .mapInArrow(tidy(_elements(words)), "vertex long, elements array<int>").dropDuplicates(["vertex"]),
                    "dup-elements")
     links = cut(verified(hub_pairs(buckets), elements, similar), "dup-links")
     roots = components(links)
@@ -442,29 +506,67 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     more = cut(verified(pairs, elements, similar), "dup-links2")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    root = reps.join(roots, "vertex", "left").select("text_key", F.coalesce("root", "vertex").alias("class_id"))
-    named = everything.select("doc_id", "text_key").join(root, "text_key", "left")
-    return named.select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"))
+    return everything.select("doc_id", "text_key"), reps.join(roots, "vertex", "left").select(
+        "text_key", "least", F.coalesce("root", "vertex").alias("root"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that represent their class: those with its least id, once each; columns as they were.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR,
+            rows: int = ROWS, bands: int = BANDS, words: int = WORDS, small: int = SMALL) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class), one row per input row.
 
-    Texts without words and rows without an id are all kept.
+    Linked: texts that are equal, and texts whose shingles (``words`` words,
+    lower case, weighted by their counts) have a weighted Jaccard similarity
+    of ``similar`` or more; classes are the components of the links. A text
+    without words (null, empty, blank) is never linked: its class is its own
+    id. Repeated rows share a class; rows of one doc_id with different texts
+    are documents of their own; a null id with words gets the class of its
+    text (a number above all ids where no document of the class has one); an
+    empty table gives an empty one. Whole texts are used; only the two named
+    columns are read.
+    """
+    each, rooted = _rooted(docs, id_col, text_col, similar, rows, bands, words, small)
+    # a root is the least id of its class, but where a vertex without an id of its own is one
+    unnamed = cut(rooted.where(F.col("root") >= UNNAMED).groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("_id")),
+                  "dup-unnamed")
+    named = each.join(rooted.select("text_key", "root"), "text_key", "left")
+    if not unnamed.isEmpty():
+        named = named.join(_sent(unnamed), F.col("root") == F.col("_root"), "left").withColumn("root", F.coalesce("_id", "root"))
+    return named.select("doc_id", F.coalesce("root", F.col("doc_id").cast("long")).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR,
+                rows: int = ROWS, bands: int = BANDS, words: int = WORDS, small: int = SMALL) -> DataFrame:
+    """One row of ``docs`` for each class: of its least id (nulls last) and, of that one's, least text hash; columns as they were.
+
+    Texts without words are all kept. Rows of one id are told apart by their
+    texts, so a text that is like no other always stays.
     """
-    named = cut(classes(docs, id_col, text_col, **how), "dup-classes")
-    go = named.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_go")).distinct()
-    stay = docs.join(_sent(cut(go, "dup-go")), docs[id_col] == F.col("_go"), "left_anti")
-    # of ids that several rows bear, one row
-    again = cut(named.groupBy(F.col("doc_id").alias("_go")).count().where("count > 1 AND _go IS NOT NULL").select("_go"),
-                "dup-again")
-    if again.isEmpty():
-        return stay
-    again = _sent(again)
-    once = stay.join(again, stay[id_col] == again["_go"], "left_semi").dropDuplicates([id_col])
-    return stay.join(again, stay[id_col] == again["_go"], "left_anti").unionByName(once)
+    each, rooted = _rooted(docs, id_col, text_col, similar, rows, bands, words, small)
+    # of each text the row of its least id, of each class one text
+    place = F.struct(F.col("least").isNull().alias("none"), "least", "text_key")
+    chosen = rooted.groupBy("root").agg(F.min(place).alias("_p")).select(F.col("_p.text_key").alias("text_key"))
+    texts = cut(rooted.select("text_key", "least").join(chosen.withColumn("_stays", F.lit(True)), "text_key", "left"), "dup-chosen")
+    several = each.where("text_key IS NOT NULL").groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key")
+    key = F.md5(F.coalesce(docs[text_col], F.lit("")))
+    go = cut(texts.where("_stays IS NULL").select(F.col("text_key").alias("_go")), "dup-go")
+    stay = docs.join(_sent(go), key == F.col("_go"), "left_anti")
+    # of texts on several rows, one row of the least id
+    again = _sent(cut(texts.where("_stays").join(several, "text_key")
+                      .select(F.col("text_key").alias("_again"), F.col("least").alias("_least")), "dup-again"))
+    kept = (stay.join(again, key == F.col("_again"), "left")
+            .where(F.col("_again").isNull() | docs[id_col].cast("long").eqNullSafe(F.col("_least"))).select(*(docs[c] for c in docs.columns)))
+    # rows that repeat their id and text too
+    twice = cut(each.where("text_key IS NOT NULL").groupBy("doc_id", "text_key").count().where("count > 1")
+                .select(F.col("text_key").alias("_twice")).distinct(), "dup-twice")
+    if twice.isEmpty():
+        return kept
+    twice, key = _sent(twice), F.md5(F.coalesce(kept[text_col], F.lit("")))
+    first = (kept.join(twice, key == F.col("_twice")).groupBy("_twice")
+             .agg(F.min_by(F.struct(*(kept[c] for c in docs.columns)), F.lit(0)).alias("_row")))
+    return kept.join(twice, key == F.col("_twice"), "left_anti").unionByName(
+        first.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns)))
 
 
 def _sent(ids: DataFrame) -> DataFrame:
-    """Ids to be sent to all tasks where they are few (8 MB), else joined by a shuffle."""
+    """Keys to be sent to all tasks where they are few (40 MB), else joined by a shuffle."""
     return F.broadcast(ids) if ids.count() <= 1_000_000 else ids
