@@ -145,6 +145,25 @@ def language(texts: list[str | None], model: dict[str, bytes], level: int) -> li
     return out
 
 
+def language_kept(texts: list[str | None], model: dict[str, bytes], level: int, min_margin: int, min_share: float) -> list[bool]:
+    """Whether each text's margin reaches the least one, in bytes and as a share of its smallest compressed size."""
+    import zstandard as z
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out.append(False)
+            continue
+        sizes = []
+        for raw in model.values():
+            d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            c = z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)
+            sizes.append(len(c.compress(t.lower().encode())))
+        sizes.sort()
+        out.append(sizes[1] - sizes[0] >= max(min_margin, min_share * sizes[0]))
+    return out
+
+
 def crc_fold(doc_id, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 

@@ -33,8 +33,8 @@ def test_stages_and_run(spark):
 
     model = langid.learn(docs, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     left = [tuple(r) for r in docs.collect()]
-    verdict = brute.language([r[1] for r in left], model, langid.LEVEL)
-    left = [r for r, (lang, margin) in zip(left, verdict) if lang != "und" and margin >= langid.MIN_MARGIN]
+    kept = brute.language_kept([r[1] for r in left], model, langid.LEVEL, langid.MIN_MARGIN, langid.MIN_SHARE)
+    left = [r for r, stays in zip(left, kept) if stays]
     classes = brute.near_classes([r[:2] for r in left])
     left = [r for r in left if classes[r[0]] == r[0]]
     left = [(r[0], brute.redact(r[1]), *r[2:]) for r in left]

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import doc_columns
+from .common import doc_columns, tidy
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Texts longer than this are sliced and encoded by several tasks.
@@ -391,14 +391,14 @@ def _join_doc(path: str | None, full: bool):
 def _encode(docs: DataFrame, id_col: str, text_col: str, path, spread: int, unsplit: int, full: bool) -> DataFrame:
     rows = doc_columns(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = TOKENS if full else RESULT
-    short = rows.where(F.length("text") <= spread).mapInArrow(_encode_rows(path, unsplit, full), schema)
+    short = rows.where(F.length("text") <= spread).mapInArrow(tidy(_encode_rows(path, unsplit, full)), schema)
     cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / F.lit(spread)).cast("int"))
     slices = (rows.where(F.length("text") > spread)
               .select("doc_id", F.xxhash64("text").alias("mark"), "text", F.explode(cuts).alias("k"))
               .select("doc_id", "mark", "k", F.expr(f"substring(text, k * {spread} + 1, {spread})").alias("slice"))
               .repartition("doc_id", "mark", "k"))
     parts = slices.mapInArrow(
-        _encode_slices(path),
+        tidy(_encode_slices(path)),
         "doc_id long, mark long, k int, slice string, ids array<int>, a array<int>, b array<int>")
     long = parts.groupBy("doc_id", "mark").applyInArrow(_join_doc(path, full), schema)
     return short.unionByName(long)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import doc_columns
+from .common import doc_columns, tidy
 
 UNKNOWN = "und"
 #: Bounds of the learning sample: rows a language, characters up to which a row is preferred, bytes of a dictionary.
@@ -139,4 +139,4 @@ def accepted(docs: DataFrame, model: dict[str, bytes], text_col: str = "text",
             pair = pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), text], ["doc_id", "text"])
             for verdict in judge(iter([pair])):
                 yield batch.filter(pa.compute.invert(verdict.column("rejected")))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

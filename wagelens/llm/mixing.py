@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import cut
+from .common import cut, tidy
 
 #: Weights of the sources in code point order (null last), repeating; words of the mix to words there are.
 WEIGHTS, TOTAL, MOST = (5, 2, 1), 1.5, 2
@@ -234,7 +234,7 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
                                              [*own, "size"])
     plain = docs.select(*(docs[c].alias(o) for c, o in zip(names, own)))
     kind = T.StructType([*plain.schema.fields, T.StructField("size", T.LongType())])
-    kept = plain.mapInArrow(size, kind).withColumn("source", F.col(own[names.index(source_col)]).cast("string"))
+    kept = plain.mapInArrow(tidy(size), kind).withColumn("source", F.col(own[names.index(source_col)]).cast("string"))
     kept = kept.withColumn("place", _place(F.col(own[names.index(id_col)]), seed))
     kept = kept.withColumn("block", _block(F.col("place"), BLOCK_BITS))
     got = draw(kept, made).select(*own, "place", F.explode("copies").alias("c"))

@@ -16,7 +16,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, doc_columns
+from wagelens.functions.sizing import broadcast_if_small
+
+from .common import cut, doc_columns, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns of the contract; where a match must be longest, possessive, so that no text costs more than a pass.
@@ -29,6 +31,8 @@ SIGN, WORD = re.compile(r"[0-9@]"), re.compile(r"\S+")
 EDGE = ".,;:!?\"'()[]{}<>|"
 #: Smoothing of a pattern's share, distinct seeds that it needs, confidence from which it extracts, rounds.
 SMOOTH, MIN_SEEDS, CONFIDENT, ROUNDS = 1.0, 3, 0.8, 3
+#: Bytes of added spans, as written, that are sent to all tasks.
+SENT_BYTES = 8 << 20
 #: Longer contexts and strings are known by their hash.
 LONGEST = 48
 
@@ -168,7 +172,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conf
     """
     rows = doc_columns(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = cut(rows.mapInArrow(_find, FOUND.format(id=kind)), "pii-found")
+    found = cut(rows.mapInArrow(tidy(_find), FOUND.format(id=kind)), "pii-found")
     seen = found.select("doc_id", "mark", F.explode("seen").alias("s")).select("doc_id", "mark", "s.*")
     conf = score_patterns(seen, rounds, smooth, min_seeds).where(F.col("conf") >= confident)
     hits = (seen.where("k < 0").select("doc_id", "mark", "start", "end", F.explode("ctx").alias("pattern"))
@@ -203,7 +207,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     without spans are untouched (a null text stays null).
     """
     _, added = detect(docs, id_col, text_col, **how)
-    more = added.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("spans").alias("_more"))
+    # added spans are few beside the texts: written, and sent to where the texts are unless they are many
+    more = broadcast_if_small(cut(added.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("spans").alias("_more")),
+                                  "pii-added"), SENT_BYTES)
     mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     both = docs.join(more, docs[id_col].eqNullSafe(more["_d"]) & (mark == more["_m"]), "left")
     both = both.select(*(docs[c] for c in docs.columns), more["_more"])
@@ -227,4 +233,4 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             cols = list(batch.columns[:-1])
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
-    return both.mapInArrow(run, docs.schema)
+    return both.mapInArrow(tidy(run), docs.schema)
