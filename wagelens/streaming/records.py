@@ -42,17 +42,20 @@ class Stitcher(StatefulProcessor):
         self.early = handle.getMapState("early", "line_no LONG", "code INT, line BINARY")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        at, inside, first, ends = self.place.get() if self.place.exists() else (0, False, 0, None)
+        # each call to the state is a round trip to the JVM: a key without a place has nothing in it, and
+        # the open record's lines are there just when the place says inside
+        place = self.place.get()
+        at, inside, first, ends = place or (0, False, 0, None)
         came: dict[int, tuple[int, bytes]] = {}
-        for r in rows:
-            if r["line"] is None:
-                ends = r["line_no"]
-            elif r["line_no"] >= at:
-                came[r["line_no"]] = (r["code"], bytes(r["line"]))
+        for _, number, code, line in rows:
+            if line is None:
+                ends = number
+            elif number >= at:
+                came[number] = (code, bytes(line))
         codes, lines, n = [], [], at
         while True:
             got = came.pop(n, None)
-            if got is None and self.early.containsKey((n,)):
+            if got is None and place and self.early.containsKey((n,)):
                 code, line = self.early.getValue((n,))
                 got = (code, bytes(line))
                 self.early.removeKey((n,))
@@ -70,14 +73,18 @@ class Stitcher(StatefulProcessor):
         single, glued, crossing = [], [], []
         if lines:
             split.feed(np.array(codes, np.int8), pa.array(lines, pa.binary()), single, glued, crossing)
-            self._keep(split, before)
         done = ends is not None and split.at >= ends
         if done:
             if not lines and inside:
                 split.open = [(first + k, bytes(x[0])) for k, x in enumerate(self.open.get())]
             split.end(single, crossing)
-            self.open.clear()
-        self.place.update((split.at, split.inside and not done, split.open[0][0] if split.open else first, ends))
+            if inside:
+                self.open.clear()
+        elif lines:
+            self._keep(split, before)
+        now = (split.at, split.inside and not done, split.open[0][0] if split.open else first, ends)
+        if now != place:
+            self.place.update(now)
         name = key[0]
         for start, part in single:
             for k, x in enumerate(part.to_pylist()):
@@ -89,7 +96,8 @@ class Stitcher(StatefulProcessor):
         """The open record's lines: further ones are appended, another record's replace them."""
         now = [x for _, x in split.open]
         if not now:
-            self.open.clear()
+            if before:
+                self.open.clear()
         elif before and now[:len(before)] == before:
             if now[len(before):]:
                 self.open.appendList([(x,) for x in now[len(before):]])
