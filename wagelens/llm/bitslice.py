@@ -111,40 +111,43 @@ class Slices:
 
 
 def _cell(k: int):
-    def run(dim: int, block: dict, batch: dict):
+    def prepare(dim: int, block: dict):
         every, whole = block["ids"], block["vecs"]
         far = (np.abs(whole) > LARGEST).any(axis=1)
         ids, vecs, far_ids, far_vecs = every[~far], whole[~far].astype(np.int64), every[far], whole[far]
         index = Slices(vecs)
         everyone = index.bitmap(np.ones(len(ids), bool))
         most = int(np.abs(vecs).max(initial=0))
-        out = []
-        for q, query in zip(batch["ids"].tolist(), batch["vecs"]):
-            found: list[tuple[int, int]] = []
-            largest = int(np.abs(query).max(initial=0))
-            if largest <= LARGEST and most * largest * dim < 1 << 63:
-                own = query.astype(np.int64)
-                allowed = everyone
-                at = int(np.searchsorted(ids, q))
-                if at < len(ids) and ids[at] == q:
-                    me = np.zeros(len(ids), bool)
-                    me[at] = True
-                    allowed = everyone & ~index.bitmap(me)
-                rows = index.top(index.add(own), allowed, k)
-                if not len(far_ids):
-                    out.append((np.full(len(rows), q, np.int64), ids[rows], vecs[rows] @ own))
-                    continue
-                found += zip((vecs[rows] @ own).tolist(), ids[rows].tolist())
-            else:
-                found += zip(exact_scores(vecs, query), ids.tolist())
-            found += zip(exact_scores(far_vecs, query), far_ids.tolist())
-            best = sorted(((-s, i) for s, i in found if i != q))[:k]
-            if any(abs(s) >= 1 << 63 for s, _ in best):
-                raise OverflowError(f"a score of query {q} does not fit a long")
-            out.append((np.full(len(best), q, np.int64), np.array([i for _, i in best], np.int64),
-                        np.array([-s for s, _ in best], np.int64)))
-        return tuple(np.concatenate(c) for c in zip(*out))
-    return run
+
+        def run(batch: dict):
+            out = []
+            for q, query in zip(batch["ids"].tolist(), batch["vecs"]):
+                found: list[tuple[int, int]] = []
+                largest = int(np.abs(query).max(initial=0))
+                if largest <= LARGEST and most * largest * dim < 1 << 63:
+                    own = query.astype(np.int64)
+                    allowed = everyone
+                    at = int(np.searchsorted(ids, q))
+                    if at < len(ids) and ids[at] == q:
+                        me = np.zeros(len(ids), bool)
+                        me[at] = True
+                        allowed = everyone & ~index.bitmap(me)
+                    rows = index.top(index.add(own), allowed, k)
+                    if not len(far_ids):
+                        out.append((np.full(len(rows), q, np.int64), ids[rows], vecs[rows] @ own))
+                        continue
+                    found += zip((vecs[rows] @ own).tolist(), ids[rows].tolist())
+                else:
+                    found += zip(exact_scores(vecs, query), ids.tolist())
+                found += zip(exact_scores(far_vecs, query), far_ids.tolist())
+                best = sorted(((-s, i) for s, i in found if i != q))[:k]
+                if any(abs(s) >= 1 << 63 for s, _ in best):
+                    raise OverflowError(f"a score of query {q} does not fit a long")
+                out.append((np.full(len(best), q, np.int64), np.array([i for _, i in best], np.int64),
+                            np.array([-s for s, _ in best], np.int64)))
+            return tuple(np.concatenate(c) for c in zip(*out))
+        return run
+    return prepare
 
 
 def top_k(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",

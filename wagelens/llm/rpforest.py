@@ -117,7 +117,7 @@ def _exact(query: np.ndarray, vecs: np.ndarray) -> np.ndarray:
 
 
 def _cell(k: int, trees: int):
-    def run(dim: int, block: dict, batch: dict):
+    def prepare(dim: int, block: dict):
         ids, vecs = block["ids"], block["vecs"]
         unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
         leaves = block["extra"].reshape(len(ids), trees).T
@@ -125,26 +125,29 @@ def _cell(k: int, trees: int):
         order = np.argsort(flat, kind="stable")
         members, count = (order % len(ids)).astype(np.int32), np.bincount(flat)
         starts = np.concatenate([[0], np.cumsum(count)])
-        ends = np.cumsum(batch["extra_n"])
-        out = []
-        for q, (own, query) in enumerate(zip(batch["ids"].tolist(), batch["vecs"])):
-            visit = batch["extra"][ends[q] - batch["extra_n"][q]:ends[q]]
-            visit = visit[visit < len(count)]
-            seen = np.zeros(len(ids), bool)
-            for l in visit.tolist():
-                seen[members[starts[l]:starts[l + 1]]] = True
-            at = int(np.searchsorted(ids, own))
-            if at < len(ids) and ids[at] == own:
-                seen[at] = False
-            rows = np.flatnonzero(seen)
-            if len(rows) > k:
-                near = unit[rows] @ (query / np.linalg.norm(query))
-                rows = rows[near >= np.partition(near, -k)[-k] - 1e-9]
-            score = _exact(query, vecs[rows])
-            best = np.lexsort((ids[rows], -score))[:k]
-            out.append((np.full(len(best), own, np.int64), ids[rows[best]], score[best]))
-        return tuple(np.concatenate(c) for c in zip(*out))
-    return run
+
+        def run(batch: dict):
+            ends = np.cumsum(batch["extra_n"])
+            out = []
+            for q, (own, query) in enumerate(zip(batch["ids"].tolist(), batch["vecs"])):
+                visit = batch["extra"][ends[q] - batch["extra_n"][q]:ends[q]]
+                visit = visit[visit < len(count)]
+                seen = np.zeros(len(ids), bool)
+                for l in visit.tolist():
+                    seen[members[starts[l]:starts[l + 1]]] = True
+                at = int(np.searchsorted(ids, own))
+                if at < len(ids) and ids[at] == own:
+                    seen[at] = False
+                rows = np.flatnonzero(seen)
+                if len(rows) > k:
+                    near = unit[rows] @ (query / np.linalg.norm(query))
+                    rows = rows[near >= np.partition(near, -k)[-k] - 1e-9]
+                score = _exact(query, vecs[rows])
+                best = np.lexsort((ids[rows], -score))[:k]
+                out.append((np.full(len(best), own, np.int64), ids[rows[best]], score[best]))
+            return tuple(np.concatenate(c) for c in zip(*out))
+        return run
+    return prepare
 
 
 def nearest(rows: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
