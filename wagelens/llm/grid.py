@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import tidy
 
 #: Rows and bytes (as doubles) of a block; about the least and the most queries of a group; cells wanted for each core.
-BLOCK_ROWS, BLOCK_BYTES, BATCH_ROWS, GROUP_ROWS, CELLS_A_CORE = 32_768, 32 << 20, 512, 16_384, 8
+BLOCK_ROWS, BLOCK_BYTES, BATCH_ROWS, GROUP_ROWS, CELLS_A_CORE = 32_768, 64 << 20, 512, 16_384, 8
 
 
 def finite(vec: Column) -> Column:
